@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -46,3 +47,20 @@ def word_array(text: Column) -> Column:
 def bucket_of(column: str, modulus: int) -> Column:
     """crc32 of a value's text modulo ``modulus``: the fixed folds of the contracts (null: remainder of an empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Bounds the rows of an Arrow batch while an eager step runs, so that long texts fit a task's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def text_key(norm: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a normalised text; both equal: an exact copy."""
+    return F.xxhash64(norm), F.xxhash64(F.lit("second"), norm)
