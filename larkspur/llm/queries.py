@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import line_dedup, mixing, near_dedup, quality_rules
-from larkspur.llm.base import table
+from larkspur.llm import language_id, line_dedup, mixing, near_dedup, quality_rules
+from larkspur.llm.base import bucket_of, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = bucket_of("doc_id", 4) == 2
+    model = language_id.fit(docs.where(~held_out).select("doc_id", "text", "lang"))
+    return language_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,4 +34,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op7_line_dedup, op8_near_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op7_line_dedup, op8_near_dedup, op10_mixing)}
