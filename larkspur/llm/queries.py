@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import language_id, line_dedup, mixing, near_dedup, quality_rules
+from larkspur.llm import language_id, line_dedup, mixing, near_dedup, packing, quality_rules
 from larkspur.llm.base import bucket_of, table
 
 
@@ -21,6 +21,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -34,4 +44,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op7_line_dedup, op8_near_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op6_packing, op7_line_dedup, op8_near_dedup, op10_mixing)}
