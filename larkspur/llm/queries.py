@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import language_id, line_dedup, mixing, near_dedup, packing, quality_rules
+from larkspur.llm import language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, toxicity
 from larkspur.llm.base import bucket_of, table
 
 
@@ -16,6 +16,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = bucket_of("doc_id", 5) == 0
+    model = toxicity.fit(docs.where(~held_out), labels.where(~held_out).select("doc_id", "toxic"))
+    return toxicity.tag(docs.withColumn("held_out", held_out), model, spans=True)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
@@ -39,9 +46,16 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = bucket_of("doc_id", 5) == 0
+    model = quality_classifier.fit(docs.where(~held_out), labels.where(~held_out).select("doc_id", "quality"), "quality")
+    return quality_classifier.score(docs.withColumn("held_out", held_out), model, 0.3)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op6_packing, op7_line_dedup, op8_near_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_quality_rules, op6_packing, op7_line_dedup, op8_near_dedup, op9_quality_classifier, op10_mixing)}

@@ -77,6 +77,27 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, np.searchsorted(starts, offsets).astype(np.int64)
 
 
+def word_parts(data: np.ndarray, offsets: np.ndarray, prefixes: range, suffixes: range) -> tuple[list[np.ndarray], np.ndarray]:
+    """For all words as in ``word_hashes``: hashes of the whole word, of its first bytes and of its last bytes (0: shorter)."""
+    _, rows = word_hashes(data, offsets)
+    inside = np.append(data != 32, False)
+    breaks = np.zeros(len(data) + 1, bool)
+    breaks[offsets] = True
+    starts = np.flatnonzero(inside & (np.append(True, ~inside[:-1]) | breaks))
+    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | breaks[1:])) + 1 if len(data) else starts
+    power, inverse = _tables(len(data) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64))
+        parts = [mix((sums[ends] - sums[starts]) * inverse[starts], 1)]
+        for n in prefixes:
+            stop = np.minimum(starts + n, ends)
+            parts.append(np.where(ends - starts >= n, mix((sums[stop] - sums[starts]) * inverse[starts], 100 + n), np.uint64(0)))
+        for n in suffixes:
+            start = np.maximum(ends - n, starts)
+            parts.append(np.where(ends - starts >= n, mix((sums[ends] - sums[start]) * inverse[start], 200 + n), np.uint64(0)))
+    return parts, rows
+
+
 def shingle_hashes(words: np.ndarray, rows: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of k-word shingles and each row's first shingle; a row of 1 to k - 1 words has one shingle of them all."""
     counts = np.diff(rows)
