@@ -61,6 +61,8 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
-def text_key(norm: Column) -> tuple[Column, Column]:
-    """Two 64-bit hashes of a normalised text; both equal: an exact copy."""
-    return F.xxhash64(norm), F.xxhash64(F.lit("second"), norm)
+
+
+def join_side(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """A written table as a join side: broadcast if its counted rows are few, shuffled otherwise. Rows must be narrow."""
+    return F.broadcast(df) if df.count() <= most_rows else df

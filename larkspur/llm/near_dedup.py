@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import linking
-from larkspur.llm.base import arrow_rows, materialize, normalized, text_key
+from larkspur.llm.base import arrow_rows, join_side, materialize, normalized
 from larkspur.llm.textvec import mix, row_chunks, shingle_hashes, utf8, word_hashes
 
 #: 30 bands of 6 registers find a pair of similarity 0.8 with probability 1 - (1 - 0.8 ** 6) ** 30 = 0.9999.
@@ -72,6 +74,8 @@ def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both, ia, ib = np.intersect1d(ea, eb, assume_unique=True, return_indices=True)
     if not len(both):
         return 0.0
+    if len(ea) == len(a) and len(eb) == len(b):  # no shingle twice: the Jaccard similarity of sets
+        return len(both) / (len(a) + len(b) - len(both))
     va, vb = ca[ia].astype(float), cb[ib].astype(float)
     ratio, order = va / vb, np.argsort(va / vb, kind="stable")
     only_a, only_b = float(len(a)) - va.sum(), float(len(b)) - vb.sum()
@@ -82,7 +86,7 @@ def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, k1, k2, keys) of every document with an id; keys is null where the text has no word."""
+    """(doc_id, k1, keys) of every document with an id; k1 hashes its normalised text, keys is null where that has no word."""
 
     def sketch(batches):
         for batch in batches:
@@ -91,12 +95,35 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                 hashes, firsts = shingles_of(part["norm"])
                 keys = band_keys(prob_minhash(hashes, firsts, bands * rows), bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * bands, pa.int32()), pa.array(keys.ravel()), mask=pa.array(np.diff(firsts) == 0))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["k1"], part["k2"], lists], ["doc_id", "k1", "k2", "keys"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["k1"], lists], ["doc_id", "k1", "keys"])
 
     norm = F.coalesce(normalized(F.col("text")), F.lit(""))
-    k1, k2 = text_key(F.col("norm"))
-    rows_in = docs.where("doc_id is not null").select("doc_id", norm.alias("norm")).select("doc_id", k1.alias("k1"), k2.alias("k2"), "norm")
-    return rows_in.mapInArrow(sketch, "doc_id long, k1 long, k2 long, keys array<long>")
+    rows_in = docs.where("doc_id is not null").select("doc_id", norm.alias("norm")).select("doc_id", F.xxhash64("norm").alias("k1"), "norm")
+    return rows_in.mapInArrow(sketch, "doc_id long, k1 long, keys array<long>")
+
+
+def fingerprints(texts: DataFrame, registers: int, shingle: int = SHINGLE) -> DataFrame:
+    """(node, print, grams) of texts (node, norm): a byte of each signature register, and 32-bit hashes of the shingles."""
+
+    def sign(batches):
+        for batch in batches:
+            hashes, firsts = shingles_of(batch["norm"], shingle)
+            low = mix(prob_minhash(hashes, firsts, registers)).astype(np.uint8)
+            short = (hashes >> np.uint64(32)).astype(np.uint32)
+            grams = [np.sort(short[x:y]).tobytes() for x, y in zip(firsts[:-1], firsts[1:])]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array([r.tobytes() for r in low], pa.binary()), pa.array(grams, pa.binary())], ["node", "print", "grams"])
+
+    return texts.mapInArrow(sign, "node long, print binary, grams binary")
+
+
+def likely(a: bytes, b: bytes, least: float) -> bool:
+    """Whether sorted multisets of 32-bit shingle hashes come near the probability Jaccard similarity."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = np.sort(np.concatenate((x, y)))
+    if (both[2:] == both[:-2]).any() or (x[1:] == x[:-1]).any() or (y[1:] == y[:-1]).any():
+        return probability_jaccard(x, y) >= least
+    n = int((both[1:] == both[:-1]).sum())
+    return n >= least * (len(both) - n)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
@@ -126,17 +153,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     spark = docs.sparkSession
     with arrow_rows(spark, 1000):
         sketch = materialize(sketches(docs, bands, rows), "sketches")
-    nodes = materialize(sketch.where("keys is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")), "nodes")
+    nodes = materialize(sketch.where("keys is not null").groupBy("k1").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")), "nodes")
     shared = linking.shared_keys(nodes.select(F.col("k1").alias("node"), F.explode("keys").alias("key")))
-    wanted = shared.select("node").distinct().join(nodes.select(F.col("k1").alias("node"), "doc_id"), "node")
+    wanted = materialize(shared.select("node").distinct().join(nodes.select(F.col("k1").alias("node"), "doc_id"), "node"), "wanted")
     norm = F.coalesce(normalized(F.col("text")), F.lit(""))
-    texts = materialize(docs.join(wanted, "doc_id").select("node", norm.alias("norm")).where(F.xxhash64("norm") == F.col("node")).dropDuplicates(["node"]), "texts")
+    texts = materialize(docs.join(join_side(wanted), "doc_id").select("node", norm.alias("norm")).where(F.xxhash64("norm") == F.col("node")).dropDuplicates(["node"]), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         with arrow_rows(spark, 1000):
             return materialize(verified(pairs, texts, threshold, shingle), "verified")
 
-    comp = linking.link(shared, verify)
+    def pair_up(rest: DataFrame) -> DataFrame:
+        # equal bytes of a pair at the threshold fall 4.5 standard deviations below their mean once in 300,000 pairs
+        registers = bands * rows
+        floor = threshold - 4.5 * (threshold * (1 - threshold) / registers) ** 0.5
+        with arrow_rows(spark, 1000):
+            prints = materialize(fingerprints(texts.join(rest.select("node").distinct(), "node", "left_semi"), registers, shingle), "prints")
+        prints = prints.join(nodes.select(F.col("k1").alias("node"), "keys"), "node")
+        with arrow_rows(spark, 500):
+            return materialize(linking.close_pairs(rest, prints, bands, floor, partial(likely, least=threshold - 0.01)), "close-pairs")
+
+    comp = linking.link(shared, verify, pair_up)
     named = nodes.select("k1", "doc_id", "copies").join(comp, F.col("k1") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "k1"))
     names = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
     classes = materialize(named.join(names, "comp").select("k1", "class_id", "copies"), "classes")
