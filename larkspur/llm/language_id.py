@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.base import arrow_rows, materialize
+from larkspur.llm.base import arrow_rows, join_side, materialize
 from larkspur.llm.textvec import row_chunks, utf8
 
 #: Longest context in bytes, and labelled rows that a language is learned from at most.
@@ -39,10 +39,8 @@ def sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
     labelled = docs.where("lang is not null and text is not null")
     rank = F.xxhash64("doc_id")
     # only hashes and labels are ranked; the texts of the chosen rows alone are read again
-    share = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    near = labelled.join(share, "lang").where(F.pmod(rank, F.lit(1 << 30)) < F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(1.5 * rows) / F.col("n")) + F.lit(64))
-    from pyspark.sql import Window
-
+    share = materialize(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    near = labelled.join(join_side(share), "lang").where(F.pmod(rank, F.lit(1 << 30)) < F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(1.5 * rows) / F.col("n")) + F.lit(64))
     order = Window.partitionBy("lang").orderBy(rank, F.xxhash64("text"))
     return near.select("lang", "text", F.row_number().over(order).alias("r")).where(F.col("r") <= rows).select("lang", "text")
 
@@ -154,8 +152,8 @@ def fit(labelled: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> Model:
     return build(counts.toPandas().sort_values(["lang", "gram"]))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` but the text, with lang_pred, score and bits_per_byte of the whole text.
+def identify(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """The columns of ``docs`` (the text only if asked for), with lang_pred, score and bits_per_byte of the whole text.
 
     lang_pred is the language of the shortest code, ``score`` its posterior probability under equal priors.
     A text that is null or has no letter, or a model without languages, gives ``und`` with score 0 and null bits.
@@ -164,7 +162,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.drop(*(c for c in ("lang_pred", "score", "bits_per_byte") if c in docs.columns))
     frozen = spark.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != "text"]
+    kept = [c for c in docs.columns if keep_text or c != "text"]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + ["lang_pred string", "score double", "bits_per_byte double"])
 
     def score(batches):
@@ -188,4 +186,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     lettered: Column = F.col("text").rlike(r"\p{L}")
     with arrow_rows(spark, 1000):
-        return materialize(docs.select(*kept, "text", lettered.alias("lettered")).mapInArrow(score, schema), "language-scores")
+        return materialize(docs.select(*kept, *[] if keep_text else ["text"], lettered.alias("lettered")).mapInArrow(score, schema), "language-scores")

@@ -8,36 +8,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import linking
-from larkspur.llm.base import arrow_rows, materialize, normalized, text_key
+from larkspur.llm.base import arrow_rows, join_side, materialize, normalized
 from larkspur.llm.textvec import mix, row_chunks, utf8, word_hashes
 
-#: 192-bit SimHash in 6 blocks of 32 bits: lines within 5 bits of each other share a block.
-BLOCKS = 6
 THRESHOLD = 0.8
 #: For each byte value, its eight bits spread over the eight bytes of a word: sums of up to 255 stay apart.
 _SPREAD = np.array([sum(((b >> j) & 1) << (8 * j) for j in range(8)) for b in range(256)], np.uint64)
 _RUN = 255
 
 
-def simhash_blocks(words: np.ndarray, rows: np.ndarray, blocks: int = BLOCKS) -> np.ndarray:
-    """SimHash of each row's word hashes as blocks of 32 bits (rows x blocks, uint64); every row needs a word."""
-    n = len(rows) - 1
-    counts = np.diff(rows)
-    out = np.zeros((n, blocks), np.uint64)
+def simhash(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """192-bit SimHash of each row's words (rows x 3, int64); every row needs a word.
+
+    The second, third ... occurrence of a word are features of their own, so that a word that fills a line
+    does not make it like every other line with that word.
+    """
+    n, counts = len(rows) - 1, np.diff(rows)
+    row = np.repeat(np.arange(n, dtype=np.uint64), counts)
+    keys = np.sort((row << np.uint64(44)) | (words >> np.uint64(20)))
+    new = np.append(True, keys[1:] != keys[:-1])
+    begin = np.flatnonzero(new)
+    occurrence = np.arange(len(keys)) - begin[np.cumsum(new) - 1]
+    words = mix((keys & np.uint64((1 << 44) - 1)) + (occurrence.astype(np.uint64) << np.uint64(44)))
+    out = np.zeros((n, 3), np.int64)
     # runs of at most 255 words, so that the bit counts of a run fit a byte each
     runs_of = (counts + _RUN - 1) // _RUN
     first_run = np.concatenate(([0], np.cumsum(runs_of)))
     run_row = np.repeat(np.arange(n), runs_of)
     run_start = rows[:-1][run_row] + _RUN * (np.arange(first_run[-1]) - first_run[:-1][run_row])
-    for half in range((blocks + 1) // 2):
-        code = mix(words, half + 1).view(np.uint8).reshape(-1, 8)
+    for k in range(3):
+        code = mix(words, k + 1).view(np.uint8).reshape(-1, 8)
         ones = np.empty((n, 64), np.int64)
         for byte in range(8):
             sums = np.add.reduceat(_SPREAD[code[:, byte]], run_start)
             each = np.ascontiguousarray(sums).view(np.uint8).reshape(-1, 8).astype(np.int64)
             ones[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(each, first_run[:-1], axis=0) if len(each) > n else each
-        bits = np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint32).astype(np.uint64)
-        out[:, 2 * half : 2 * half + 2] = bits[:, : min(2, blocks - 2 * half)]
+        out[:, k] = np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.int64)[:, 0]
     return out
 
 
@@ -82,19 +88,23 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 
 def signed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, k1, k2, blocks) of every line of ``split_lines``."""
+    """(doc_id, line_no, k1, s0, s1, s2) of every line of ``split_lines``: the normalised line's hash and SimHash."""
 
     def sign(batches):
         for batch in batches:
             for start, stop in row_chunks(batch["norm"], 4 << 20):
                 part = batch.slice(start, stop - start)
-                blocks = simhash_blocks(*word_hashes(*utf8(part["norm"])))
-                keys = mix((blocks | (np.arange(1, BLOCKS + 1, dtype=np.uint64) << np.uint64(32))).ravel()).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * BLOCKS, pa.int32()), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["line_no"], part["k1"], part["k2"], lists], ["doc_id", "line_no", "k1", "k2", "blocks"])
+                bits = simhash(*word_hashes(*utf8(part["norm"])))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["line_no"], part["k1"], *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(3))], ["doc_id", "line_no", "k1", "s0", "s1", "s2"])
+
+    rows = split_lines(docs).select("doc_id", "line_no", F.xxhash64("norm").alias("k1"), "norm")
+    return rows.mapInArrow(sign, "doc_id long, line_no int, k1 long, s0 long, s1 long, s2 long")
+
 
-    k1, k2 = text_key(F.col("norm"))
-    return split_lines(docs).select("doc_id", "line_no", k1.alias("k1"), k2.alias("k2"), "norm").mapInArrow(sign, "doc_id long, line_no int, k1 long, k2 long, blocks array<long>")
+def blocks_of(lines: DataFrame) -> DataFrame:
+    """(node, key): each line's six blocks of 32 bits, with the block's place."""
+    keys = [part.bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit((2 * k + half) << 32)) for k in range(3) for half, part in enumerate((F.col(f"s{k}"), F.shiftright(f"s{k}", 32)))]
+    return lines.select(F.col("k1").alias("node"), F.explode(F.array(*keys)).alias("key"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -114,7 +124,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Lines are compared as lower-cased runs of letters and digits. Lines whose SimHashes share one of six 32-bit
     blocks (all within 5 of 192 bits do) and whose edit similarity is ``threshold`` or more are linked; a
     class is a connected component, named by its first occurrence (smallest doc_id, then line number), which
-    alone is kept. Exact copies of a line are one node of the graph.
+    alone is kept. Lines of one normalised form (by its 64-bit hash) are one node of the graph.
 
     Lines without a letter or digit, lines of a null text and of documents without an id have no row: they
     are left alone. Of rows that repeat a doc_id and its text, all keep the same lines.
@@ -122,12 +132,11 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     with arrow_rows(spark, 5000):
         lines = materialize(signed_lines(docs), "lines")
-    first = F.min(F.struct("doc_id", "line_no"))
-    nodes = materialize(lines.groupBy("k1", "k2").agg(first.alias("at"), F.first("blocks").alias("blocks")), "line-nodes")
-    shared = linking.shared_keys(nodes.select(F.col("k1").alias("node"), F.explode("blocks").alias("key")))
-    wanted = shared.select("node").distinct().join(nodes.select(F.col("k1").alias("node"), "at.doc_id", "at.line_no"), "node")
-    asked = wanted.groupBy("doc_id").agg(F.collect_set("line_no").alias("asked"))
-    found = docs.select("doc_id", "text").join(asked, "doc_id").select(F.split("text", "\n").alias("lines"), "asked").select(F.explode(F.transform("asked", lambda i: F.get("lines", i))).alias("line"))
+    shared = linking.shared_keys(blocks_of(lines))
+    places = lines.join(shared.select(F.col("node").alias("k1")).distinct(), "k1").groupBy(F.col("k1").alias("node")).agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
+    wanted = materialize(places.select("node", "at.doc_id", "at.line_no"), "line-places")
+    asked = materialize(wanted.groupBy("doc_id").agg(F.collect_set("line_no").alias("asked")), "asked-lines")
+    found = docs.select("doc_id", "text").join(join_side(asked), "doc_id").select(F.split("text", "\n").alias("lines"), "asked").select(F.explode(F.transform("asked", lambda i: F.get("lines", i))).alias("line"))
     norm = found.select(normalized(F.col("line")).alias("norm")).select(F.xxhash64("norm").alias("node"), "norm")
     texts = materialize(norm.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "line-texts")
 
@@ -136,11 +145,14 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             return materialize(verified(pairs, texts, threshold), "line-edges")
 
     comp = linking.link(shared, verify)
-    named = nodes.select("k1", "at").join(comp, F.col("k1") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "k1"))
-    names = named.groupBy("comp").agg(F.min("at").alias("first"))
-    classes = materialize(named.join(names, "comp").select("k1", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line")), "line-classes")
-    out = lines.select("doc_id", "line_no", "k1").join(classes, "k1")
-    return out.select("doc_id", "line_no", "class_doc", "class_line", ((F.col("doc_id") == F.col("class_doc")) & (F.col("line_no") == F.col("class_line"))).alias("kept"))
+    # only lines that have a copy or a link need to be looked up
+    repeated = lines.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1")
+    touched = materialize(repeated.join(comp.toDF("k1", "comp"), "k1", "full").select("k1", F.coalesce("comp", "k1").alias("comp")), "touched-lines")
+    firsts = lines.join(touched, "k1").groupBy("comp").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    classes = materialize(touched.join(firsts, "comp").select("k1", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line")), "line-classes")
+    out = lines.select("doc_id", "line_no", "k1").join(classes, "k1", "left")
+    own = F.col("class_doc").isNull() | ((F.col("doc_id") == F.col("class_doc")) & (F.col("line_no") == F.col("class_line")))
+    return out.select("doc_id", "line_no", F.coalesce("class_doc", "doc_id").alias("class_doc"), F.coalesce("class_line", "line_no").alias("class_line"), own.alias("kept"))
 
 
 def drop_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -148,8 +160,8 @@ def drop_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     Documents that had no worded line stay as they are. The order of the lines that stay is the text's own.
     """
-    drop = classes.where("not kept").groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("line_no").alias("drop_lines"))
-    joined = docs.join(drop, F.col("doc_id") == F.col("drop_id"), "left")
+    drop = materialize(classes.where("not kept").groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("line_no").alias("drop_lines")), "drop-lines")
+    joined = docs.join(join_side(drop), F.col("doc_id") == F.col("drop_id"), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("drop_lines", i)), "\n")
     cleaned = joined.withColumn("text", F.when(F.col("drop_lines").isNull(), F.col("text")).otherwise(left))
     return cleaned.where(F.col("drop_lines").isNull() | F.col("text").rlike(r"[\p{L}\p{N}]")).select(docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, toxicity
+from larkspur.llm import language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, topk, toxicity
 from larkspur.llm.base import bucket_of, table
 
 
@@ -28,6 +28,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -58,4 +62,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_quality_rules, op6_packing, op7_line_dedup, op8_near_dedup, op9_quality_classifier, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_quality_rules, op4_topk, op6_packing, op7_line_dedup, op8_near_dedup, op9_quality_classifier, op10_mixing)}
