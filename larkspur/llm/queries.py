@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, topk, toxicity
-from larkspur.llm.base import bucket_of, table
+from larkspur.llm import language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, topk, toxicity, warc
+from larkspur.llm.base import bucket_of, materialize, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,18 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits two replicas of the pages' WARC files; the second has its first byte changed in every record whose digest starts with 00 or 7f."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), warc.record(F.col("url"), F.col("page_id"), F.col("html")).alias("data"))
+    files = max(1, pages.count() // 2000)
+    one = materialize(warc.lay_out(pages, files), "warc-replica")
+    hit = F.substring(F.sha2("data", 256), 1, 2).isin("00", "7f")
+    flipped = F.concat(F.lit("~").cast("binary"), F.expr("substring(data, 2)"))
+    other = one.withColumn("data", F.when(hit, flipped).otherwise(F.col("data")))
+    found = warc.audit(one, other)
+    return found.join(one.select("file", "offset", F.col("key").alias("page_id")), ["file", "offset"]).select("page_id", "length", "hash", "other_length", "other_hash")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -62,4 +74,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_quality_rules, op4_topk, op6_packing, op7_line_dedup, op8_near_dedup, op9_quality_classifier, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_quality_rules, op4_topk, op5_warc_audit, op6_packing, op7_line_dedup, op8_near_dedup, op9_quality_classifier, op10_mixing)}
