@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from larkspur.plans import directory, evidence, text
+
+QUERIES = text.QUERIES | directory.QUERIES | evidence.QUERIES
+ORACLES = text.ORACLES | directory.ORACLES | evidence.ORACLES
