@@ -68,6 +68,8 @@ def build(counts, order: int = ORDER, least_seen: int = LEAST_SEEN) -> Model:
     c / (T + D); the escape D / (T + D) is shared among the unseen symbols as the next shorter context has it.
     """
     languages = sorted(set(counts["lang"]))
+    if not languages:
+        return Model([], np.zeros(256, np.int32), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
     grams, n, lang = np.asarray(counts["gram"], np.int64), np.asarray(counts["n"], np.float64), np.asarray([languages.index(x) for x in counts["lang"]], np.int64)
     parts = [(grams >> (8 * (order - j))) & 255 for j in range(order + 1)]
     used = np.unique(np.concatenate(parts)) if len(grams) else np.zeros(0, np.int64)
@@ -77,7 +79,8 @@ def build(counts, order: int = ORDER, least_seen: int = LEAST_SEEN) -> Model:
     parts = [symbol[p] for p in parts]
     # distributions by context of each order, shortest first; a context is the number of its symbols in base size
     floor = np.full((1, size), 1 / 256)
-    floor[0, 0] = 1 / 256
+    unseen = max(1, 256 - len(used))
+    floor[0, 0] = unseen / 256  # all bytes not seen in training together
     known = {0: np.zeros(1, np.int64)}
     tables = [np.repeat((floor / floor.sum())[None], max(1, len(languages)), 0)]
     for depth in range(order + 1):
@@ -119,7 +122,8 @@ def build(counts, order: int = ORDER, least_seen: int = LEAST_SEEN) -> Model:
             hit = known[depth][place] == short
             state[hit] = starts[depth] + place[hit]
     with np.errstate(divide="ignore"):
-        bits = -np.log2(np.concatenate(tables[1:], axis=1)) if languages else np.zeros((0, 1, size))
+        bits = -np.log2(np.concatenate(tables[1:], axis=1)) 
+    bits[:, :, 0] += np.log2(unseen)
     return Model(languages, symbol.astype(np.int32), state, np.ascontiguousarray(bits.transpose(1, 2, 0)).reshape(-1, len(languages)).astype(np.float32))
 
 
@@ -173,7 +177,7 @@ def identify(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFram
                 part = batch.slice(start, stop - start)
                 data, offsets = utf8(part["text"])
                 bits = code_lengths(model, data, offsets)
-                valid = part["lettered"].fill_null(False).to_numpy(zero_copy_only=False) & bool(model.languages)
+                valid = part["_lettered"].fill_null(False).to_numpy(zero_copy_only=False) & bool(model.languages)
                 if model.languages:
                     best = bits.argmin(1)
                     least = bits.min(1)
@@ -186,4 +190,4 @@ def identify(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFram
 
     lettered: Column = F.col("text").rlike(r"\p{L}")
     with arrow_rows(spark, 1000):
-        return materialize(docs.select(*kept, *[] if keep_text else ["text"], lettered.alias("lettered")).mapInArrow(score, schema), "language-scores")
+        return materialize(docs.select(*kept, *[] if keep_text else ["text"], lettered.alias("_lettered")).mapInArrow(score, schema), "language-scores")

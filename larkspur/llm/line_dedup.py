@@ -129,7 +129,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Lines without a letter or digit, lines of a null text and of documents without an id have no row: they
     are left alone. Of rows that repeat a doc_id and its text, all keep the same lines.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     with arrow_rows(spark, 5000):
         lines = materialize(signed_lines(docs), "lines")
     shared = linking.shared_keys(blocks_of(lines))
@@ -160,8 +160,8 @@ def drop_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     Documents that had no worded line stay as they are. The order of the lines that stay is the text's own.
     """
-    drop = materialize(classes.where("not kept").groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("line_no").alias("drop_lines")), "drop-lines")
-    joined = docs.join(join_side(drop), F.col("doc_id") == F.col("drop_id"), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("drop_lines", i)), "\n")
-    cleaned = joined.withColumn("text", F.when(F.col("drop_lines").isNull(), F.col("text")).otherwise(left))
-    return cleaned.where(F.col("drop_lines").isNull() | F.col("text").rlike(r"[\p{L}\p{N}]")).select(docs.columns)
+    drop = materialize(classes.where("not kept").groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("line_no").alias("_drop_lines")), "drop-lines")
+    joined = docs.join(join_side(drop), F.col("doc_id") == F.col("_drop_id"), "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_drop_lines", i)), "\n")
+    cleaned = joined.withColumn("text", F.when(F.col("_drop_lines").isNull(), F.col("text")).otherwise(left))
+    return cleaned.where(F.col("_drop_lines").isNull() | F.col("text").rlike(r"[\p{L}\p{N}]")).select(docs.columns)

@@ -59,10 +59,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, ro
     narrow = materialize(docs.select("source", size_of(F.col("text")).alias("size"), digest.alias("h")), "mix-sizes")
     goal = materialize(targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-goal")
     # the plan has one row per source; Spark broadcasts it only below its own size limit
-    plan = _thresholds(narrow, goal, rounds).withColumnRenamed("source", "plan_source")
-    out = docs.withColumn("size", size_of(F.col("text"))).withColumn("mix_h", digest).join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
-    extra = F.exists("cuts", lambda c: (F.col("size") <= c["fits"]) & (F.col("mix_h") < c["below"]))
-    return out.withColumn("taken", F.col("size") * (F.col("copies") + extra.cast("long"))).drop("plan_source", "mix_h", "copies", "cuts")
+    plan = _thresholds(narrow, goal, rounds).withColumnsRenamed({"source": "_mix_source", "copies": "_mix_copies", "cuts": "_mix_cuts"})
+    out = docs.withColumn("size", size_of(F.col("text"))).withColumn("_mix_h", digest).join(plan, F.col("source").eqNullSafe(F.col("_mix_source")))
+    extra = F.exists("_mix_cuts", lambda c: (F.col("size") <= c["fits"]) & (F.col("_mix_h") < c["below"]))
+    return out.withColumn("taken", F.col("size") * (F.col("_mix_copies") + extra.cast("long"))).drop("_mix_source", "_mix_h", "_mix_copies", "_mix_cuts")
 
 
 def _thresholds(narrow: DataFrame, goal: DataFrame, rounds: int) -> DataFrame:

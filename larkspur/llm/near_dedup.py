@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     A text without a word (null, empty, marks only) is linked to nothing and is its own class. A document
     whose doc_id is null gets a null class. Rows that repeat a doc_id and its text are copies of each other.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     with arrow_rows(spark, 1000):
         sketch = materialize(sketches(docs, bands, rows), "sketches")
     nodes = materialize(sketch.where("keys is not null").groupBy("k1").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")), "nodes")

@@ -83,15 +83,15 @@ def quality(docs: DataFrame, max_loss_percent: int = 50, min_words: int = 50, ma
     lines = F.split(text, "\n")
     judged = (
         docs.drop(*(c for c in names if c in docs.columns))
-        .withColumn("q_words", word_array(F.col("text")))
-        .withColumn("q_lines", F.transform(lines, lambda x: F.struct(x.alias("line"), (has_word(x) & line_fails(x)).alias("fails"))))
-        .withColumn("n_words", F.size("q_words").cast("long"))
-        .withColumn("word_chars", F.length(F.array_join("q_words", "")).cast("long"))
+        .withColumn("_q_words", word_array(F.col("text")))
+        .withColumn("_q_lines", F.transform(lines, lambda x: F.struct(x.alias("line"), (has_word(x) & line_fails(x)).alias("fails"))))
+        .withColumn("n_words", F.size("_q_words").cast("long"))
+        .withColumn("word_chars", F.length(F.array_join("_q_words", "")).cast("long"))
         .withColumn("n_symbols", F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"))
         .withColumn("n_dup_lines", (F.size(F.filter(lines, has_word)) - F.size(F.array_distinct(F.filter(lines, has_word)))).cast("long"))
-        .withColumn("n_repeat_words", repeated_words(F.col("q_words")))
-        .withColumn("lost_words", F.aggregate("q_lines", F.lit(0), lambda n, x: n + F.when(x["fails"], words_in(x["line"])).otherwise(0)).cast("long"))
-        .withColumn("clean_text", F.when(F.col("text").isNotNull(), F.array_join(F.transform(F.filter("q_lines", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")))
+        .withColumn("n_repeat_words", repeated_words(F.col("_q_words")))
+        .withColumn("lost_words", F.aggregate("_q_lines", F.lit(0), lambda n, x: n + F.when(x["fails"], words_in(x["line"])).otherwise(0)).cast("long"))
+        .withColumn("clean_text", F.when(F.col("text").isNotNull(), F.array_join(F.transform(F.filter("_q_lines", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")))
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & (100 * F.col("lost_words") <= max_loss_percent * F.col("n_words"))).drop("q_words", "q_lines")
+    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & (100 * F.col("lost_words") <= max_loss_percent * F.col("n_words"))).drop("_q_words", "_q_lines")
