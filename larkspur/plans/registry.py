@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.plans import directory, evidence, text
+from larkspur.plans import directory, evidence, records, text
 
-QUERIES = text.QUERIES | directory.QUERIES | evidence.QUERIES
-ORACLES = text.ORACLES | directory.ORACLES | evidence.ORACLES
+QUERIES = text.QUERIES | directory.QUERIES | evidence.QUERIES | records.QUERIES
+ORACLES = text.ORACLES | directory.ORACLES | evidence.ORACLES | records.ORACLES
