@@ -173,7 +173,7 @@ def identify(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFram
         model = frozen.value
         names = pa.array([*model.languages, "und"])
         for batch in batches:
-            for start, stop in row_chunks(batch["text"], 2 << 20):
+            for start, stop in row_chunks(batch["text"]):
                 part = batch.slice(start, stop - start)
                 data, offsets = utf8(part["text"])
                 bits = code_lengths(model, data, offsets)

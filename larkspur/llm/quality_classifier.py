@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     def run(batches):
         model = frozen.value
         for batch in batches:
-            for start, stop in row_chunks(batch["text"], 2 << 20):
+            for start, stop in row_chunks(batch["text"]):
                 part = batch.slice(start, stop - start)
                 row, bucket = ngram_buckets(*utf8(part["text"]))
                 margin = np.bincount(row, model.weights[bucket], len(part)) + model.bias

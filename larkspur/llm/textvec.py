@@ -40,7 +40,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def row_chunks(column: pa.Array, most: int = 8 << 20):
+def row_chunks(column: pa.Array, most: int = 2 << 20):
     """Slices (start, stop) of a string column of about ``most`` bytes each; one row at least."""
     if not len(column):
         return

@@ -185,7 +185,7 @@ def tag(docs: DataFrame, model: Model, threshold: float = 0.5, spans: bool = Fal
     def run(batches):
         model = frozen.value
         for batch in batches:
-            for start, stop in row_chunks(batch["text"], 2 << 20):
+            for start, stop in row_chunks(batch["text"]):
                 part = batch.slice(start, stop - start)
                 buckets, rows = feature_buckets(words_of(part["text"]))
                 emission = model.weights[buckets[:, 0]]
