@@ -72,3 +72,55 @@ def url_param(url: Column, name: str) -> Column:
 def flagged(text: Column) -> Column:
     """A tolerant flag: anything but null, empty, false, 0, no and n."""
     return ~F.coalesce(F.lower(F.trim(text)), F.lit("")).isin("", "false", "0", "no", "n")
+
+
+#: Months by their first three letters.
+MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+
+
+def month_number(name: Column) -> Column:
+    """1 to 12 from a month's name or its first three letters, in any case; else null."""
+    place = F.instr(F.lit(MONTHS.lower()), F.left(F.lower(name), F.lit(3)))
+    return F.when((F.length(name) >= 3) & (place % 3 == 1), ((place - 1) / 3 + 1).cast("int"))
+
+
+def _assembled(day: Column, month: Column, year: Column) -> Column:
+    return F.when(month.isNotNull() & (day != "") & (year != ""), F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")))
+
+
+def short_date_text(text: Column) -> Column:
+    """ISO text of d-MMM-yyyy without a look at the calendar: 31-Feb passes."""
+    part = lambda i: F.regexp_extract(text, "^([0-9]{1,2})-([A-Za-z]+)-([0-9]{4})$", i)
+    return _assembled(part(1), month_number(part(2)), part(3))
+
+
+def prose_date(text: Column) -> Column:
+    """The first date in prose, 'Month d, yyyy' or 'd Month yyyy' (ordinals allowed), that the calendar has."""
+    american = lambda i: F.regexp_extract(text, "([A-Z][a-z]{2,8}) ([0-9]{1,2})(?:st|nd|rd|th)?, ([0-9]{4})", i)
+    european = lambda i: F.regexp_extract(text, "([0-9]{1,2})(?:st|nd|rd|th)? ([A-Z][a-z]{2,8}),? ([0-9]{4})", i)
+    one = strict_date(_assembled(american(2), month_number(american(1)), american(3)))
+    other = strict_date(_assembled(european(1), month_number(european(2)), european(3)))
+    return F.coalesce(one, other)
+
+
+def share_quantity(text: Column) -> Column:
+    """The number before 'Equity Shares'."""
+    return tolerant_number(F.nullif(F.regexp_extract(text, "(?i)([0-9][0-9,]*) +equity +shares", 1), F.lit(""))).cast("long")
+
+
+def without_parentheses(text: Column) -> Column:
+    """Text outside balanced parentheses, however deep; one pass over the characters with the depth as state."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+
+    def step(state: Column, c: Column) -> Column:
+        depth = F.when(c == "(", state["depth"] + 1).when((c == ")") & (state["depth"] > 0), state["depth"] - 1).otherwise(state["depth"])
+        outside = (state["depth"] == 0) & (c != "(")
+        return F.struct(depth.alias("depth"), F.when(outside, F.concat(state["out"], c)).otherwise(state["out"]).alias("out"))
+
+    return F.aggregate(F.split(text, ""), start, step, lambda s: s["out"])
+
+
+def blob_sha1(content: Column) -> Column:
+    """The hash that version control gives a file of this text."""
+    body = content.cast("binary")
+    return F.sha1(F.concat(F.concat(F.lit("blob "), F.octet_length(body).cast("string")).cast("binary"), F.unhex(F.lit("00")), body))
