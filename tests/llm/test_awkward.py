@@ -135,3 +135,14 @@ def test_pipeline_stages(spark, tables, kind):
             assert out.columns == docs.columns
         docs = out
     assert docs.count() == 0 or kind != "empty"
+
+
+def test_warc_files_are_read_back(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"https://x/{i}", f"<p>{'é' * i}\r\n\r\nWARC/1.0</p>") for i in range(40)], "page_id long, url string, html string")
+    laid = warc.lay_out(pages.select(F.col("page_id").alias("key"), warc.record(F.col("url"), F.col("page_id"), F.col("html")).alias("data")), 3)
+    for file in range(3):
+        rows = sorted((r.offset, bytes(r.data)) for r in laid.where(F.col("file") == file).collect())
+        (tmp_path / f"{file}.warc").write_bytes(b"".join(data for _, data in rows))
+    read = warc.read_records(spark, str(tmp_path / "*.warc")).withColumn("file", F.regexp_extract("file", r"(\d+)\.warc$", 1).cast("int"))
+    assert sorted((r.file, r.offset, r.length, bytes(r.data)) for r in read.collect()) == sorted((r.file, r.offset, r.length, bytes(r.data)) for r in laid.collect())
+    assert warc.audit(laid.select("file", "offset", "length", "data"), read).count() == 0
