@@ -64,3 +64,43 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema("k int, t int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = upserts.latest_table(stream, ["k"], ["t"], str(tmp_path / "out"))
     assert sorted((r.k, r.t) for r in got.collect()) == [(0, 20), (1, 21), (2, 22)]
+
+
+def test_manifests(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from larkspur.sources import manifests
+
+    records = spark.createDataFrame([("a", 2020), ("b", 2021)], "id string, year int")
+    manifests.write(records, str(tmp_path / "out"))
+    manifests.write(spark.createDataFrame([("c", 2021)], "id string, year int"), str(tmp_path / "out"))
+    assert sorted((r.id, r.year) for r in manifests.read(spark, str(tmp_path / "out"), "id string, year int").collect()) == [("a", 2020), ("c", 2021)]
+    (tmp_path / "in" / "2020").mkdir(parents=True)
+    (tmp_path / "in" / "2020" / "m.json").write_text(json.dumps({"records": [{"id": "x"}, {"id": "y"}]}, indent=1))
+    found = manifests.read_documents(spark, str(tmp_path / "in"), "records array<struct<id: string>>").collect()
+    assert [(r.row_index, r.id) for r in found] == [(0, "x"), (1, "y")]
+    (tmp_path / "in" / "2020" / "bad.json").write_text("{")
+    with pytest.raises(Exception):
+        manifests.read_documents(spark, str(tmp_path / "in"), "records array<struct<id: string>>").collect()
+
+
+def test_evidence_arrays(spark):
+    from larkspur.operators import published
+
+    item = lambda u: F.struct(F.lit(u).alias("url"))
+    items = F.array(item("a"), item("b"))
+    assert [x.url for x in one(spark, published.add_once(items, item("a"), ["url"]))] == ["a", "b"]
+    assert [x.url for x in one(spark, published.add_once(items, item("c"), ["url"]))] == ["a", "b", "c"]
+    assert [x.url for x in one(spark, published.replace_by(items, item("a"), "url"))] == ["b", "a"]
+    assert one(spark, published.without(F.array(F.lit(1), F.lit(1), F.lit(2)), F.array(F.lit(2)))) == [1, 1]
+
+
+def test_merge_by_path_knows_absent_from_null(spark):
+    from larkspur.operators import published
+
+    table = lambda rows: spark.createDataFrame([(1, p, v) for p, v in rows], "id int, path string, value string")
+    before, after, current = table([("a", "x"), ("b", "x"), ("c", None)]), table([("a", "y"), ("c", "z"), ("d", "n")]), table([("a", "x"), ("b", "q"), ("c", None)])
+    got = {r.path: (r.value, r.outcome) for r in published.three_way_paths(current, before, after).collect()}
+    assert got == {"a": ("y", "applied"), "b": ("q", "conflict"), "c": ("z", "applied"), "d": ("n", "applied")}
