@@ -111,8 +111,13 @@ def token_labels(buckets: np.ndarray, rows: np.ndarray, toxic: np.ndarray, least
 def train(buckets: np.ndarray, rows: np.ndarray, tags: np.ndarray, rounds: int = 60, ridge: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transitions by gradient ascent on the chain's conditional likelihood (per-weight steps from past gradients)."""
     weights, t = np.zeros(1 << BITS), np.array([[2.0, -2.0], [0.0, 0.0]])
-    kinds, which = np.unique(buckets, axis=0, return_inverse=True)
-    which = which.ravel()
+    # one row per distinct word: its buckets as digits of a 64-bit number stand for it
+    key = np.zeros(len(buckets), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(buckets.shape[1]):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + buckets[:, k].astype(np.uint64)
+    _, at, which = np.unique(key, return_index=True, return_inverse=True)
+    kinds = buckets[at]
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     inner = np.flatnonzero(row[1:] == row[:-1])
     pair = np.zeros((2, 2))
