@@ -84,7 +84,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def token_labels(buckets: np.ndarray, rows: np.ndarray, toxic: np.ndarray, least_gain: float = 30.0, odds: float = 3.0) -> np.ndarray:
+def token_labels(buckets: np.ndarray, rows: np.ndarray, toxic: np.ndarray, least_gain: float = 45.0, odds: float = 3.0) -> np.ndarray:
     """1 for words of toxic documents that have a feature found nearly only in toxic documents.
 
     Documents alone are labelled, so words get their labels from the features' document frequencies: log odds of
