@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.plans import directory, evidence, grammar, records, text
+from larkspur.plans import directory, evidence, grammar, notices, records, text
 
-QUERIES = text.QUERIES | directory.QUERIES | evidence.QUERIES | records.QUERIES | grammar.QUERIES
-ORACLES = text.ORACLES | directory.ORACLES | evidence.ORACLES | records.ORACLES | grammar.ORACLES
+QUERIES = text.QUERIES | directory.QUERIES | evidence.QUERIES | records.QUERIES | grammar.QUERIES | notices.QUERIES
+ORACLES = text.ORACLES | directory.ORACLES | evidence.ORACLES | records.ORACLES | grammar.ORACLES | notices.ORACLES
