@@ -61,8 +61,11 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
-
-
-def join_side(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
-    """A written table as a join side: broadcast if its counted rows are few, shuffled otherwise. Rows must be narrow."""
-    return F.broadcast(df) if df.count() <= most_rows else df
+def join_side(df: DataFrame, array: str | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+    """A written table of numbers as a join side: broadcast if its counted size is small, shuffled otherwise.
+
+    The size is 64 bytes a row and 8 for each element of the column ``array``.
+    """
+    cells = F.coalesce(F.size(array), F.lit(0)) if array else F.lit(0)
+    size = df.agg(F.sum(64 + 8 * cells.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= most_bytes else df

@@ -136,7 +136,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     places = lines.join(shared.select(F.col("node").alias("k1")).distinct(), "k1").groupBy(F.col("k1").alias("node")).agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
     wanted = materialize(places.select("node", "at.doc_id", "at.line_no"), "line-places")
     asked = materialize(wanted.groupBy("doc_id").agg(F.collect_set("line_no").alias("asked")), "asked-lines")
-    found = docs.select("doc_id", "text").join(join_side(asked), "doc_id").select(F.split("text", "\n").alias("lines"), "asked").select(F.explode(F.transform("asked", lambda i: F.get("lines", i))).alias("line"))
+    found = docs.select("doc_id", "text").join(join_side(asked, "asked"), "doc_id").select(F.split("text", "\n").alias("lines"), "asked").select(F.explode(F.transform("asked", lambda i: F.get("lines", i))).alias("line"))
     norm = found.select(normalized(F.col("line")).alias("norm")).select(F.xxhash64("norm").alias("node"), "norm")
     texts = materialize(norm.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "line-texts")
 
@@ -161,7 +161,7 @@ def drop_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     Documents that had no worded line stay as they are. The order of the lines that stay is the text's own.
     """
     drop = materialize(classes.where("not kept").groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("line_no").alias("_drop_lines")), "drop-lines")
-    joined = docs.join(join_side(drop), F.col("doc_id") == F.col("_drop_id"), "left")
+    joined = docs.join(join_side(drop, "_drop_lines"), F.col("doc_id") == F.col("_drop_id"), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_drop_lines", i)), "\n")
     cleaned = joined.withColumn("text", F.when(F.col("_drop_lines").isNull(), F.col("text")).otherwise(left))
     return cleaned.where(F.col("_drop_lines").isNull() | F.col("text").rlike(r"[\p{L}\p{N}]")).select(docs.columns)
