@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import language_id, line_dedup, mixing, near_dedup, packing
-from larkspur.llm.base import bucket_of, join_side, materialize, scratch_dir, table
+from larkspur.llm.base import bucket_of, join_side, materialize, scratch_dir, scratch_scope, table
 from larkspur.llm.queries import tokenizer_path
 
 
@@ -62,11 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each result is written to the shared folder and read again."""
+    """Applies the stages to ``documents``; each result is written to the shared folder and read again, a stage's own tables go."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{scratch_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
+        with scratch_scope(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs

@@ -146,3 +146,17 @@ def test_warc_files_are_read_back(spark, tmp_path):
     read = warc.read_records(spark, str(tmp_path / "*.warc")).withColumn("file", F.regexp_extract("file", r"(\d+)\.warc$", 1).cast("int"))
     assert sorted((r.file, r.offset, r.length, bytes(r.data)) for r in read.collect()) == sorted((r.file, r.offset, r.length, bytes(r.data)) for r in laid.collect())
     assert warc.audit(laid.select("file", "offset", "length", "data"), read).count() == 0
+
+
+def test_pipeline_run_leaves_only_its_stages(spark):
+    import os
+
+    import corpus_pipeline
+    from larkspur.llm.base import scratch_dir
+    from tests.conftest import DATA
+
+    before = set(os.listdir(scratch_dir(spark)))
+    packed = corpus_pipeline.run(spark, DATA)
+    left = {name.rpartition("-")[0] for name in set(os.listdir(scratch_dir(spark))) - before}
+    assert left == {f"pipeline-{name}" for name, _ in corpus_pipeline.STAGES}
+    assert packed.count() > 0 and packed.agg({"offset": "min"}).first()[0] == 0
