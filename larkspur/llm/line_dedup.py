@@ -43,7 +43,10 @@ def simhash(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
             sums = np.add.reduceat(_SPREAD[code[:, byte]], run_start)
             each = np.ascontiguousarray(sums).view(np.uint8).reshape(-1, 8).astype(np.int64)
             ones[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(each, first_run[:-1], axis=0) if len(each) > n else each
-        out[:, k] = np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.int64)[:, 0]
+        # in a tie, frequent in short lines, the bit of the line's first word by hash decides
+        lead = np.unpackbits(code[rows[:-1]], axis=1, bitorder="little") > 0
+        set_bits = (2 * ones > counts[:, None]) | ((2 * ones == counts[:, None]) & lead)
+        out[:, k] = np.packbits(set_bits, axis=1, bitorder="little").view(np.int64)[:, 0]
     return out
 
 

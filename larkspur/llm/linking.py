@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.base import materialize
 
+
 def _settled(edges: DataFrame) -> bool:
     """Whether every node has one edge to a smaller one at most, and none that has one is such a smaller node itself."""
     ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
@@ -20,8 +21,8 @@ def _settled(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): (node, comp) for every node with an edge; comp is the smallest node.
 
-    Alternates large-star and small-star steps until every node has one edge, to its component's smallest. Each step is two grouped
-    minima and joins on a node, written to the shared folder; nothing is gathered per component.
+    Alternates large-star and small-star steps until every node has one edge, to its component's smallest. Each
+    step is a grouped minimum and a join on a node, written to the shared folder; nothing is gathered per component.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while not _settled(e):
