@@ -82,7 +82,8 @@ def build(counts, order: int = ORDER, least_seen: int = LEAST_SEEN) -> Model:
     unseen = max(1, 256 - len(used))
     floor[0, 0] = unseen / 256  # all bytes not seen in training together
     known = {0: np.zeros(1, np.int64)}
-    tables = [np.repeat((floor / floor.sum())[None], max(1, len(languages)), 0)]
+    previous = np.repeat((floor / floor.sum())[None], len(languages), 0)
+    coded = []
     for depth in range(order + 1):
         context = np.zeros(len(grams), np.int64)
         for j in range(order - depth, order):
@@ -105,12 +106,14 @@ def build(counts, order: int = ORDER, least_seen: int = LEAST_SEEN) -> Model:
             mask = there & (lang == k)
             count = np.bincount(mine[mask] * size + parts[order][mask], n[mask], len(seen) * size).reshape(len(seen), size)
             total, distinct = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-            lower = np.where(count > 0, 0, tables[-1][k][parent])
+            lower = np.where(count > 0, 0, previous[k][parent])
             rest = lower.sum(1, keepdims=True)
             escape = np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1.0)
             level[k] = np.where(count > 0, count / np.maximum(total + distinct, 1), escape * lower / np.maximum(rest, 1e-300))
         known[depth] = seen
-        tables.append(level)
+        with np.errstate(divide="ignore"):
+            coded.append(-np.log2(level).astype(np.float32).transpose(1, 2, 0))
+        previous = level
     # the deepest known context of every possible run of ``order`` symbols
     state = np.zeros(size**order, np.int32)
     starts = np.cumsum([0] + [len(known[d]) for d in range(order + 1)])
@@ -121,10 +124,9 @@ def build(counts, order: int = ORDER, least_seen: int = LEAST_SEEN) -> Model:
         if len(known[depth]):
             hit = known[depth][place] == short
             state[hit] = starts[depth] + place[hit]
-    with np.errstate(divide="ignore"):
-        bits = -np.log2(np.concatenate(tables[1:], axis=1)) 
-    bits[:, :, 0] += np.log2(unseen)
-    return Model(languages, symbol.astype(np.int32), state, np.ascontiguousarray(bits.transpose(1, 2, 0)).reshape(-1, len(languages)).astype(np.float32))
+    bits = np.concatenate(coded)  # only one level is held in full precision at a time
+    bits[:, 0, :] += np.float32(np.log2(unseen))
+    return Model(languages, symbol.astype(np.int32), state, np.ascontiguousarray(bits).reshape(-1, len(languages)))
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
