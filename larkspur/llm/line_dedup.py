@@ -1,20 +1,28 @@
-"""Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, components."""
+"""Fuzzy line deduplication: SimHash and MinHash blocks of normalised lines, edit similarity, components."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import linking
 from larkspur.llm.base import arrow_rows, join_side, materialize, normalized
-from larkspur.llm.textvec import mix, row_chunks, utf8, word_hashes
+from larkspur.llm.textvec import mix, row_chunks, shingle_hashes, utf8, word_hashes
 
 THRESHOLD = 0.8
 #: For each byte value, its eight bits spread over the eight bytes of a word: sums of up to 255 stay apart.
 _SPREAD = np.array([sum(((b >> j) & 1) << (8 * j) for j in range(8)) for b in range(256)], np.uint64)
 _RUN = 255
+#: Blocks of three MinHash registers: of five-byte grams in lines of at most CHAR_LINE characters, of word pairs in lines of
+#: at least 0.8 of that, so that a pair on both sides of the limit has one kind in common.
+CHAR_LINE, CHAR_BLOCKS, PAIR_BLOCKS, REGISTERS, GRAM = 96, 16, 12, 3, 5
+#: Lines of at most so many characters may differ in two at the threshold: they are found by what is left without two.
+SHORT = 14
 
 
 def simhash(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -50,6 +58,60 @@ def simhash(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def char_grams(data: np.ndarray, offsets: np.ndarray, n: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-byte grams of all rows and each row's first; a shorter row is one gram."""
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    at, end = np.arange(len(data)), offsets[1:][row]
+    padded = np.concatenate((data.astype(np.uint64) + np.uint64(1), np.zeros(n, np.uint64)))
+    out = np.zeros(len(data), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            out = out * np.uint64(1099511628211) + np.where(at + j < end, padded[j : j + len(data)], np.uint64(0))
+    keep = (at + n <= end) | (at == offsets[:-1][row])
+    return mix(out[keep]), np.append(0, np.cumsum(keep))[offsets]
+
+
+def minhash_blocks(hashes: np.ndarray, firsts: np.ndarray, blocks: int) -> np.ndarray:
+    """32-bit hashes (rows x blocks) of REGISTERS MinHash registers each; every row needs a feature."""
+    out = np.zeros((len(firsts) - 1, blocks), np.uint64)
+    if len(out):
+        with np.errstate(over="ignore"):
+            for b in range(blocks):
+                for r in range(REGISTERS):
+                    out[:, b] = mix(out[:, b] * np.uint64(31) + np.minimum.reduceat(mix(hashes, b * REGISTERS + r + 1), firsts[:-1]))
+    return out >> np.uint64(32)
+
+
+def deletions(line: str) -> set[str]:
+    """The line without up to as many characters as it may differ in from a line of its length, or one more."""
+    most = 2 if len(line) >= 8 else int(len(line) >= 4)
+    return {"".join(line[i] for i in range(len(line)) if i not in out) for n in range(most + 1) for out in combinations(range(len(line)), n)}
+
+
+def block_keys(norm: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each line (int64, a hash of 32 bits below the kind of block) and the index of each line's first."""
+    data, offsets = utf8(norm)
+    n, size = len(norm), pc.utf8_length(norm).to_numpy(zero_copy_only=False)
+    words = word_hashes(data, offsets)
+    parts = [(np.repeat(np.arange(n), 6), simhash(*words).view(np.uint32).reshape(-1).astype(np.uint64), np.tile(np.arange(6), n))]
+    brief = np.flatnonzero(size <= CHAR_LINE)
+    for rows, features, blocks, kind in (
+        (brief, lambda part: char_grams(*utf8(part)), CHAR_BLOCKS, 6),
+        (np.flatnonzero(size >= 0.8 * CHAR_LINE), lambda part: shingle_hashes(*word_hashes(*utf8(part)), 2), PAIR_BLOCKS, 6 + CHAR_BLOCKS),
+    ):
+        values = minhash_blocks(*features(norm.take(pa.array(rows))), blocks)
+        parts.append((np.repeat(rows, blocks), values.reshape(-1), np.tile(np.arange(kind, kind + blocks), len(rows))))
+    left = [(i, d) for i, line in zip(brief.tolist(), norm.take(pa.array(brief)).to_pylist()) if len(line) <= SHORT for d in deletions(line)]
+    if left:
+        # the hash of a whole text, as of one long word
+        texts = pa.array([d.replace(" ", "_") or "_" for _, d in left])
+        parts.append((np.array([i for i, _ in left]), word_hashes(*utf8(texts))[0] >> np.uint64(32), np.full(len(left), 6 + CHAR_BLOCKS + PAIR_BLOCKS)))
+    row, value, kind = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(row, kind="stable")
+    keys = (value | (kind.astype(np.uint64) << np.uint64(32)))[order].view(np.int64)
+    return keys, np.searchsorted(row[order], np.arange(n + 1))
+
+
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance by bit-parallel columns in Python's long integers; equal ends are cut off first."""
     start, most = 0, min(len(a), len(b))
@@ -91,23 +153,28 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 
 def signed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, k1, s0, s1, s2) of every line of ``split_lines``: the normalised line's hash and SimHash."""
+    """(doc_id, line_no, k1, keys) of every line of ``split_lines``: the normalised line's hash and block keys."""
 
     def sign(batches):
         for batch in batches:
             for start, stop in row_chunks(batch["norm"]):
                 part = batch.slice(start, stop - start)
-                bits = simhash(*word_hashes(*utf8(part["norm"])))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["line_no"], part["k1"], *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(3))], ["doc_id", "line_no", "k1", "s0", "s1", "s2"])
+                keys, firsts = block_keys(part["norm"])
+                lists = pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["line_no"], part["k1"], lists], ["doc_id", "line_no", "k1", "keys"])
 
     rows = split_lines(docs).select("doc_id", "line_no", F.xxhash64("norm").alias("k1"), "norm")
-    return rows.mapInArrow(sign, "doc_id long, line_no int, k1 long, s0 long, s1 long, s2 long")
+    return rows.mapInArrow(sign, "doc_id long, line_no int, k1 long, keys array<long>")
 
 
 def blocks_of(lines: DataFrame) -> DataFrame:
-    """(node, key): each line's six blocks of 32 bits, with the block's place."""
-    keys = [part.bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit((2 * k + half) << 32)) for k in range(3) for half, part in enumerate((F.col(f"s{k}"), F.shiftright(f"s{k}", 32)))]
-    return lines.select(F.col("k1").alias("node"), F.explode(F.array(*keys)).alias("key"))
+    """(node, key) of each line's block keys, dealt out by key once for all that asks for it."""
+    return lines.select(F.col("k1").alias("node"), F.explode("keys").alias("key")).repartition("key")
+
+
+def letters(line: str) -> np.ndarray:
+    """Counts of the line's characters in 32 bins; half their sum of differences is no more than the edit distance."""
+    return np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32) & 31, minlength=32).astype(np.int32)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -124,9 +191,10 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row (doc_id, line_no, class_doc, class_line, kept) per line with a letter or digit.
 
-    Lines are compared as lower-cased runs of letters and digits. Lines whose SimHashes share one of six 32-bit
-    blocks (all within 5 of 192 bits do) and whose edit similarity is ``threshold`` or more are linked; a
-    class is a connected component, named by its first occurrence (smallest doc_id, then line number), which
+    Lines are compared as lower-cased runs of letters and digits. Lines that share a block (``block_keys``) and
+    whose edit similarity is ``threshold`` or more are linked. Blocks are six of the SimHash's 192 bits (lines
+    within 5 bits share one), MinHash registers of five-byte grams or word pairs, and for lines of at most 14
+    characters what is left without one or two of them; README gives the share of links that they find. A class is a connected component, named by its first occurrence (smallest doc_id, then line number), which
     alone is kept. Lines of one normalised form (by its 64-bit hash) are one node of the graph.
 
     Lines without a letter or digit, lines of a null text and of documents without an id have no row: they
