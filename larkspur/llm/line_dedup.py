@@ -23,6 +23,8 @@ _RUN = 255
 CHAR_LINE, CHAR_BLOCKS, PAIR_BLOCKS, REGISTERS, GRAM = 96, 16, 12, 3, 5
 #: Lines of at most so many characters may differ in two at the threshold: they are found by what is left without two.
 SHORT = 14
+#: Nodes of a block of a key, of which each pair is compared in one place.
+NODES = 500
 
 
 def simhash(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -52,7 +54,12 @@ def simhash(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
             each = np.ascontiguousarray(sums).view(np.uint8).reshape(-1, 8).astype(np.int64)
             ones[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(each, first_run[:-1], axis=0) if len(each) > n else each
         # in a tie, frequent in short lines, the bit of the line's first word by hash decides
-        lead = np.unpackbits(code[rows[:-1]], axis=1, bitorder="little") > 0
+        first = code[rows[:-1]]
+        # of two words every bit that differs is a tie: there both decide, or all lines with one word would be alike
+        two = np.flatnonzero(counts == 2)
+        with np.errstate(over="ignore"):
+            first[two] = mix(words[rows[two]] + words[rows[two] + 1], k + 1).view(np.uint8).reshape(-1, 8)
+        lead = np.unpackbits(first, axis=1, bitorder="little") > 0
         set_bits = (2 * ones > counts[:, None]) | ((2 * ones == counts[:, None]) & lead)
         out[:, k] = np.packbits(set_bits, axis=1, bitorder="little").view(np.int64)[:, 0]
     return out
@@ -112,8 +119,11 @@ def block_keys(norm: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.searchsorted(row[order], np.arange(n + 1))
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance by bit-parallel columns in Python's long integers; equal ends are cut off first."""
+def edit_distance(a: str, b: str, most_wanted: float = float("inf")) -> int:
+    """Levenshtein distance by bit-parallel columns in Python's long integers; equal ends are cut off first.
+
+    Once the distance is sure to exceed ``most_wanted``, a number above that is returned.
+    """
     start, most = 0, min(len(a), len(b))
     while start < most and a[start] == b[start]:
         start += 1
@@ -127,11 +137,13 @@ def edit_distance(a: str, b: str) -> int:
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
     full, top, plus, minus, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), (1 << len(a)) - 1, 0, len(a)
-    for c in b:
+    for ahead, c in zip(range(len(b) - 1, -1, -1), b):
         match = places.get(c, 0)
         diagonal = (((match & plus) + plus) ^ plus) | match | minus
         up, down = minus | (full & ~(diagonal | plus)), plus & diagonal
         distance += bool(up & top) - bool(down & top)
+        if distance - ahead > most_wanted:  # each character ahead takes one away at most
+            return distance - ahead
         up, down = (up << 1) | 1, down << 1
         plus, minus = (down | (full & ~(diagonal | up))) & full, up & diagonal & full
     return distance
@@ -143,7 +155,8 @@ def edit_similarity(a: str, b: str) -> float:
 
 
 def similar(a: str, b: str, threshold: float) -> bool:
-    return min(len(a), len(b)) >= threshold * max(len(a), len(b)) and edit_distance(a, b) <= (1 - threshold) * max(len(a), len(b)) + 1e-9
+    most = (1 - threshold) * max(len(a), len(b)) + 1e-9
+    return min(len(a), len(b)) >= threshold * max(len(a), len(b)) and edit_distance(a, b, most) <= most
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -177,6 +190,52 @@ def letters(line: str) -> np.ndarray:
     return np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32) & 31, minlength=32).astype(np.int32)
 
 
+def similar_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """As ``linking.all_pairs``, but only the pairs that reach the edit similarity, compared where they meet.
+
+    The nodes of a key are cut into blocks by hash, and each pair of blocks is compared in one place. Lengths and
+    counts of letters, from which the edit distance can only be more, leave few pairs to the distance itself.
+    """
+    blocks = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / NODES).alias("blocks"))
+    rows = rest.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "comp", "node").join(texts, "node")
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def met(place, rows):
+        node, comp, mine, norm = (list(x) for x in zip(*rows))
+        node, comp, mine = (np.array(x) for x in (node, comp, mine))
+        size, counts = np.array([len(x) for x in norm]), np.stack([letters(x) for x in norm])
+        for x in range(len(rows) - 1):
+            most = np.maximum(size[x], size[x + 1 :])
+            far = np.maximum(np.abs(counts[x + 1 :] - counts[x]).sum(1) / 2, np.abs(size[x + 1 :] - size[x]))
+            near = (comp[x + 1 :] != comp[x]) & (far <= (1 - threshold) * most + 1e-9)
+            if place[1] != place[2]:
+                near &= mine[x + 1 :] != mine[x]
+            for y in np.flatnonzero(near) + x + 1:
+                if similar(norm[x], norm[y], threshold):
+                    yield min(node[x], node[y]), max(node[x], node[y])
+
+    def compare(batches):
+        place, held = None, []
+        for batch in batches:
+            found = []
+            for *at, mine, comp, node, norm in zip(*(batch[c].to_pylist() for c in ("key", "i", "j", "mine", "comp", "node", "norm"))):
+                if at != place:
+                    found.extend(met(place, held) if len(held) > 1 else ())
+                    place, held = at, []
+                held.append((node, comp, mine, norm))
+            yield _edges(found)
+        yield _edges(list(met(place, held)) if len(held) > 1 else [])
+
+    return dealt.select("key", "i", "j", "mine", "comp", "node", "norm").mapInArrow(compare, "a long, b long")
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes whose lines reach the edit similarity."""
 
@@ -215,7 +274,11 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         with arrow_rows(spark, 2000):
             return materialize(verified(pairs, texts, threshold), "line-edges")
 
-    comp = linking.link(shared, verify)
+    def pair_up(rest: DataFrame) -> DataFrame:
+        with arrow_rows(spark, 2000):
+            return materialize(similar_pairs(rest, texts, threshold), "line-pairs")
+
+    comp = linking.link(shared, verify, pair_up)
     # only lines that have a copy or a link need to be looked up
     repeated = lines.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1")
     touched = materialize(repeated.join(comp.toDF("k1", "comp"), "k1", "full").select("k1", F.coalesce("comp", "k1").alias("comp")), "touched-lines")

@@ -1,9 +1,12 @@
-"""Which similar lines share a block, against all pairs of lines."""
+"""Which similar lines share a block, against all pairs of lines, and how the nodes of a full key are compared."""
+
+import itertools
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from larkspur.llm import line_dedup
+from larkspur.llm import line_dedup, textvec
 from tests.conftest import DATA
 from tests.llm.test_against_brute_force import normal
 
@@ -27,3 +30,19 @@ def test_variants_of_one_word_or_letter_are_linked(spark):
     docs = spark.createDataFrame([(i, text) for i, text in enumerate(plain + changed)], "doc_id long, text string")
     got = {r.doc_id: r.class_doc for r in line_dedup.line_classes(docs).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 0, 4: 1, 5: 2}
+
+
+def test_two_word_lines_do_not_crowd_a_block():
+    bits = line_dedup.simhash(*textvec.word_hashes(*textvec.utf8(pa.array([f"entry name{i}x" for i in range(400)]))))
+    assert all(len(np.unique(column)) > 395 for column in bits.view(np.uint32).reshape(400, 6).T)
+
+
+def test_full_key_is_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "NODES", 80)
+    texts = [f"entry number {i * i * 7919 + 10**9}" for i in range(250)]
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, norm string")
+    rest = nodes.select(F.lit(1).cast("long").alias("key"), "node", F.when(F.col("node") < 10, F.lit(0)).otherwise(F.col("node")).alias("comp"))
+    got = [(r.a, r.b) for r in line_dedup.similar_pairs(rest, nodes, 0.8).collect()]
+    counts = np.stack([line_dedup.letters(x) for x in texts])
+    right = {(a, b) for a, b in itertools.combinations(range(250), 2) if b >= 10 and np.abs(counts[a] - counts[b]).sum() <= 10 and line_dedup.similar(texts[a], texts[b], 0.8)}
+    assert len(got) == len(set(got)) and set(got) == right and right
