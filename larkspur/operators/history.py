@@ -7,10 +7,19 @@ from pyspark.sql import functions as F
 
 
 def gaps(df: DataFrame, key: str, clock: str) -> DataFrame:
-    """(key, runs, latest, max_gap_s): the latest clock and the largest gap between consecutive ones."""
-    before = F.lag(clock).over(Window.partitionBy(key).orderBy(clock))
-    seconds = F.unix_timestamp(F.col(clock).cast("timestamp")) - F.unix_timestamp(before.cast("timestamp"))
-    return df.withColumn("_gap", seconds).groupBy(key).agg(F.count(F.lit(1)).alias("runs"), F.max(clock).alias("latest"), F.max("_gap").alias("max_gap_s"))
+    """(key, runs, latest, max_gap_s): the latest clock and the largest gap between consecutive ones.
+
+    Rows are ordered within a key's days; only the first and last clock of each day meet in one place for a key.
+    """
+
+    def seconds(later: Column, earlier: Column) -> Column:
+        return F.unix_timestamp(later.cast("timestamp")) - F.unix_timestamp(earlier.cast("timestamp"))
+
+    rows = df.select(key, clock, F.to_date(clock).alias("_day"))
+    inner = seconds(F.col(clock), F.lag(clock).over(Window.partitionBy(key, "_day").orderBy(clock)))
+    days = rows.withColumn("_gap", inner).groupBy(key, "_day").agg(F.count(F.lit(1)).alias("_n"), F.min(clock).alias("_first"), F.max(clock).alias("_last"), F.max("_gap").alias("_gap"))
+    between = seconds(F.col("_first"), F.lag("_last").over(Window.partitionBy(key).orderBy("_day")))
+    return days.withColumn("_gap", F.greatest("_gap", between)).groupBy(key).agg(F.sum("_n").alias("runs"), F.max("_last").alias("latest"), F.max("_gap").alias("max_gap_s"))
 
 
 def islands(df: DataFrame, keys: list[str], state: str, order: list[str]) -> DataFrame:
