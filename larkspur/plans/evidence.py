@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from larkspur.functions import keys
 from larkspur.operators import fields
 from larkspur.plans.common import Tables, named, named_sql
+from larkspur.sources.scratch import new_path, tidy
 from larkspur.streaming import upserts
 
 QUERIES, ORACLES = {}, {}
@@ -262,9 +261,8 @@ def consensus(spark, sf_dir):
 
 
 @query("""SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY 1""")
+@tidy
 def stream_upsert(spark, sf_dir):
-    """The events as a stream of files into a keyed table of the latest event a user; the table after all that is there."""
-    from larkspur.sources.scratch import shared_dir
-
+    """The events as a stream of files into a keyed table of the latest event a user; the table after all that is there. Runs the stream when called."""
     events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parquet*")
-    return upserts.latest_table(events, ["user_id"], ["ts", "event_id"], f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}").select("user_id", "event_id", "ts")
+    return upserts.latest_table(events, ["user_id"], ["ts", "event_id"], new_path(spark, "upsert")).select("user_id", "event_id", "ts")

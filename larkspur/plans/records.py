@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from larkspur.operators import fields, published
 from larkspur.plans.common import Tables
 from larkspur.sources import manifests
-from larkspur.sources.scratch import shared_dir
+from larkspur.sources.scratch import new_path, tidy
 from larkspur.streaming import upserts
 
 QUERIES, ORACLES = {}, {}
@@ -77,9 +75,10 @@ def evidence_once(spark, sf_dir):
 
 
 @query("""SELECT year(o_orderdate) AS year, count(*) AS n, max(o_orderkey) AS last_key, round(sum(o_totalprice), 2) AS total FROM orders WHERE year(o_orderdate) >= 1998 GROUP BY 1""")
+@tidy
 def manifest_scan(spark, sf_dir):
-    """Orders written as year folders of JSON and scanned back; the filter on the year prunes folders."""
-    path = f"{shared_dir(spark)}/manifests-{uuid.uuid4().hex}"
+    """Orders written as year folders of JSON and scanned back; the filter on the year prunes folders. Runs jobs when called."""
+    path = new_path(spark, "manifests")
     orders = Tables(spark, sf_dir).orders.select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"))
     manifests.write(orders, path)
     found = manifests.read(spark, path, "o_orderkey long, o_totalprice double, year int").where("year >= 1998")
@@ -96,9 +95,10 @@ def approval_gate(spark, sf_dir):
 
 
 @query("""SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")
+@tidy
 def stream_window(spark, sf_dir):
-    """Counts by day of a watermarked stream (an extension): every file that is there is one run's input."""
-    path = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    """Counts by day of a watermarked stream (an extension): every file that is there is one run's input. Runs the stream when called."""
+    path = new_path(spark, "windows")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     counted = upserts.windowed_counts(events, "ts", "event_type", "1 day", "40 days")

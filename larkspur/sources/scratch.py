@@ -1,16 +1,70 @@
-"""The folder for intermediate tables that all executors share."""
+"""Intermediate tables in the folder that all executors share."""
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import tempfile
+import threading
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: The tables written within each open scope of a thread.
+_open = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder named in ``spark.checkpoint.dir``. Where it is unset, a local master gets a local folder; a cluster has none to share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; the open scope deletes what is written there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in getattr(_open, "scopes", [])[-1:]:
+        scope.append(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Deletes, at its end, the tables that its thread has written within; write your result elsewhere before."""
+    scopes = _open.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in scopes.pop():
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(hadoop).delete(folder, True)
+
+
+def tidy(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query run in a scratch scope: it runs its jobs when called, leaves its result as a table, and its other tables go."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{shared_dir(spark)}/{query.__name__}-{uuid.uuid4().hex}"
+        with scratch_scope(spark):
+            out = query(spark, sf_dir)
+            out.write.parquet(path)
+        return spark.read.schema(out.schema).parquet(path)
+
+    return run
