@@ -1,14 +1,15 @@
-"""Shared helpers: lineage cuts, table reading, text normalisation."""
+"""Shared helpers: table reading, text normalisation, bounded batches and join sides."""
 
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.sources.scratch import materialize, scratch_scope, tidy  # noqa: F401
+from larkspur.sources.scratch import shared_dir as scratch_dir  # noqa: F401
+
 #: Whitespace that separates words in the contracts: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -17,42 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="larkspur-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-#: Tables written within each open ``scratch_scope``.
-_scopes: list[list[str]] = []
-
-
-@contextlib.contextmanager
-def scratch_scope(spark: SparkSession):
-    """Deletes, at its end, the tables that ``materialize`` has written within; write your result elsewhere before."""
-    _scopes.append([])
-    try:
-        yield
-    finally:
-        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _scopes.pop():
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(hadoop).delete(folder, True)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for scope in _scopes[-1:]:
-        scope.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def normalized(text: Column) -> Column:
     """Lower-cased runs of letters and digits joined by one space; null stays null."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))

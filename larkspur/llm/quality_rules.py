@@ -48,7 +48,8 @@ def line_fails(line: Column, min_marks: int = 3, short_words: int = 3, max_marks
 def repeated_words(words: Column) -> Column:
     """Words that stand in a three-word window found twice or more in the array ``words``, the first time included.
 
-    Windows are sorted by hash and position within the row; neighbours of one hash are compared word by word.
+    Windows are sorted by a 64-bit hash of their words and by place within the row; neighbours of one hash count as
+    the same words. Two different windows of a text of n words share a hash with odds of about n^2 / 2^65.
     """
     n = F.size(words)
     at = lambda i: F.get(words, i)
