@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.base import SPACE, materialize
 
-#: Hex digits of the document hash in each level of the nested histograms; levels; threshold rounds.
-DIGITS, LEVELS, ROUNDS = 4, 3, 3
+#: Hex digits of the document hash in each level of the nested histograms (so a source has 4096 buckets at most); levels; threshold rounds.
+DIGITS, LEVELS, ROUNDS = 3, 4, 3
+#: Columns that the mix adds.
+RESULTS = ("size", "source_size", "target", "taken")
 
 
 def size_of(text: Column) -> Column:
@@ -23,7 +25,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     Sources by code point (null last) get the weights in turn and share all sizes; no target is over
     ``most`` times its source's size, and what that cuts off is shared again by weight. The fixed point is
     min(most * size, level * weight); the level is found from running sums over the sources ordered by
-    most * size / weight, so the number of rounds does not matter. The table has one row per source.
+    most * size / weight, so the number of rounds does not matter. The table has one row per source and is
+    ordered in one task: some millions of sources at most, whatever the number of documents.
     """
     order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
     cap = F.lit(most) * F.col("source_size")
@@ -40,29 +43,31 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     return level.select("source", "source_size", F.coalesce(F.least(cap.cast("double"), free * F.col("weight")), cap.cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, rounds: int = ROUNDS) -> DataFrame:
-    """The columns of ``docs`` with size, source_size, target and taken.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, rounds: int = ROUNDS, columns: list[str] | None = None) -> DataFrame:
+    """The columns of ``docs`` (or those named in ``columns``) with size, source_size, target and taken.
 
     ``taken`` is a whole number of copies of a document times its size: every document of a source is taken
     floor(target / source_size) times, and once more if its hash is below the source's threshold. The
-    threshold comes from nested histograms: words by source and the first four hex digits of the hash, then
-    within the boundary bucket alone by the next four, and so on. A long document at the boundary can leave
+    threshold comes from nested histograms: words by source and the first three hex digits of the hash, then
+    within the boundary bucket alone by the next three, and so on. A long document at the boundary can leave
     much of the target open, so a further round does the same for documents above the threshold that fit
-    what is left; the last round takes its boundary bucket too if that is nearer to the target.
+    what is left; the last round takes its boundary bucket too if that is nearer to the target. Texts are
+    read once: the rows are written with their size and hash, and thresholds are found from these two alone.
 
     Nulls: a null text has size 0; a null source is a source of its own (last); a null doc_id is hashed as an
     empty text. The hash covers doc_id and text, so only fully repeated rows share a fate. An empty table gives
     an empty result. Columns of ``docs`` named like the results are replaced.
     """
-    docs = docs.drop(*(c for c in ("size", "source_size", "target", "taken") if c in docs.columns))
+    kept = [c for c in columns or docs.columns if c not in RESULTS]
     digest = F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit("")))), 1, DIGITS * LEVELS)
-    narrow = materialize(docs.select("source", size_of(F.col("text")).alias("size"), digest.alias("h")), "mix-sizes")
-    goal = materialize(targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-goal")
+    rows = materialize(docs.select(*kept, F.col("source").alias("_mix_source"), size_of(F.col("text")).alias("size"), digest.alias("_mix_h")), "mix-rows")
+    narrow = rows.select(F.col("_mix_source").alias("row_source"), "size", F.col("_mix_h").alias("h"))
+    goal = materialize(targets(narrow.groupBy(F.col("row_source").alias("source")).agg(F.sum("size").alias("source_size")), weights, most), "mix-goal")
     # the plan has one row per source; Spark broadcasts it only below its own size limit
-    plan = _thresholds(narrow, goal, rounds).withColumnsRenamed({"source": "_mix_source", "copies": "_mix_copies", "cuts": "_mix_cuts"})
-    out = docs.withColumn("size", size_of(F.col("text"))).withColumn("_mix_h", digest).join(plan, F.col("source").eqNullSafe(F.col("_mix_source")))
+    plan = _thresholds(narrow, goal, rounds).withColumnsRenamed({"source": "_mix_of", "copies": "_mix_copies", "cuts": "_mix_cuts"})
     extra = F.exists("_mix_cuts", lambda c: (F.col("size") <= c["fits"]) & (F.col("_mix_h") < c["below"]))
-    return out.withColumn("taken", F.col("size") * (F.col("_mix_copies") + extra.cast("long"))).drop("_mix_source", "_mix_h", "_mix_copies", "_mix_cuts")
+    joined = rows.join(plan, F.col("_mix_source").eqNullSafe(F.col("_mix_of")))
+    return joined.withColumn("taken", F.col("size") * (F.col("_mix_copies") + extra.cast("long"))).select(*kept, *RESULTS)
 
 
 def _thresholds(narrow: DataFrame, goal: DataFrame, rounds: int) -> DataFrame:
@@ -72,7 +77,7 @@ def _thresholds(narrow: DataFrame, goal: DataFrame, rounds: int) -> DataFrame:
     """
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = goal.withColumn("copies", copies).withColumn("left", F.col("target") - F.col("copies") * F.col("source_size")).withColumn("cuts", F.expr("cast(array() as array<struct<fits: double, below: string>>)")).withColumn("from", F.lit(""))
-    rows = narrow.where("size > 0").withColumnRenamed("source", "row_source")
+    rows = narrow.where("size > 0")
     for turn in range(1, rounds + 1):
         plan = plan.withColumn("fits", F.col("left") if turn > 1 else F.lit(float("inf"))).withColumn("prefix", F.lit("")).withColumn("edge_words", F.lit(None).cast("long")).withColumn("open", F.col("left") > 0).withColumn("below", F.col("from"))
         for level in range(1, LEVELS + 1):
