@@ -16,8 +16,8 @@ from larkspur.llm.base import arrow_rows, materialize
 LENGTH = 1024
 #: Lengths are counted in bins of so many tokens; a pattern's bins, rounded up, fit a sequence.
 BIN = 4
-#: Parts that the ranks of one bin are counted in, so that no bin's pieces meet in one task.
-SALTS = 64
+#: Pieces of a bin that are ranked in one place, about, and parts of a bin at most.
+RANKED, MOST_SALTS = 1000, 4096
 
 
 class Encoder:
@@ -203,20 +203,19 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, bin_width: int =
     A document is its ids and ``end_id``; a null text is empty and so has one token. Documents longer than a
     sequence fill whole sequences and leave one rest. Rests are counted by bin; cutting-stock patterns over the
     bins are found on the driver from that histogram alone (at most length / bin_width counts), and pieces,
-    ranked within their bin, take the patterns' places by a join. Pieces of a sequence lie gapless from 0.
+    ranked within their bin, take the patterns' places by a join. Pieces of a sequence lie gapless from 0. Full
+    pieces are neither ranked nor shuffled. Sequence ids are unique, not gapless. Runs its jobs when called.
 
     Null doc_ids and repeated rows are packed like any other row. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     with arrow_rows(spark, 1000):
-        cut = materialize(pieces(docs, tokenizer, length, end_id, with_ids), "pieces")
+        cut = materialize(pieces(docs, tokenizer, length, end_id, with_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
     capacity = length // bin_width
-    counted = cut.withColumn("bin", F.ceil(F.col("length") / bin_width).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    # bounded by the bins times the salts, whatever the table's size
-    histogram = counted.groupBy("bin", "salt").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    demand = {int(b): int(n) for b, n in histogram.groupby("bin")["n"].sum().items()}
-    full = demand.pop(capacity, 0)
-    patterns = ([Pattern({capacity: 1}, full)] if full else []) + cutting_stock(demand, capacity)
+    bin_of = F.ceil(F.col("length") / bin_width).cast("int")
+    demand = {r["bin"]: r["n"] for r in cut.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    demand.pop(capacity, None)  # full pieces
+    patterns = cutting_stock(demand, capacity)
     slots, begin, taken = [], 0, {}
     for p in patterns:
         for order, (b, k) in enumerate(sorted(p.parts.items(), reverse=True)):
@@ -224,18 +223,24 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, bin_width: int =
             slots.append((b, at, at + k * p.copies, k, begin, order))
             taken[b] = at + k * p.copies
         begin += p.copies
-    histogram = histogram.sort_values(["bin", "salt"])
-    histogram["base"] = histogram.groupby("bin")["n"].cumsum() - histogram["n"]
-    bases = spark.createDataFrame([tuple(map(int, r)) for r in histogram[["bin", "salt", "base"]].itertuples(index=False)], "bin int, salt int, base long")
+    # pieces are ranked within parts of their bin, by the number they were written with, so that repeated rows are spread like others
+    salts = min(MOST_SALTS, -(-max(demand.values(), default=1) // RANKED))
+    rests = cut.withColumn("bin", bin_of).where(F.col("bin") < capacity).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+    # at most bins * salts rows, whatever the table's size
+    counted = rests.groupBy("bin", "salt").agg(F.count(F.lit(1)).alias("n"))
+    bases = materialize(counted.select("bin", "salt", (F.sum("n").over(Window.partitionBy("bin").orderBy("salt")) - F.col("n")).alias("base")), "piece-bases")
     places = spark.createDataFrame(slots, "bin int, first long, stop long, each int, begin long, order int")
-    ids = Window.partitionBy("bin", "salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = counted.withColumn("rank", F.row_number().over(ids) - 1).join(F.broadcast(bases), ["bin", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
-    # both tables are bounded by the number of bins: at most bins * salts and a few patterns a bin
+    rank = F.row_number().over(Window.partitionBy("bin", "salt").orderBy("row")) - 1
+    ranked = rests.withColumn("rank", rank).join(F.broadcast(bases), ["bin", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
+    # a few patterns a bin
     placed = ranked.join(F.broadcast(places), (ranked["bin"] == places["bin"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("stop")))
     placed = placed.withColumn("sequence_id", F.col("begin") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).withColumn("slot", F.pmod(F.col("rank") - F.col("first"), F.col("each")))
     before = Window.partitionBy("sequence_id").orderBy("order", "slot").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids)
+    # a full piece is a sequence, named by its own number after those of the patterns
+    full = cut.where(bin_of >= capacity).withColumn("sequence_id", F.col("row") + F.lit(begin)).withColumn("offset", F.lit(0).cast("long"))
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
+    return placed.select(names).unionByName(full.select(names))
 
 
 def sequences(packed: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataFrame:
