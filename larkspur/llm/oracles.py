@@ -65,4 +65,12 @@ SELECT doc_id, size, source_size, target, size * (copies + (((size <= fits1 AND
 FROM docs d JOIN final f ON d.source IS NOT DISTINCT FROM f.source
 """
 
-ORACLES = {"op3_quality_rules": _OP3, "op5_warc_audit": _OP5, "op10_mixing": _OP10}
+#: Vectors of one length without repeated ids, as the given table has them.
+_OP4 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
+"""
+
+ORACLES = {"op3_quality_rules": _OP3, "op4_topk": _OP4, "op5_warc_audit": _OP5, "op10_mixing": _OP10}
