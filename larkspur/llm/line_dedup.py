@@ -160,13 +160,14 @@ def similar(a: str, b: str, threshold: float) -> bool:
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, norm) of every line with a letter or digit, of documents with an id."""
-    lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", normalized(F.col("line")).alias("norm")).where("norm <> ''")
+    """(doc_id, text_hash, line_no, norm) of every line with a letter or digit, of documents with an id."""
+    lines = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", "text_hash", "line_no", normalized(F.col("line")).alias("norm")).where("norm <> ''")
 
 
 def signed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, k1, keys) of every line of ``split_lines``: the normalised line's hash and block keys."""
+    """(doc_id, text_hash, line_no, k1, keys) of every line of ``split_lines``: the normalised line's hash and block keys."""
+    place = ["doc_id", "text_hash", "line_no", "k1"]
 
     def sign(batches):
         for batch in batches:
@@ -174,10 +175,10 @@ def signed_lines(docs: DataFrame) -> DataFrame:
                 part = batch.slice(start, stop - start)
                 keys, firsts = block_keys(part["norm"])
                 lists = pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["line_no"], part["k1"], lists], ["doc_id", "line_no", "k1", "keys"])
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in place), lists], [*place, "keys"])
 
-    rows = split_lines(docs).select("doc_id", "line_no", F.xxhash64("norm").alias("k1"), "norm")
-    return rows.mapInArrow(sign, "doc_id long, line_no int, k1 long, keys array<long>")
+    rows = split_lines(docs).select("doc_id", "text_hash", "line_no", F.xxhash64("norm").alias("k1"), "norm")
+    return rows.mapInArrow(sign, "doc_id long, text_hash long, line_no int, k1 long, keys array<long>")
 
 
 def blocks_of(lines: DataFrame) -> DataFrame:
@@ -191,7 +192,7 @@ def letters(line: str) -> np.ndarray:
 
 
 def similar_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """As ``linking.all_pairs``, but only the pairs that reach the edit similarity, compared where they meet.
+    """Pairs (a, b), a < b, of nodes of different components that share a key and reach the edit similarity, compared where they meet.
 
     The nodes of a key are cut into blocks by hash, and each pair of blocks is compared in one place. Lengths and
     counts of letters, from which the edit distance can only be more, leave few pairs to the distance itself.
@@ -248,23 +249,26 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row (doc_id, line_no, class_doc, class_line, kept) per line with a letter or digit.
+    """One row (doc_id, text_hash, line_no, class_doc, class_line, kept) per line with a letter or digit.
 
     Lines are compared as lower-cased runs of letters and digits. Lines that share a block (``block_keys``) and
     whose edit similarity is ``threshold`` or more are linked. Blocks are six of the SimHash's 192 bits (lines
     within 5 bits share one), MinHash registers of five-byte grams or word pairs, and for lines of at most 14
-    characters what is left without one or two of them; README gives the share of links that they find. A class is a connected component, named by its first occurrence (smallest doc_id, then line number), which
-    alone is kept. Lines of one normalised form (by its 64-bit hash) are one node of the graph.
+    characters what is left without one or two of them; README gives the share of links that they find. A class
+    is a connected component, named by its first occurrence (smallest doc_id, then hash of the text, then line
+    number), which alone is kept. Lines of one normalised form (by its 64-bit hash) are one node of the graph.
 
     Lines without a letter or digit, lines of a null text and of documents without an id have no row: they
-    are left alone. Of rows that repeat a doc_id and its text, all keep the same lines.
+    are left alone. Different texts under one doc_id are told apart by text_hash (xxhash64 of the text); rows that
+    repeat a doc_id and its text keep the same lines. Runs its jobs when called.
     """
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     with arrow_rows(spark, 5000):
         lines = materialize(signed_lines(docs), "lines")
+    # each normalised line once, with its first place: partial minima go through the shuffle, so a very common line is a few rows
+    kinds = materialize(lines.groupBy("k1").agg(F.min(F.struct("doc_id", "text_hash", "line_no")).alias("at"), F.count(F.lit(1)).alias("n")), "line-kinds")
     shared = linking.shared_keys(blocks_of(lines))
-    places = lines.join(shared.select(F.col("node").alias("k1")).distinct(), "k1").groupBy(F.col("k1").alias("node")).agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-    wanted = materialize(places.select("node", "at.doc_id", "at.line_no"), "line-places")
+    wanted = materialize(kinds.join(shared.select(F.col("node").alias("k1")).distinct(), "k1").select(F.col("k1").alias("node"), "at.doc_id", "at.line_no"), "line-places")
     asked = materialize(wanted.groupBy("doc_id").agg(F.collect_set("line_no").alias("asked")), "asked-lines")
     found = docs.select("doc_id", "text").join(join_side(asked, "asked"), "doc_id").select(F.split("text", "\n").alias("lines"), "asked").select(F.explode(F.transform("asked", lambda i: F.get("lines", i))).alias("line"))
     norm = found.select(normalized(F.col("line")).alias("norm")).select(F.xxhash64("norm").alias("node"), "norm")
@@ -280,22 +284,23 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     comp = linking.link(shared, verify, pair_up)
     # only lines that have a copy or a link need to be looked up
-    repeated = lines.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1")
-    touched = materialize(repeated.join(comp.toDF("k1", "comp"), "k1", "full").select("k1", F.coalesce("comp", "k1").alias("comp")), "touched-lines")
-    firsts = lines.join(touched, "k1").groupBy("comp").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    classes = materialize(touched.join(firsts, "comp").select("k1", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line")), "line-classes")
-    out = lines.select("doc_id", "line_no", "k1").join(classes, "k1", "left")
-    own = F.col("class_doc").isNull() | ((F.col("doc_id") == F.col("class_doc")) & (F.col("line_no") == F.col("class_line")))
-    return out.select("doc_id", "line_no", F.coalesce("class_doc", "doc_id").alias("class_doc"), F.coalesce("class_line", "line_no").alias("class_line"), own.alias("kept"))
+    touched = materialize(kinds.join(comp.toDF("k1", "comp"), "k1", "left").where("n > 1 or comp is not null").select("k1", "at", F.coalesce("comp", "k1").alias("comp")), "touched-lines")
+    firsts = touched.groupBy("comp").agg(F.min("at").alias("first"))
+    classes = materialize(touched.join(firsts, "comp").select("k1", F.col("first.doc_id").alias("class_doc"), F.col("first.text_hash").alias("class_text"), F.col("first.line_no").alias("class_line")), "line-classes")
+    out = lines.select("doc_id", "text_hash", "line_no", "k1").join(join_side(classes), "k1", "left")
+    first = (F.col("doc_id") == F.col("class_doc")) & (F.col("text_hash") == F.col("class_text")) & (F.col("line_no") == F.col("class_line"))
+    kept = F.col("class_doc").isNull() | first
+    return out.select("doc_id", "text_hash", "line_no", F.coalesce("class_doc", "doc_id").alias("class_doc"), F.coalesce("class_line", "line_no").alias("class_line"), kept.alias("kept"))
 
 
 def drop_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``docs`` without the lines that ``classes`` does not keep; a document that loses all its worded lines goes.
 
-    Documents that had no worded line stay as they are. The order of the lines that stay is the text's own.
+    Documents that had no worded line stay as they are, so do those without an id. The order of the lines that stay
+    is the text's own. Lines are found by doc_id and hash of the text, so texts that share an id lose their own only.
     """
-    drop = materialize(classes.where("not kept").groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("line_no").alias("_drop_lines")), "drop-lines")
-    joined = docs.join(join_side(drop, "_drop_lines"), F.col("doc_id") == F.col("_drop_id"), "left")
+    drop = materialize(classes.where("not kept").groupBy(F.col("doc_id").alias("_drop_id"), F.col("text_hash").alias("_drop_text")).agg(F.collect_set("line_no").alias("_drop_lines")), "drop-lines")
+    joined = docs.join(join_side(drop, "_drop_lines"), (F.col("doc_id") == F.col("_drop_id")) & (F.xxhash64("text") == F.col("_drop_text")), "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_drop_lines", i)), "\n")
     cleaned = joined.withColumn("text", F.when(F.col("_drop_lines").isNull(), F.col("text")).otherwise(left))
     return cleaned.where(F.col("_drop_lines").isNull() | F.col("text").rlike(r"[\p{L}\p{N}]")).select(docs.columns)

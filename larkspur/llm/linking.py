@@ -56,13 +56,13 @@ def shared_keys(members: DataFrame) -> DataFrame:
     return materialize(weighed.join(hubs, "key").select("key", "node", F.col("hub.node").alias("hub")), "hub-keys")
 
 
-def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], pair_up: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], pair_up: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components of the graph of all verified pairs of nodes that share a key, as (node, comp).
 
     First every node is verified against the hub of each of its keys, which joins large groups with few
     pairs. Then only pairs that share a key but lie in different components are left; all of them that were
     not tried are verified, so no link between components is lost. Pairs within a component change nothing.
-    ``pair_up`` makes those pairs (a, b) from rows (key, node, comp); it may leave out pairs that cannot pass.
+    ``pair_up`` makes those pairs (a, b), a < b, from rows (key, node, comp); it may leave out pairs that cannot pass.
     """
     tried = materialize(shared.where("node <> hub").select(*ordered("node", "hub")).distinct(), "hub-pairs")
     edges = materialize(verify(tried), "hub-edges")
@@ -72,7 +72,7 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], pair_up: C
     rest = materialize(placed.join(mixed, "key", "left_semi"), "mixed-keys")
     if rest.isEmpty():
         return comp
-    pairs = (pair_up or all_pairs)(rest).distinct()
+    pairs = pair_up(rest).distinct()
     pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "rest-pairs")
     more = materialize(verify(pairs), "rest-edges")
     if more.isEmpty():
@@ -80,14 +80,8 @@ def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], pair_up: C
     return components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
 
-def all_pairs(rest: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes of different components that share a key."""
-    left, right = rest.toDF("key", "x", "cx"), rest.toDF("key", "y", "cy")
-    return left.join(right, "key").where("x < y and cx <> cy").select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-
 def close_pairs(rest: DataFrame, prints: DataFrame, bands: int, floor: float, likely: Callable[[bytes, bytes], bool], block: int = 500) -> DataFrame:
-    """As ``all_pairs``, but each pair once, and only pairs that may pass.
+    """Pairs (a, b), a < b, of nodes of different components that share a key: each once, and only pairs that may pass.
 
     ``prints`` has (node, keys, print, grams): the node's key of each of its ``bands`` bands in order, a byte
     of each signature register, and what ``likely`` takes. The nodes of a key are cut into blocks by hash; each

@@ -86,7 +86,8 @@ def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, k1, keys) of every document with an id; k1 hashes its normalised text, keys is null where that has no word."""
+    """(doc_id, text_hash, k1, keys) of every document with an id; k1 hashes its normalised text, keys is null where that has no word."""
+    place = ["doc_id", "text_hash", "k1"]
 
     def sketch(batches):
         for batch in batches:
@@ -95,11 +96,11 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                 hashes, firsts = shingles_of(part["norm"])
                 keys = band_keys(prob_minhash(hashes, firsts, bands * rows), bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * bands, pa.int32()), pa.array(keys.ravel()), mask=pa.array(np.diff(firsts) == 0))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["k1"], lists], ["doc_id", "k1", "keys"])
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in place), lists], [*place, "keys"])
 
     norm = F.coalesce(normalized(F.col("text")), F.lit(""))
-    rows_in = docs.where("doc_id is not null").select("doc_id", norm.alias("norm")).select("doc_id", F.xxhash64("norm").alias("k1"), "norm")
-    return rows_in.mapInArrow(sketch, "doc_id long, k1 long, keys array<long>")
+    rows_in = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), norm.alias("norm")).select("doc_id", "text_hash", F.xxhash64("norm").alias("k1"), "norm")
+    return rows_in.mapInArrow(sketch, "doc_id long, text_hash long, k1 long, keys array<long>")
 
 
 def fingerprints(texts: DataFrame, registers: int, shingle: int = SHINGLE) -> DataFrame:
@@ -139,21 +140,28 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingle: int)
     return pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row (doc_id, class_id, copies) per document: its class of near-duplicates, named by the smallest doc_id in it.
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, screen: float | None = 4.5) -> DataFrame:
+    """One row (doc_id, class_id, copies, text_hash, kept) per document: its class of near-duplicates, named by the smallest doc_id in it.
 
     Texts are compared as multisets of five-word shingles of lower-cased runs of letters and digits (a text of
     fewer words is one shingle); a link is an exact probability Jaccard similarity of ``threshold`` or more, a
     class a connected component of links. Exact copies are one node of the graph. ``copies`` counts the
-    documents with the same normalised text.
+    documents with the same normalised text. ``kept`` is true for the rows of the class's first text (smallest
+    doc_id, then text_hash, which is xxhash64 of the text), so repeated rows of a doc_id and text are kept or not together.
 
-    A text without a word (null, empty, marks only) is linked to nothing and is its own class. A document
-    whose doc_id is null gets a null class. Rows that repeat a doc_id and its text are copies of each other.
+    Pairs in different classes are screened by signature bytes before they are verified: a pair at the threshold is
+    passed over if its bytes agree in so few places as happens at ``screen`` standard deviations (4.5: once in 300,000
+    pairs). None verifies every pair that shares a band.
+
+    A text without a word (null, empty, marks only) is linked to nothing, its own class, and kept. A document
+    whose doc_id is null gets a null class and is kept. Runs its jobs when called.
     """
     spark, docs = docs.sparkSession, docs.select("doc_id", "text")
     with arrow_rows(spark, 1000):
         sketch = materialize(sketches(docs, bands, rows), "sketches")
-    nodes = materialize(sketch.where("keys is not null").groupBy("k1").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys")), "nodes")
+    # partial minima go through the shuffle, so a huge group of copies is a few rows
+    nodes = sketch.where("keys is not null").groupBy("k1").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
+    nodes = materialize(nodes.select("k1", "at", "at.doc_id", "copies", "keys"), "nodes")
     shared = linking.shared_keys(nodes.select(F.col("k1").alias("node"), F.explode("keys").alias("key")))
     wanted = materialize(shared.select("node").distinct().join(nodes.select(F.col("k1").alias("node"), "doc_id"), "node"), "wanted")
     norm = F.coalesce(normalized(F.col("text")), F.lit(""))
@@ -164,22 +172,39 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
             return materialize(verified(pairs, texts, threshold, shingle), "verified")
 
     def pair_up(rest: DataFrame) -> DataFrame:
-        # equal bytes of a pair at the threshold fall 4.5 standard deviations below their mean once in 300,000 pairs
         registers = bands * rows
-        floor = threshold - 4.5 * (threshold * (1 - threshold) / registers) ** 0.5
+        floor = 0.0 if screen is None else threshold - screen * (threshold * (1 - threshold) / registers) ** 0.5
         with arrow_rows(spark, 1000):
             prints = materialize(fingerprints(texts.join(rest.select("node").distinct(), "node", "left_semi"), registers, shingle), "prints")
         prints = prints.join(nodes.select(F.col("k1").alias("node"), "keys"), "node")
         with arrow_rows(spark, 500):
-            return materialize(linking.close_pairs(rest, prints, bands, floor, partial(likely, least=threshold - 0.01)), "close-pairs")
+            return materialize(linking.close_pairs(rest, prints, bands, floor, partial(likely, least=0.0 if screen is None else threshold - 0.01)), "close-pairs")
 
     comp = linking.link(shared, verify, pair_up)
-    named = nodes.select("k1", "doc_id", "copies").join(comp, F.col("k1") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "k1"))
-    names = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
-    classes = materialize(named.join(names, "comp").select("k1", "class_id", "copies"), "classes")
-    return (
-        sketch.select("doc_id", "k1", F.col("keys").isNotNull().alias("worded"))
-        .join(classes, "k1", "left")
-        .select("doc_id", F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("worded"), F.col("copies")).otherwise(F.lit(1)).alias("copies"))
-        .unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("copies")))
+    named = nodes.select("k1", "at", "copies").join(comp, F.col("k1") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "k1"))
+    names = named.groupBy("comp").agg(F.min("at").alias("first"))
+    classes = materialize(named.join(names, "comp").select("k1", "first", "copies"), "classes")
+    worded, first = F.col("keys").isNotNull(), F.struct("doc_id", "text_hash") == F.col("first")
+    found = sketch.join(classes, "k1", "left").select(
+        "doc_id",
+        F.when(worded, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(worded, F.col("copies")).otherwise(F.lit(1)).alias("copies"),
+        "text_hash",
+        F.when(worded, first).otherwise(F.lit(True)).alias("kept"),
     )
+    nameless = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.xxhash64("text").alias("text_hash"), F.lit(True).alias("kept"))
+    return found.unionByName(nameless)
+
+
+def drop_duplicates(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each class: of the rows that repeat its first document's id and text, one (smallest by hash of its columns).
+
+    Documents without a word or an id stay, repeated or not. Texts that share a doc_id are told apart by their hash.
+    """
+    key = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")]
+    drop = materialize(classes.where("not kept").select(*key).distinct(), "dropped")
+    again = materialize(classes.where("kept and class_id is not null and copies > 1").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id", "_text"), "repeated")
+    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_text"))
+    gone = drop.unionByName(again)
+    once = docs.join(join_side(again), same, "left_semi").groupBy(F.col("doc_id"), F.xxhash64("text")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+    return docs.join(join_side(gone), same, "left_anti").unionByName(once.select("_row.*"))
