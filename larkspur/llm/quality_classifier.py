@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.base import arrow_rows, materialize
@@ -15,6 +16,8 @@ from larkspur.llm.textvec import mix, row_chunks, utf8, word_hashes
 #: Hashed n-grams of 1 to 3 bytes and of 1 to 6 word repeats; labelled rows of each class that the classifier is fitted on at most.
 BITS, LONGEST, LONGEST_REPEATS = 17, 3, 6
 ROWS_PER_CLASS = 3000
+#: Bytes of a class's training texts at most, which meet on the driver.
+BYTES_PER_CLASS = 24 << 20
 
 
 @dataclass
@@ -57,9 +60,9 @@ def ngram_buckets(data: np.ndarray, offsets: np.ndarray, longest: int = LONGEST)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[DataFrame, float]:
-    """(text, y, h) and the share of class 1 among all labelled ids; the table has at most ``rows`` labelled documents of each class, chosen by a hash of doc_id; null labels are left out.
+    """(text, y, h, bytes) and the share of class 1 among all labelled ids; the table has at most ``rows`` labelled documents of each class, chosen by a hash h of doc_id; null labels are left out.
 
-    A doc_id with several labels counts once, with the larger one.
+    A doc_id with several labels counts once, with the larger one; of several texts under an id the smallest teaches.
     """
     known = materialize(labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col(label) > 0).cast("int")).alias("y")), "labels")
     chosen = None
@@ -69,10 +72,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     chosen = materialize(chosen, "chosen")
     # at most two times ``rows`` ids, so the side is bounded; repeated rows of an id teach once
     share = known.agg(F.avg("y")).first()[0]
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select(F.coalesce("text", F.lit("")).alias("text"), "y", F.xxhash64("doc_id").alias("h")), "training")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    sample = materialize(found.select("text", "y", F.xxhash64("doc_id").alias("h"), F.octet_length("text").cast("long").alias("bytes")), "training")
     return sample, 0.5 if share is None else float(share)
 
 
+def for_driver(sample: DataFrame, rows: int, most_bytes: int = BYTES_PER_CLASS) -> pd.DataFrame:
+    """The first ``rows`` documents of each class by hash; from the one that passes ``most_bytes`` of texts on none is taken, but one is always."""
+    parts = []
+    for y in (0, 1):
+        order = Window.orderBy("h", F.xxhash64("text"))  # over a top-k of ``rows`` rows
+        first = sample.where(F.col("y") == y).orderBy("h", F.xxhash64("text")).limit(rows)
+        running = first.withColumn("upto", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("place", F.row_number().over(order))
+        parts.append(running.where((F.col("upto") <= most_bytes) | (F.col("place") == 1)).select("text", "y", "h").toPandas())
+    return pd.concat(parts).sort_values(["h", "text"])
+
+
 def dual_coordinate_descent(rows: list[np.ndarray], values: np.ndarray, y: np.ndarray, cost: np.ndarray, passes: int = 15, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear model with hinge loss; row i has the value values[j] at each j of rows[i]."""
     weights, alpha, bias = np.zeros(len(values)), np.zeros(len(rows)), 0.0
@@ -120,14 +135,14 @@ def at_share(curve: tuple[float, float], sampled: np.ndarray, share: float) -> t
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS_PER_CLASS, cost: float = 0.1, smooth: float = 1.0, folds: int = 4) -> Model:
-    """Learns ``label`` from at most ``rows`` documents of each class.
+    """Learns ``label`` from at most ``rows`` documents and BYTES_PER_CLASS bytes of each class.
 
     Each n-gram indicator is scaled by the log ratio of the classes' smoothed counts, then a hinge-loss model is
     fitted by dual coordinate descent. The logistic curve is fitted to margins of models that had not seen the
     document. Without labels of both classes all scores are the share of class 1 (one half if nothing is labelled).
     """
     sample, share = labelled_sample(docs, labels, label, rows)
-    table = sample.toPandas().sort_values(["h", "text"])
+    table = for_driver(sample, rows)
     y = np.where(table["y"].to_numpy() > 0, 1.0, -1.0)
     if len(y) == 0 or abs(y.sum()) == len(y):
         share = (np.clip((y > 0).mean(), 0.001, 0.999)) if len(y) else 0.5
@@ -183,5 +198,3 @@ def score(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
 
     with arrow_rows(spark, 1000):
         return materialize(docs.select(*kept, "text").mapInArrow(run, schema), "quality-scores")
-
-

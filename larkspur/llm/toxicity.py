@@ -8,14 +8,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from larkspur.llm.base import arrow_rows, materialize
-from larkspur.llm.quality_classifier import at_share, labelled_sample, platt
+from larkspur.llm.quality_classifier import at_share, for_driver, labelled_sample, platt
 from larkspur.llm.textvec import row_chunks, shingle_hashes, utf8, word_hashes, word_parts
 
-#: Hash bits of the features, lengths in bytes of word beginnings and ends, labelled rows of each class to fit on at most.
+#: Hash bits of the features, lengths in bytes of word beginnings and ends.
 BITS, PREFIXES, SUFFIXES = 18, range(3, 10), range(3, 6)
-ROWS_PER_CLASS = 1200
+#: Labelled rows of each class that features are counted in at most, and that the field is fitted on.
+COUNTED_PER_CLASS, ROWS_PER_CLASS = 20000, 1200
 
 
 @dataclass
@@ -84,32 +86,68 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def token_labels(buckets: np.ndarray, rows: np.ndarray, toxic: np.ndarray, least_gain: float = 45.0, odds: float = 3.0) -> np.ndarray:
-    """1 for words of toxic documents that have a feature found nearly only in toxic documents.
+def once_each(sample: DataFrame) -> DataFrame:
+    """The documents (text, y, h, ...) without copies within a class, which would make their rare words look like signs of it.
+
+    Of texts with the same smallest shingle hash, which copies share always and texts of similarity s with odds s,
+    the one of the smallest h stays.
+    """
+
+    def sketch(batches):
+        for batch in batches:
+            shingles, at = shingle_hashes(*word_hashes(*utf8(words_of(batch["text"]))))
+            least = [int(shingles[a:b].min().view(np.int64)) if b > a else -1 for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([batch["h"], batch["y"], pa.array(least, pa.int64())], ["h", "y", "least"])
+
+    kept = sample.select("h", "y", "text").mapInArrow(sketch, "h long, y int, least long").groupBy("least", "y").agg(F.min("h").alias("h"))
+    # as many rows as the sample has at most, which a parameter bounds
+    return sample.join(F.broadcast(kept.select("h", "y")), ["h", "y"], "left_semi")
+
+
+def frequencies(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """In how many documents of each class (0, 1) each feature bucket is, and the number of documents of each class."""
+
+    def count(batches):
+        for batch in batches:
+            buckets, rows = feature_buckets(words_of(batch["text"]))
+            y, row = batch["y"].to_numpy(), np.repeat(np.arange(len(batch)), np.diff(rows))
+            seen = np.zeros((2, 1 << BITS), np.int64)
+            for k in range(buckets.shape[1]):
+                pairs = np.unique(row.astype(np.int64) << BITS | buckets[:, k])
+                for side in (0, 1):
+                    seen[side] += np.bincount(pairs[y[pairs >> BITS] == side] & ((1 << BITS) - 1), minlength=1 << BITS)
+            side, bucket = np.nonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(side.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(seen[side, bucket])], ["y", "bucket", "n"])
+
+    table = sample.select("text", "y").mapInArrow(count, "y int, bucket int, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    seen = np.zeros((2, 1 << BITS))
+    seen[table["y"], table["bucket"]] = table["n"]
+    sizes = np.zeros(2)
+    for r in sample.groupBy("y").count().collect():
+        sizes[r["y"]] = r["count"]
+    return seen, sizes
+
+
+def signs(seen: np.ndarray, sizes: np.ndarray, least_gain: float = 30.0, odds: float = 3.0) -> np.ndarray:
+    """Whether each bucket is found nearly only in toxic documents.
 
     Documents alone are labelled, so words get their labels from the features' document frequencies: log odds of
-    ``odds`` or more, and a likelihood ratio statistic of ``least_gain`` or more, which chance does not reach.
+    ``odds`` or more, and a likelihood ratio statistic of ``least_gain`` or more, which chance reaches in one of
+    twenty million features. The statistic grows with the number of labelled documents, so rarer signs count with more of them.
     """
-    size, row = 1 << BITS, np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-    seen = []
-    for side in (1, 0):
-        counts = np.zeros(size)
-        mine = toxic[row] == side
-        for k in range(buckets.shape[1]):
-            pairs = np.unique(row[mine].astype(np.int64) << BITS | buckets[mine, k])
-            counts += np.bincount(pairs & (size - 1), minlength=size)
-        seen.append(counts)
-    n1, n0 = max(1, (toxic == 1).sum()), max(1, (toxic == 0).sum())
-    score = np.log((seen[0] + 0.5) / (n1 + 1)) - np.log((seen[1] + 0.5) / (n0 + 1))
-    both = np.maximum(seen[0] + seen[1], 1)
-    gain = 2 * sum(s * np.log(np.maximum(s, 1e-9) / (both * n / (n1 + n0))) for s, n in zip(seen, (n1, n0)))
+    score = np.log((seen[1] + 0.5) / (sizes[1] + 1)) - np.log((seen[0] + 0.5) / (sizes[0] + 1))
+    both, total = np.maximum(seen.sum(0), 1), max(1.0, sizes.sum())
+    gain = 2 * sum(s * np.log(np.maximum(s, 1e-9) / (both * max(1.0, n) / total)) for s, n in zip(seen, sizes))
     marked = (score >= odds) & (gain >= least_gain)
     marked[0] = False
-    return (marked[buckets].any(1) & (toxic[row] == 1)).astype(float)
+    return marked
 
 
-def train(buckets: np.ndarray, rows: np.ndarray, tags: np.ndarray, rounds: int = 60, ridge: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transitions by gradient ascent on the chain's conditional likelihood (per-weight steps from past gradients)."""
+def train(buckets: np.ndarray, rows: np.ndarray, tags: np.ndarray, rounds: int = 60, ridge: float = 0.02, settled: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transitions by gradient ascent on the chain's conditional likelihood (per-weight steps from past gradients).
+
+    Ends once no round changes the words' marginal probabilities by more than ``settled`` of the tagged words in sum.
+    """
     weights, t = np.zeros(1 << BITS), np.array([[2.0, -2.0], [0.0, 0.0]])
     # one row per distinct word: its buckets as digits of a 64-bit number stand for it
     key = np.zeros(len(buckets), np.uint64)
@@ -123,10 +161,14 @@ def train(buckets: np.ndarray, rows: np.ndarray, tags: np.ndarray, rounds: int =
     pair = np.zeros((2, 2))
     np.add.at(pair, (tags[inner].astype(int), tags[inner + 1].astype(int)), 1)
     past, past_t = np.full(len(weights), 1e-8), np.full((2, 2), 1e-8)
+    before = np.zeros(len(tags))
     for _ in range(rounds):
         emission = weights[kinds].sum(1)[which]
         logit, forward = marginals(emission, rows, t, 1e-4)
         p = _sigmoid(logit)
+        if np.abs(p - before).sum() <= settled * max(1.0, tags.sum()):
+            break
+        before = p
         by_kind = np.bincount(which, tags - p, len(kinds))
         gradient = np.bincount(kinds.ravel(), np.repeat(by_kind, kinds.shape[1]), len(weights)) - ridge * weights
         gradient[0] = 0
@@ -149,27 +191,27 @@ def document_margin(logit: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(p[rows[1:]] - p[rows[:-1]], 0) + 0.3)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = ROWS_PER_CLASS) -> Model:
-    """Learns from at most ``rows`` documents of each class; null labels teach nothing.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = ROWS_PER_CLASS, counted: int = COUNTED_PER_CLASS) -> Model:
+    """Learns from at most ``counted`` documents of each class; null labels teach nothing.
 
-    Words of toxic documents get labels from features that only toxic documents have; the field is fitted to
-    them, and a logistic curve turns a document's squared marginals into a score. Without labels of both
-    classes every score is the share of class 1 (one half if nothing is labelled).
+    Words of toxic documents get labels from features that nearly only toxic documents have, counted by Spark. The
+    field is fitted to at most ``rows`` documents of each class (and so many bytes as quality_classifier bounds), and a
+    logistic curve turns a document's squared marginals into a score. Without labels of both classes every score
+    is the share of class 1 (one half if nothing is labelled).
     """
-    sample, share = labelled_sample(docs, labels, label, rows)
-    table = sample.toPandas().sort_values(["h", "text"])
+    spark = docs.sparkSession
+    sample, share = labelled_sample(docs, labels, label, counted)
+    with arrow_rows(spark, 200):
+        unique = materialize(once_each(sample), "toxicity-sample")
+        seen, sizes = frequencies(unique)
+    table = for_driver(unique, rows)
     toxic = (table["y"].to_numpy() > 0).astype(int)
     if len(toxic) == 0 or toxic.min() == toxic.max():
         share = np.clip(toxic.mean(), 0.001, 0.999) if len(toxic) else 0.5
         return Model(np.zeros(1 << BITS), np.zeros((2, 2)), 0.0, float(np.log(share / (1 - share))))
-    words = words_of(pa.array(table["text"].tolist(), pa.string()))
-    # of copies, which would make their rare words look like signs of their class, only one teaches
-    shingles, at = shingle_hashes(*word_hashes(*utf8(words)))
-    least = [int(shingles[a:b].min()) if b > a else -1 for a, b in zip(at[:-1], at[1:])]
-    once = np.unique(np.array(least, object), return_index=True)[1]
-    words, toxic = words.take(pa.array(np.sort(once))), toxic[np.sort(once)]
-    buckets, first = feature_buckets(words)
-    weights, t = train(buckets, first, token_labels(buckets, first, toxic))
+    buckets, first = feature_buckets(words_of(pa.array(table["text"].tolist(), pa.string())))
+    row = np.repeat(np.arange(len(toxic)), np.diff(first))
+    weights, t = train(buckets, first, (signs(seen, sizes)[buckets].any(1) & (toxic[row] == 1)).astype(float))
     margin = document_margin(marginals(weights[buckets].sum(1), first, t)[0], first)
     return Model(weights, t, *at_share(platt(margin, toxic), toxic, share))
 
