@@ -17,6 +17,8 @@ ORDER = 3
 ROWS_PER_LANGUAGE = 400
 #: A context is kept if it was seen so often; more only save memory.
 LEAST_SEEN = 2
+#: Bytes of code lengths in a model at most, whatever the number of languages and scripts.
+MOST_BYTES = 128 << 20
 
 
 @dataclass
@@ -35,14 +37,13 @@ class Model:
 
 
 def sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
-    """At most ``rows`` labelled documents of each language, by a hash of doc_id (ties cut by the text's hash)."""
-    labelled = docs.where("lang is not null and text is not null")
-    rank = F.xxhash64("doc_id")
-    # only hashes and labels are ranked; the texts of the chosen rows alone are read again
+    """At most ``rows`` labelled documents (lang, text) of each language, by a hash of doc_id and text; repeated rows teach once."""
+    labelled = docs.where("lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id", "text"))
+    # rows far from the first ``rows`` by hash fall out before any is ranked
     share = materialize(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
-    near = labelled.join(join_side(share), "lang").where(F.pmod(rank, F.lit(1 << 30)) < F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(1.5 * rows) / F.col("n")) + F.lit(64))
-    order = Window.partitionBy("lang").orderBy(rank, F.xxhash64("text"))
-    return near.select("lang", "text", F.row_number().over(order).alias("r")).where(F.col("r") <= rows).select("lang", "text")
+    near = labelled.join(join_side(share), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(1.5 * rows) / F.col("n")) + F.lit(64))
+    once = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return once.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= rows).select("lang", "text")
 
 
 def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -61,11 +62,13 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return texts.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def build(counts, order: int = ORDER, least_seen: int = LEAST_SEEN) -> Model:
+def build(counts, order: int = ORDER, least_seen: int = LEAST_SEEN, most_bytes: int = MOST_BYTES) -> Model:
     """The model from a table of gram counts (columns lang, gram, n); escapes by method C with exclusion.
 
     In a context of total count T with D distinct symbols, a seen symbol of count c has probability
     c / (T + D); the escape D / (T + D) is shared among the unseen symbols as the next shorter context has it.
+    ``least_seen`` is doubled until the code lengths of the contexts kept fit in ``most_bytes``: the model is sent
+    to every executor, so its size may not grow with the languages. A shorter context's code is as exact.
     """
     languages = sorted(set(counts["lang"]))
     if not languages:
@@ -77,7 +80,16 @@ def build(counts, order: int = ORDER, least_seen: int = LEAST_SEEN) -> Model:
     symbol[used] = np.arange(1, len(used) + 1)
     size = len(used) + 1
     parts = [symbol[p] for p in parts]
-    # distributions by context of each order, shortest first; a context is the number of its symbols in base size
+    # contexts of each order, shortest first; a context is the number of its symbols in base size
+    contexts = []
+    for depth in range(order + 1):
+        context = np.zeros(len(grams), np.int64)
+        for j in range(order - depth, order):
+            context = context * size + parts[j]
+        seen, place = np.unique(context, return_inverse=True)
+        contexts.append((seen, place, np.bincount(place, n, len(seen))))
+    while sum(int((totals >= least_seen).sum()) for _, _, totals in contexts) * size * len(languages) * 4 > most_bytes:
+        least_seen *= 2
     floor = np.full((1, size), 1 / 256)
     unseen = max(1, 256 - len(used))
     floor[0, 0] = unseen / 256  # all bytes not seen in training together
@@ -85,11 +97,7 @@ def build(counts, order: int = ORDER, least_seen: int = LEAST_SEEN) -> Model:
     previous = np.repeat((floor / floor.sum())[None], len(languages), 0)
     coded = []
     for depth in range(order + 1):
-        context = np.zeros(len(grams), np.int64)
-        for j in range(order - depth, order):
-            context = context * size + parts[j]
-        seen, place = np.unique(context, return_inverse=True)
-        totals = np.bincount(place, n, len(seen))
+        seen, place, totals = contexts[depth]
         keep = (totals >= least_seen) | (depth == 0)
         seen = seen[keep]
         at = np.full(len(keep), -1)
