@@ -1,4 +1,7 @@
-"""The queries of the training-data operators: each applies one operator to its whole table."""
+"""The queries of the training-data operators: each applies one operator to its whole table.
+
+A query runs its jobs when called; its result is a table in the shared folder, its other tables are gone by then.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, topk, toxicity, warc
-from larkspur.llm.base import bucket_of, materialize, table
+from larkspur.llm.base import bucket_of, materialize, table, tidy
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,15 +36,18 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits two replicas of the pages' WARC files; the second has its first byte changed in every record whose digest starts with 00 or 7f."""
+    """Audits two replicas of the pages' WARC files; the second has its first byte changed in every record whose digest starts with 00 or 7f.
+
+    Payloads are written once and read once for each replica; only hashes and places are shuffled.
+    """
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), warc.record(F.col("url"), F.col("page_id"), F.col("html")).alias("data"))
-    files = max(1, pages.count() // 2000)
-    one = materialize(warc.lay_out(pages, files), "warc-replica")
+    kept = warc.stored(pages, max(1, pages.count() // 2000))
+    places = materialize(warc.places(kept), "warc-places")
     hit = F.substring(F.sha2("data", 256), 1, 2).isin("00", "7f")
-    flipped = F.concat(F.lit("~").cast("binary"), F.expr("substring(data, 2)"))
-    other = one.withColumn("data", F.when(hit, flipped).otherwise(F.col("data")))
-    found = warc.audit(one, other)
-    return found.join(one.select("file", "offset", F.col("key").alias("page_id")), ["file", "offset"]).select("page_id", "length", "hash", "other_length", "other_hash")
+    flipped = F.when(hit, F.concat(F.lit("~").cast("binary"), F.expr("substring(data, 2)"))).otherwise(F.col("data"))
+    one, other = (kept.select("row", warc.digest_of(data).alias("hash")).join(places, "row").select("file", "offset", "length", "hash") for data in (F.col("data"), flipped))
+    found = warc.audit_leaves(one, other)
+    return found.join(places.select("file", "offset", F.col("key").alias("page_id")), ["file", "offset"]).select("page_id", "length", "hash", "other_length", "other_hash")
 
 
 def tokenizer_path() -> str:
@@ -55,11 +61,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.line_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "copies")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +76,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), columns=["doc_id", "source"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_quality_rules, op4_topk, op5_warc_audit, op6_packing, op7_line_dedup, op8_near_dedup, op9_quality_classifier, op10_mixing)}
+QUERIES = {f.__name__: tidy(f) for f in (op1_language_id, op2_toxicity, op3_quality_rules, op4_topk, op5_warc_audit, op6_packing, op7_line_dedup, op8_near_dedup, op9_quality_classifier, op10_mixing)}

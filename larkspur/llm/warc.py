@@ -22,20 +22,43 @@ def record(url: Column, record_id: Column, body: Column) -> Column:
     return F.concat(head.cast("binary"), payload, F.lit("\r\n\r\n").cast("binary"))
 
 
+def stored(records: DataFrame, files: int, name: str = "warc-records") -> DataFrame:
+    """(row, file, key, digest, length, data) from (key, data): records written once, dealt to ``files`` files by a number of their own.
+
+    A record's number comes from its place in the input when it is written, so equal rows are spread over the
+    files and no file is fuller than another, however often a row repeats.
+    """
+    numbered = records.select(F.monotonically_increasing_id().alias("row"), "key", "data")
+    dealt = numbered.withColumn("file", F.pmod(F.xxhash64("row"), F.lit(files)).cast("int")).withColumn("digest", F.sha2("data", 256)).withColumn("length", F.octet_length("data").cast("long"))
+    return materialize(dealt.select("row", "file", "key", "digest", "length", "data"), name)
+
+
+def places(records: DataFrame) -> DataFrame:
+    """(row, file, key, offset, length) of stored records, in order of key and digest within a file.
+
+    Offsets are running sums of lengths, so the number of files bounds the rows that are ordered in one place;
+    payloads are not read.
+    """
+    before = Window.partitionBy("file").orderBy(F.col("key").isNull(), "key", "digest", "row").rowsBetween(Window.unboundedPreceding, -1)
+    return records.select("row", "file", "key", "length", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
+
+
 def lay_out(records: DataFrame, files: int) -> DataFrame:
-    """(file, offset, length, key, data) from (key, data): records dealt to ``files`` files by hash, in order of key.
+    """(file, offset, length, key, data) from (key, data): the content of WARC files. Null data takes no byte.
 
-    Offsets are running sums of lengths within a file, so ``files`` bounds a file's records. Records of one key
-    (or none) are ordered by their digest, so that equal rows give equal files on every run.
+    Runs a job when called: the records are written, and their places joined to them by number.
     """
-    dealt = records.withColumn("digest", F.sha2("data", 256)).withColumn("file", F.pmod(F.xxhash64("key", "digest"), F.lit(files)).cast("int")).withColumn("length", F.octet_length("data").cast("long"))
-    before = Window.partitionBy("file").orderBy(F.col("key").isNull(), "key", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select("file", "offset", "length", "key", "data")
+    kept = stored(records.withColumn("data", F.coalesce("data", F.lit("").cast("binary"))), files)
+    return kept.select("row", "data").join(places(kept), "row").select("file", "offset", "length", "key", "data")
 
 
 def leaves(replica: DataFrame) -> DataFrame:
     """(file, offset, length, hash) of each record of a replica (file, offset, length, data); null data hashes as empty."""
-    return replica.select("file", "offset", "length", F.sha2(F.coalesce("data", F.lit("").cast("binary")), 256).alias("hash"))
+    return replica.select("file", "offset", "length", digest_of(F.col("data")).alias("hash"))
+
+
+def digest_of(data: Column) -> Column:
+    return F.sha2(F.coalesce(data, F.lit("").cast("binary")), 256)
 
 
 def level(nodes: DataFrame, span: int) -> DataFrame:
@@ -46,13 +69,13 @@ def level(nodes: DataFrame, span: int) -> DataFrame:
     return nodes.groupBy("file", place.alias("up")).agg(F.sha2(joined, 256).alias("hash")).withColumnRenamed("up", "start")
 
 
-def tree(replica: DataFrame, name: str) -> list[DataFrame]:
-    """The levels of a replica's tree, records first: each file's ranges of RANGE bytes, then FAN of them, up to one root a file.
+def tree(records: DataFrame, name: str) -> list[DataFrame]:
+    """The levels of a tree over the hashed records (file, offset, length, hash) of a replica, records first: each file's ranges of RANGE bytes, then FAN of them, up to one root a file.
 
     A range is part of a record's place, not of its rank, so a lost record changes only the nodes above it.
     A node's children are bounded by its range: at most RANGE bytes of records, then FAN nodes.
     """
-    base = materialize(leaves(replica), f"{name}-leaves")
+    base = materialize(records, f"{name}-leaves")
     longest = base.agg(F.max("offset")).first()[0] or 0
     levels, span = [base], RANGE
     # of equal offsets (repeated rows) the length and hash put an order in the node
@@ -66,13 +89,19 @@ def tree(replica: DataFrame, name: str) -> list[DataFrame]:
 
 
 def audit(one: DataFrame, other: DataFrame) -> DataFrame:
-    """Records on which two replicas (file, offset, length, data) differ: (file, offset, length, hash, other_length, other_hash).
+    """Records on which two replicas (file, offset, length, data) differ, as ``audit_leaves``."""
+    return audit_leaves(leaves(one), leaves(other))
+
+
+def audit_leaves(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Records on which two replicas' hashed records (file, offset, length, hash) differ: (file, offset, length, hash, other_length, other_hash).
 
     Roots are compared file by file; only below nodes that differ are the next level's nodes compared, down to the
-    records, so equal branches are read no further than their roots. A record that one replica lacks has nulls
-    on its side. Repeated rows of one place are compared as a set. Empty replicas differ in nothing.
+    records, so equal branches are read no further than their roots. A record that one replica lacks, or all of a
+    file that one replica lacks, has nulls on its side. Repeated rows of one place are compared as a set. Empty
+    replicas differ in nothing. Rows with a null file or offset have no place and take no part. Runs its jobs when called.
     """
-    a, b = tree(one, "one"), tree(other, "other")
+    a, b = (tree(x.where("file is not null and offset is not null"), n) for x, n in ((one, "one"), (other, "other")))
     while len(a) < len(b):  # the shorter file's root stands for its ranges above
         a.append(materialize(level(a[-1], RANGE * FAN ** (len(a) - 1)), "one-level"))
     while len(b) < len(a):
