@@ -23,8 +23,10 @@ _RUN = 255
 CHAR_LINE, CHAR_BLOCKS, PAIR_BLOCKS, REGISTERS, GRAM = 96, 16, 12, 3, 5
 #: Lines of at most so many characters may differ in two at the threshold: they are found by what is left without two.
 SHORT = 14
-#: Nodes of a block of a key, of which each pair is compared in one place.
-NODES = 500
+#: Nodes of a block of a key, of which each pair is compared in one place; pairs that are compared at once there.
+NODES, PAIRS = 500, 1 << 20
+#: Lines of at least so many words whose SimHashes differ in more than so many of the 192 bits are not compared further.
+SCREENED_WORDS, FAR_BITS = 8, 76
 
 
 def simhash(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -191,50 +193,75 @@ def letters(line: str) -> np.ndarray:
     return np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32) & 31, minlength=32).astype(np.int32)
 
 
-def similar_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes of different components that share a key and reach the edit similarity, compared where they meet.
+def prints(texts: DataFrame) -> DataFrame:
+    """(node, size, words, s0, s1, s2) of texts (node, norm): characters, words and SimHash of each."""
 
-    The nodes of a key are cut into blocks by hash, and each pair of blocks is compared in one place. Lengths and
-    counts of letters, from which the edit distance can only be more, leave few pairs to the distance itself.
+    def sign(batches):
+        for batch in batches:
+            for start, stop in row_chunks(batch["norm"]):
+                part = batch.slice(start, stop - start)
+                words = word_hashes(*utf8(part["norm"]))
+                bits = simhash(*words)
+                columns = [part["node"], pc.utf8_length(part["norm"]), pa.array(np.diff(words[1]).astype(np.int32)), *(pa.array(bits[:, k]) for k in range(3))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "size", "words", "s0", "s1", "s2"])
+
+    return texts.select("node", "norm").mapInArrow(sign, "node long, size int, words int, s0 long, s1 long, s2 long")
+
+
+def screened(pairs: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that lengths and SimHashes let reach the threshold (as ``close_pairs``)."""
+    a, b = (prints.select(F.col("node").alias(n), F.struct("size", "words", "s0", "s1", "s2").alias(f"p{n}")) for n in "ab")
+    bits = sum((F.bit_count(F.col(f"pa.s{k}").bitwiseXOR(F.col(f"pb.s{k}"))) for k in range(1, 3)), F.bit_count(F.col("pa.s0").bitwiseXOR(F.col("pb.s0"))))
+    near = F.least("pa.size", "pb.size") >= threshold * F.greatest("pa.size", "pb.size")
+    return pairs.join(a, "a").join(b, "b").where(near & ((F.least("pa.words", "pb.words") < SCREENED_WORDS) | (bits <= FAR_BITS))).select("a", "b")
+
+
+def close_pairs(rest: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes of different components that share a key, of which lengths and SimHashes allow the threshold.
+
+    The nodes of a key are cut into blocks by hash, and each pair of blocks is compared in one place. Of lines of
+    SCREENED_WORDS words or more the SimHashes must agree in all but FAR_BITS bits: those of lines without common words
+    differ in 96 of 192, give or take 7; README gives what similar lines were measured to differ in.
     """
     blocks = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / NODES).alias("blocks"))
     rows = rest.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "comp", "node").join(texts, "node")
+    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "comp", "node").join(prints, "node")
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def met(place, rows):
-        node, comp, mine, norm = (list(x) for x in zip(*rows))
-        node, comp, mine = (np.array(x) for x in (node, comp, mine))
-        size, counts = np.array([len(x) for x in norm]), np.stack([letters(x) for x in norm])
-        for x in range(len(rows) - 1):
-            most = np.maximum(size[x], size[x + 1 :])
-            far = np.maximum(np.abs(counts[x + 1 :] - counts[x]).sum(1) / 2, np.abs(size[x + 1 :] - size[x]))
-            near = (comp[x + 1 :] != comp[x]) & (far <= (1 - threshold) * most + 1e-9)
-            if place[1] != place[2]:
-                near &= mine[x + 1 :] != mine[x]
-            for y in np.flatnonzero(near) + x + 1:
-                if similar(norm[x], norm[y], threshold):
-                    yield min(node[x], node[y]), max(node[x], node[y])
+    def met(table: pa.Table, starts: np.ndarray, n: int):
+        """Pairs within the runs that begin at ``starts``; the last one ends before ``n``."""
+        c = {name: table[name].to_numpy() for name in table.column_names}
+        bits = np.stack([c[f"s{k}"].view(np.uint64) for k in range(3)], 1)
+        counts = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n))) - np.arange(n) - 1
+        upto, first = np.cumsum(counts), 0
+        while first < n:
+            base = int(upto[first] - counts[first])
+            stop = max(first + 1, int(np.searchsorted(upto, base + PAIRS, "right")))
+            x = np.repeat(np.arange(first, stop), counts[first:stop])
+            y = x + 1 + np.arange(len(x)) - np.repeat(upto[first:stop] - counts[first:stop] - base, counts[first:stop])
+            most = np.maximum(c["size"][x], c["size"][y])
+            near = (c["comp"][x] != c["comp"][y]) & (np.minimum(c["size"][x], c["size"][y]) >= threshold * most)
+            near &= (c["i"][x] == c["j"][x]) | (c["mine"][x] != c["mine"][y])
+            x, y = x[near], y[near]
+            near = (np.minimum(c["words"][x], c["words"][y]) < SCREENED_WORDS) | (np.bitwise_count(bits[x] ^ bits[y]).sum(1) <= FAR_BITS)
+            a, b = c["node"][x[near]], c["node"][y[near]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            first = stop
 
     def compare(batches):
-        place, held = None, []
+        kept = None
         for batch in batches:
-            found = []
-            for *at, mine, comp, node, norm in zip(*(batch[c].to_pylist() for c in ("key", "i", "j", "mine", "comp", "node", "norm"))):
-                if at != place:
-                    found.extend(met(place, held) if len(held) > 1 else ())
-                    place, held = at, []
-                held.append((node, comp, mine, norm))
-            yield _edges(found)
-        yield _edges(list(met(place, held)) if len(held) > 1 else [])
-
-    return dealt.select("key", "i", "j", "mine", "comp", "node", "norm").mapInArrow(compare, "a long, b long")
-
+            table = pa.Table.from_batches([batch] if kept is None else [*kept.to_batches(), batch])
+            place = np.stack([table[name].to_numpy() for name in ("key", "i", "j")])
+            starts = np.append(0, np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1)
+            if len(starts) > 1:
+                yield from met(table, starts[:-1], int(starts[-1]))
+            kept = table.slice(int(starts[-1])).combine_chunks()  # the last run may go on
+        if kept is not None and len(kept):
+            yield from met(kept, np.zeros(1, np.int64), len(kept))
 
-def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = np.array(found, np.int64).reshape(-1, 2).T
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    return dealt.select("key", "i", "j", "mine", "comp", "node", "size", "words", "s0", "s1", "s2").mapInArrow(compare, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -242,7 +269,10 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     def check(batches):
         for batch in batches:
-            good = [similar(x, y, threshold) for x, y in zip(batch["ta"].to_pylist(), batch["tb"].to_pylist())]
+            good = []
+            for x, y in zip(batch["ta"].to_pylist(), batch["tb"].to_pylist()):
+                far = np.abs(letters(x) - letters(y)).sum() > 2 * ((1 - threshold) * max(len(x), len(y)) + 1e-9)
+                good.append(not far and similar(x, y, threshold))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
@@ -278,11 +308,14 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         with arrow_rows(spark, 2000):
             return materialize(verified(pairs, texts, threshold), "line-edges")
 
+    with arrow_rows(spark, 5000):
+        signed = materialize(prints(texts), "line-prints")
+
     def pair_up(rest: DataFrame) -> DataFrame:
-        with arrow_rows(spark, 2000):
-            return materialize(similar_pairs(rest, texts, threshold), "line-pairs")
+        with arrow_rows(spark, 5000):
+            return materialize(close_pairs(rest, signed, threshold), "line-pairs")
 
-    comp = linking.link(shared, verify, pair_up)
+    comp = linking.link(shared, verify, pair_up, lambda pairs: screened(pairs, signed, threshold))
     # only lines that have a copy or a link need to be looked up
     touched = materialize(kinds.join(comp.toDF("k1", "comp"), "k1", "left").where("n > 1 or comp is not null").select("k1", "at", F.coalesce("comp", "k1").alias("comp")), "touched-lines")
     firsts = touched.groupBy("comp").agg(F.min("at").alias("first"))

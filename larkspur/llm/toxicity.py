@@ -17,7 +17,7 @@ from larkspur.llm.textvec import row_chunks, shingle_hashes, utf8, word_hashes,
 #: Hash bits of the features, lengths in bytes of word beginnings and ends.
 BITS, PREFIXES, SUFFIXES = 18, range(3, 10), range(3, 6)
 #: Labelled rows of each class that features are counted in at most, and that the field is fitted on.
-COUNTED_PER_CLASS, ROWS_PER_CLASS = 20000, 1200
+COUNTED_PER_CLASS, ROWS_PER_CLASS = 20000, 900
 
 
 @dataclass
@@ -104,8 +104,13 @@ def once_each(sample: DataFrame) -> DataFrame:
     return sample.join(F.broadcast(kept.select("h", "y")), ["h", "y"], "left_semi")
 
 
-def frequencies(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """In how many documents of each class (0, 1) each feature bucket is, and the number of documents of each class."""
+def signs(sample: DataFrame, least_gain: float = 30.0, odds: float = 3.0) -> np.ndarray:
+    """Whether each bucket is a feature that is found nearly only in toxic documents of the sample (text, y).
+
+    Documents alone are labelled, so words get their labels from the features' document frequencies: log odds of
+    ``odds`` or more, and a likelihood ratio statistic of ``least_gain`` or more, which chance reaches in one of
+    twenty million features. The statistic grows with the number of labelled documents, so rarer signs count with more of them.
+    """
 
     def count(batches):
         for batch in batches:
@@ -116,30 +121,18 @@ def frequencies(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 pairs = np.unique(row.astype(np.int64) << BITS | buckets[:, k])
                 for side in (0, 1):
                     seen[side] += np.bincount(pairs[y[pairs >> BITS] == side] & ((1 << BITS) - 1), minlength=1 << BITS)
-            side, bucket = np.nonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(side.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(seen[side, bucket])], ["y", "bucket", "n"])
-
-    table = sample.select("text", "y").mapInArrow(count, "y int, bucket int, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    seen = np.zeros((2, 1 << BITS))
-    seen[table["y"], table["bucket"]] = table["n"]
-    sizes = np.zeros(2)
-    for r in sample.groupBy("y").count().collect():
-        sizes[r["y"]] = r["count"]
-    return seen, sizes
-
-
-def signs(seen: np.ndarray, sizes: np.ndarray, least_gain: float = 30.0, odds: float = 3.0) -> np.ndarray:
-    """Whether each bucket is found nearly only in toxic documents.
-
-    Documents alone are labelled, so words get their labels from the features' document frequencies: log odds of
-    ``odds`` or more, and a likelihood ratio statistic of ``least_gain`` or more, which chance reaches in one of
-    twenty million features. The statistic grows with the number of labelled documents, so rarer signs count with more of them.
-    """
-    score = np.log((seen[1] + 0.5) / (sizes[1] + 1)) - np.log((seen[0] + 0.5) / (sizes[0] + 1))
-    both, total = np.maximum(seen.sum(0), 1), max(1.0, sizes.sum())
-    gain = 2 * sum(s * np.log(np.maximum(s, 1e-9) / (both * max(1.0, n) / total)) for s, n in zip(seen, sizes))
-    marked = (score >= odds) & (gain >= least_gain)
-    marked[0] = False
+            bucket = np.flatnonzero(seen.sum(0))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(seen[0, bucket]), pa.array(seen[1, bucket])], ["bucket", "clean", "toxic"])
+
+    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    counted = sample.select("text", "y").mapInArrow(count, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    ratio = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
+    part = lambda s, n: F.when(s > 0, s * F.log(s * max(1, n0 + n1) / ((F.col("toxic") + F.col("clean")) * max(1, n)))).otherwise(0.0)
+    gain = 2 * (part(F.col("toxic"), n1) + part(F.col("clean"), n0))
+    marked = np.zeros(1 << BITS, bool)
+    # bucket 0 stands for features that a word has not
+    marked[[r["bucket"] for r in counted.where((ratio >= odds) & (gain >= least_gain) & (F.col("bucket") > 0)).select("bucket").collect()]] = True
     return marked
 
 
@@ -203,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = RO
     sample, share = labelled_sample(docs, labels, label, counted)
     with arrow_rows(spark, 200):
         unique = materialize(once_each(sample), "toxicity-sample")
-        seen, sizes = frequencies(unique)
+        marked = signs(unique)
     table = for_driver(unique, rows)
     toxic = (table["y"].to_numpy() > 0).astype(int)
     if len(toxic) == 0 or toxic.min() == toxic.max():
@@ -211,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = RO
         return Model(np.zeros(1 << BITS), np.zeros((2, 2)), 0.0, float(np.log(share / (1 - share))))
     buckets, first = feature_buckets(words_of(pa.array(table["text"].tolist(), pa.string())))
     row = np.repeat(np.arange(len(toxic)), np.diff(first))
-    weights, t = train(buckets, first, (signs(seen, sizes)[buckets].any(1) & (toxic[row] == 1)).astype(float))
+    weights, t = train(buckets, first, (marked[buckets].any(1) & (toxic[row] == 1)).astype(float))
     margin = document_margin(marginals(weights[buckets].sum(1), first, t)[0], first)
     return Model(weights, t, *at_share(platt(margin, toxic), toxic, share))
 

@@ -65,27 +65,29 @@ def test_near_duplicates(spark, docs):
 
 
 def test_lines(spark, docs):
+    """Against all pairs of lines by edit distance: classes never join what no chain of similar lines joins, and miss few links."""
     lines = [(i, n, normal(line)) for i, text in docs for n, line in enumerate(text.split("\n"))]
     lines = [x for x in lines if x[2]]
-    kinds = sorted({x[2] for x in lines})
-    import pyarrow as pa
-
-    bits = line_dedup.simhash(*textvec.word_hashes(*textvec.utf8(pa.array(kinds))))
-    blocks = bits.view(np.uint32).reshape(len(kinds), 6)
-    share = {(i, j) for k in range(6) for g in _groups(blocks[:, k]) for i in g for j in g if i < j}
-    links = [(i, j) for i, j in share if line_dedup.similar(kinds[i], kinds[j], 0.8)]
+    kinds = sorted({x[2] for x in lines}, key=len)
+    counts, size = np.stack([line_dedup.letters(x) for x in kinds]), np.array([len(x) for x in kinds])
+    links = []
+    for i in range(len(kinds)):
+        far = np.maximum(np.abs(counts[i + 1 :] - counts[i]).sum(1) / 2, size[i + 1 :] - size[i])
+        links += [(i, int(j)) for j in np.flatnonzero(far <= 0.2 * size[i + 1 :] + 1e-9) + i + 1 if line_dedup.similar(kinds[i], kinds[j], 0.8)]
     roots = dict(zip(kinds, union(len(kinds), links)))
+    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line) for r in queries.op7_line_dedup(spark, DATA).collect()}
+    text_at = {(i, n): t for i, n, t in lines}
+    assert got.keys() == text_at.keys()
+    assert all(roots[text_at[at]] == roots[text_at[first]] for at, first in got.items())
+    place = {t: got[i, n] for i, n, t in lines}
+    joined = [place[kinds[i]] == place[kinds[j]] for i, j in links]
+    assert len(links) > 20 and np.mean(joined) >= 0.95
     first = {}
-    for i, n, text in sorted(lines):
-        first.setdefault(roots[text], (i, n))
-    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line, r.kept) for r in queries.op7_line_dedup(spark, DATA).collect()}
-    assert got == {(i, n): (*first[roots[t]], first[roots[t]] == (i, n)) for i, n, t in lines}
-
-
-def _groups(values):
-    order = np.argsort(values, kind="stable")
-    cuts = np.flatnonzero(np.diff(values[order])) + 1
-    return [g for g in np.split(order, cuts) if len(g) > 1]
+    for i, n, t in sorted(lines):
+        first.setdefault(got[i, n], (i, n))
+    assert all(name == at for name, at in first.items())
+    kept = {(r.doc_id, r.line_no) for r in queries.op7_line_dedup(spark, DATA).where("kept").collect()}
+    assert kept == set(first)
 
 
 @settings(max_examples=200, deadline=None)

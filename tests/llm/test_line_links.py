@@ -42,7 +42,19 @@ def test_full_key_is_compared_in_blocks(spark, monkeypatch):
     texts = [f"entry number {i * i * 7919 + 10**9}" for i in range(250)]
     nodes = spark.createDataFrame(list(enumerate(texts)), "node long, norm string")
     rest = nodes.select(F.lit(1).cast("long").alias("key"), "node", F.when(F.col("node") < 10, F.lit(0)).otherwise(F.col("node")).alias("comp"))
-    got = [(r.a, r.b) for r in line_dedup.similar_pairs(rest, nodes, 0.8).collect()]
-    counts = np.stack([line_dedup.letters(x) for x in texts])
-    right = {(a, b) for a, b in itertools.combinations(range(250), 2) if b >= 10 and np.abs(counts[a] - counts[b]).sum() <= 10 and line_dedup.similar(texts[a], texts[b], 0.8)}
-    assert len(got) == len(set(got)) and set(got) == right and right
+    monkeypatch.setattr(line_dedup, "PAIRS", 700)
+    got = [(r.a, r.b) for r in line_dedup.close_pairs(rest, line_dedup.prints(nodes), 0.8).collect()]
+    same = [0.8 * max(len(texts[a]), len(texts[b])) <= min(len(texts[a]), len(texts[b])) for a, b in itertools.combinations(range(250), 2) if b >= 10]
+    assert len(got) == len(set(got)) == sum(same) and all(a < b and b >= 10 for a, b in got)
+    found = {(r.a, r.b) for r in line_dedup.verified(spark.createDataFrame(got, "a long, b long"), nodes, 0.8).collect()}
+    assert found == {(a, b) for a, b in got if line_dedup.similar(texts[a], texts[b], 0.8)} and found
+
+
+def test_far_lines_are_screened_alike(spark):
+    texts = ["the quick brown fox jumps over the lazy dog tonight", "the quick brown cat jumps over the lazy dog tonight", "one two three four five six seven eight nine ten eleven", "page one", "page two"]
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, norm string")
+    signed = line_dedup.prints(nodes)
+    pairs = spark.createDataFrame(list(itertools.combinations(range(5), 2)), "a long, b long")
+    rest = nodes.select(F.lit(1).cast("long").alias("key"), "node", F.col("node").alias("comp"))
+    one = {(r.a, r.b) for r in line_dedup.screened(pairs, signed, 0.8).collect()}
+    assert one == {(r.a, r.b) for r in line_dedup.close_pairs(rest, signed, 0.8).collect()} == {(0, 1), (3, 4)}
