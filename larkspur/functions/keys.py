@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space of any kind, words that a search skips, HTML entities.
+#: White space of any kind, words that a search skips, HTML entities in the order in which they are decoded.
 BLANK = r"[\s\x{A0}\x{FEFF}]+"
-SEARCH_SKIPS = ("the", "and", "for", "with", "limited", "ltd", "private", "pvt", "india")
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+SEARCH_SKIPS = (
+    "limited", "ltd", "private", "pvt", "company", "corporation", "india", "gujarat", "global", "united", "and", "of", "the",
+    "industries", "industry", "international", "services", "solutions", "systems", "system", "info", "information",
+    "technology", "technologies", "engineering", "developers", "logistics", "consulting", "projects", "project", "infra",
+    "infrastructure", "equipment", "power", "enterprises", "enterprise", "ventures", "collaboration",
+)
+ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&#x2f;": "/", "&lt;": "<", "&gt;": ">"}
 
 
 def collapse(text: Column) -> Column:
@@ -68,10 +73,10 @@ def slug(name: Column) -> Column:
 
 
 def search_token(name: Column, least: int = 3) -> Column:
-    """First word of at least ``least`` letters that a search does not skip, else the first word."""
-    words = F.split(name_key(name), " ")
-    good = F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*SEARCH_SKIPS))
-    return F.coalesce(F.get(good, F.lit(0)), F.get(words, F.lit(0)))
+    """First word of the issuer key of at least ``least`` letters that a search does not skip, else the first of that length, else the first word."""
+    words = F.split(issuer_key(name), " ")
+    long = F.filter(words, lambda w: F.length(w) >= least)
+    return F.coalesce(F.get(F.filter(long, lambda w: ~w.isin(*SEARCH_SKIPS)), F.lit(0)), F.get(long, F.lit(0)), F.get(words, F.lit(0)))
 
 
 def strip_tags(html: Column) -> Column:
@@ -81,9 +86,18 @@ def strip_tags(html: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
+    """Named entities in any case, then decimal references of one UTF-16 unit; what names no character stays as it is."""
     for entity, mark in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(mark))
-    return text
+        text = F.regexp_replace(text, f"(?i){entity}", mark)
+    parts = F.split(text, "&#(?=[0-9]+;)")
+
+    def decoded(part: Column) -> Column:
+        code = F.regexp_extract(part, "^([0-9]+);", 1).try_cast("int")
+        mark = F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+        known = code.between(1, 0xFFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(known, F.concat(mark, F.regexp_replace(part, "^[0-9]+;", ""))).otherwise(F.concat(F.lit("&#"), part))
+
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), decoded), ""))
 
 
 def initials(name: Column) -> Column:
@@ -98,5 +112,5 @@ def tone(text: Column, tones: int = 4) -> Column:
 
 
 def name_variants(name: Column) -> Column:
-    """A name's key and, if it ends in '(India)' or 'of' something, the key without."""
+    """A name's key and, if it has '(India)', the key without."""
     return F.array_distinct(F.array(name_key(name), name_key(F.regexp_replace(name, r"(?i)\s*\(india\)", ""))))

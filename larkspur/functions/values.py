@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Factors of amount words.
-UNITS = {"crore": 10_000_000, "million": 1_000_000, "lakh": 100_000}
+#: Factors of amount words; an amount with its unit; a number; a range of prices.
+UNITS = {"crore": 10_000_000, "million": 1_000_000, "lakh": 100_000, "lac": 100_000}
+AMOUNT = r"(?i)(?:₹|Rs\.?|INR)\s*([0-9][0-9,]*(?:\.[0-9]{1,2})?)\s*(crore|million|lakh|lac)s?\b"
+NUMBER = r"([0-9][0-9,]*(?:\.[0-9]+)?)"
+BAND = rf"(?i){NUMBER}\s*(?:to|[-–—])\s*(?:Rs\.?|₹)?\s*{NUMBER}"
 
 
 def tolerant_number(text: Column) -> Column:
@@ -16,25 +19,33 @@ def tolerant_number(text: Column) -> Column:
 
 
 def price_kind(text: Column) -> Column:
-    """band, fixed or missing."""
-    return F.when(text.rlike(r"[0-9][0-9,.]* *(-|to) *(Rs\.? *)?[0-9]"), "band").when(text.rlike(r"[0-9]"), "fixed").otherwise("missing")
+    """band (two numbers with 'to' or a dash between), fixed (a number) or missing."""
+    return F.when(text.rlike(BAND), "band").when(text.rlike("[0-9]"), "fixed").otherwise("missing")
 
 
 def price_low(text: Column) -> Column:
-    return tolerant_number(F.nullif(F.regexp_extract(text, r"([0-9][0-9,]*(\.[0-9]+)?)", 1), F.lit("")))
+    """The lower end of a band, else the first number."""
+    return tolerant_number(F.when(text.rlike(BAND), F.regexp_extract(text, BAND, 1)).otherwise(F.nullif(F.regexp_extract(text, NUMBER, 1), F.lit(""))))
 
 
 def price_high(text: Column) -> Column:
-    return tolerant_number(F.nullif(F.regexp_extract(text, r"(-|to) *(Rs\.? *)?([0-9][0-9,]*(\.[0-9]+)?)", 3), F.lit("")))
+    """The upper end of a band."""
+    return tolerant_number(F.nullif(F.regexp_extract(text, BAND, 2), F.lit("")))
 
 
 def amount(text: Column) -> Column:
-    """An amount with a unit word in whole currency units, rounded; without a number null."""
-    number = tolerant_number(F.nullif(F.regexp_extract(text, r"([0-9][0-9,]*(\.[0-9]+)?)", 1), F.lit("")))
-    factor = F.lit(1)
-    for unit, times in UNITS.items():
-        factor = F.when(F.contains(F.lower(text), F.lit(unit)), F.lit(times)).otherwise(factor)
-    return F.round(number * factor).cast("long")
+    """The first amount with currency mark and unit in whole currency units, rounded; null if there is none or it is zero."""
+    number = tolerant_number(F.nullif(F.regexp_extract(text, AMOUNT, 1), F.lit("")))
+    unit = F.lower(F.regexp_extract(text, AMOUNT, 2))
+    factor = F.lit(None).cast("int")
+    for word, times in UNITS.items():
+        factor = F.when(unit == word, F.lit(times)).otherwise(factor)
+    return F.when(number > 0, F.round(number * factor).cast("long"))
+
+
+def amounts(text: Column) -> Column:
+    """All amounts with currency mark and unit, in order."""
+    return F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(0)), amount))
 
 
 def strict_date(text: Column) -> Column:
@@ -74,14 +85,15 @@ def flagged(text: Column) -> Column:
     return ~F.coalesce(F.lower(F.trim(text)), F.lit("")).isin("", "false", "0", "no", "n")
 
 
-#: Months by their first three letters.
-MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+#: The names of months.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+MONTH_NAMES = "|".join([*MONTHS, *(m[:3] for m in MONTHS if m != "May"), "Sept"])
 
 
 def month_number(name: Column) -> Column:
-    """1 to 12 from a month's name or its first three letters, in any case; else null."""
-    place = F.instr(F.lit(MONTHS.lower()), F.left(F.lower(name), F.lit(3)))
-    return F.when((F.length(name) >= 3) & (place % 3 == 1), ((place - 1) / 3 + 1).cast("int"))
+    """1 to 12 from a month's name or its first three letters (or Sept), in any case; else null."""
+    numbers = {m.lower(): i for i, m in enumerate(MONTHS, 1)} | {m[:3].lower(): i for i, m in enumerate(MONTHS, 1)} | {"sept": 9}
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in numbers.items() for x in pair)), F.lower(name))
 
 
 def _assembled(day: Column, month: Column, year: Column) -> Column:
@@ -94,13 +106,21 @@ def short_date_text(text: Column) -> Column:
     return _assembled(part(1), month_number(part(2)), part(3))
 
 
+#: Dates in prose.
+AMERICAN = rf"(?i)\b({MONTH_NAMES})\s+(\d{{1,2}})(?:st|nd|rd|th)?\s*,?\s+(20\d{{2}})\b"
+EUROPEAN = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+({MONTH_NAMES})\s*,?\s+(20\d{{2}})\b"
+
+
 def prose_date(text: Column) -> Column:
-    """The first date in prose, 'Month d, yyyy' or 'd Month yyyy' (ordinals allowed), that the calendar has."""
-    american = lambda i: F.regexp_extract(text, "([A-Z][a-z]{2,8}) ([0-9]{1,2})(?:st|nd|rd|th)?, ([0-9]{4})", i)
-    european = lambda i: F.regexp_extract(text, "([0-9]{1,2})(?:st|nd|rd|th)? ([A-Z][a-z]{2,8}),? ([0-9]{4})", i)
-    one = strict_date(_assembled(american(2), month_number(american(1)), american(3)))
-    other = strict_date(_assembled(european(1), month_number(european(2)), european(3)))
-    return F.coalesce(one, other)
+    """The earlier of the first 'Month d, yyyy' and the first 'd Month yyyy' of this century (ordinals allowed).
+
+    Only the first of each form counts; if the calendar does not have it, that form gives none.
+    """
+    part = lambda form, i: F.regexp_extract(text, form, i)
+    one = strict_date(_assembled(part(AMERICAN, 2), month_number(part(AMERICAN, 1)), part(AMERICAN, 3)))
+    other = strict_date(_assembled(part(EUROPEAN, 1), month_number(part(EUROPEAN, 2)), part(EUROPEAN, 3)))
+    first = F.regexp_instr(text, F.lit(AMERICAN)) < F.regexp_instr(text, F.lit(EUROPEAN))
+    return F.when(one.isNotNull() & other.isNotNull(), F.when(first, one).otherwise(other)).otherwise(F.coalesce(one, other))
 
 
 def share_quantity(text: Column) -> Column:

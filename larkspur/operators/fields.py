@@ -87,6 +87,37 @@ def match_class(left: DataFrame, hits: DataFrame, left_id: str) -> DataFrame:
     return left.select(left_id).join(counted, F.col(left_id) == F.col("_id"), "left").select(left_id, n.alias("matches"), F.when(n == 1, "matched").when(n > 1, "held").otherwise("new").alias("class"))
 
 
+#: What a shortened name may lack at its end, beside up to three characters; least length of a name that may be short.
+CUT_ENDS = ("limited", "limite", "limit", "limi")
+LEAST_PREFIX = 12
+
+
+def exact_then_prefix(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """``left`` with match (the right key) and class: exact, ambiguous_exact, prefix, ambiguous_prefix or none.
+
+    One right row of the same key is an exact match, several are ambiguous. Without any, a key matches if one is the
+    beginning of the other, in either direction, both have LEAST_PREFIX characters and what the longer has more is three
+    characters at most or one of CUT_ENDS. The least length makes an equi-join on the first twelve characters
+    lossless; distinct keys meet, with their numbers of rows. Null keys match nothing.
+    """
+    stem = lambda c: F.left(c, F.lit(LEAST_PREFIX))
+    known = right.where(F.col(right_key).isNotNull()).groupBy(F.col(right_key).alias("_known")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_stem", stem("_known"))
+    asked = left.where(F.col(left_key).isNotNull()).select(F.col(left_key).alias("_asked")).distinct().withColumn("_stem", stem("_asked"))
+    shorter, longer = F.least(F.length("_asked"), F.length("_known")), F.when(F.length("_asked") > F.length("_known"), F.col("_asked")).otherwise(F.col("_known"))
+    rest = F.trim(F.substr(longer, shorter + 1))
+    begins = F.startswith("_known", "_asked") | F.startswith("_asked", "_known")
+    same = F.col("_asked") == F.col("_known")
+    near = asked.join(known, "_stem").where(same | ((shorter >= LEAST_PREFIX) & begins & ((F.length(rest) <= 3) | rest.isin(*CUT_ENDS))))
+    counted = near.groupBy("_asked").agg(
+        F.coalesce(F.sum(F.when(same, F.col("_n"))), F.lit(0)).alias("_exact"),
+        F.coalesce(F.sum(F.when(~same, F.col("_n"))), F.lit(0)).alias("_prefix"),
+        F.min(F.when(~same, F.col("_known"))).alias("_begun"),
+    )
+    kind = F.when(F.col("_exact") == 1, "exact").when(F.col("_exact") > 1, "ambiguous_exact").when(F.col("_prefix") == 1, "prefix").when(F.col("_prefix") > 1, "ambiguous_prefix").otherwise("none")
+    match = F.when(kind == "exact", F.col(left_key)).when(kind == "prefix", F.col("_begun"))
+    return left.join(counted, F.col(left_key) == F.col("_asked"), "left").withColumn("class", kind).withColumn("match", match).drop("_asked", "_exact", "_prefix", "_begun")
+
+
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """(rule, violations, checked) for each rule, a condition that every row must meet; null counts as a violation. One pass."""
     counted = df.agg(F.count(F.lit(1)).alias("checked"), *(F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()))

@@ -21,12 +21,12 @@ def query(sql: str):
     return keep
 
 
-@query("""WITH a AS (SELECT c_custkey % 500 AS k, c_nationkey AS nation, c_mktsegment AS segment FROM customer WHERE c_custkey < 500), b AS (SELECT s_suppkey % 500 AS k, s_nationkey AS nation, CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' END AS segment FROM supplier WHERE s_suppkey < 500)
+@query("""WITH a AS (SELECT c_custkey AS k, c_nationkey AS nation, c_mktsegment AS segment FROM customer), b AS (SELECT s_suppkey AS k, s_nationkey AS nation, CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' END AS segment FROM supplier)
 SELECT coalesce(a.k, b.k) AS k, coalesce(b.nation, a.nation) AS nation, coalesce(b.segment, a.segment) AS segment, (a.k IS NOT NULL)::BIGINT + (b.k IS NOT NULL)::BIGINT AS feeds, ((a.nation <> b.nation) IS TRUE)::INTEGER + ((a.segment <> b.segment) IS TRUE)::INTEGER AS conflicts FROM a FULL JOIN b ON a.k = b.k""")
 def merge_feeds(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    a = t.customer.where("c_custkey < 500").select((F.col("c_custkey") % 500).alias("k"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
-    b = t.supplier.where("s_suppkey < 500").select((F.col("s_suppkey") % 500).alias("k"), F.col("s_nationkey").alias("nation"), F.when(F.col("s_suppkey") % 2 == 0, "BUILDING").alias("segment"))
+    a = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    b = t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("nation"), F.when(F.col("s_suppkey") % 2 == 0, "BUILDING").alias("segment"))
     return fields.merge_feeds([a, b], "k", ["nation", "segment"])
 
 
@@ -52,34 +52,34 @@ def match_class(spark, sf_dir):
     return fields.match_class(left, hits, "s_suppkey")
 
 
-_N = named_sql("n_nationkey", "n_name")
+_N = named_sql("c_custkey", "c_name")
 
 
-@query(f"""WITH v AS (SELECT DISTINCT n_nationkey, unnest([trim(regexp_replace(replace(lower({_N}), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), trim(regexp_replace(replace(lower(regexp_replace({_N}, '\\s*\\(india\\)', '', 'gi')), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))]) AS variant FROM nation),
-o AS (SELECT n_nationkey AS other, trim(regexp_replace(lower(n_name || ' Limited'), '[^a-z0-9]+', ' ', 'g')) AS variant FROM nation), h AS (SELECT DISTINCT n_nationkey, other FROM v JOIN o USING (variant))
-SELECT n_nationkey, other FROM h QUALIFY count(*) OVER (PARTITION BY n_nationkey) = 1""")
+@query(f"""WITH v AS (SELECT DISTINCT c_custkey, unnest([trim(regexp_replace(replace(lower({_N}), '&', ' and '), '[^a-z0-9]+', ' ', 'g')), trim(regexp_replace(replace(lower(regexp_replace({_N}, '\\s*\\(india\\)', '', 'gi')), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))]) AS variant FROM customer),
+o AS (SELECT c_custkey AS other, trim(regexp_replace(lower(c_name || ' Limited'), '[^a-z0-9]+', ' ', 'g')) AS variant FROM customer), h AS (SELECT DISTINCT c_custkey, other FROM v JOIN o USING (variant))
+SELECT c_custkey, other FROM h QUALIFY count(*) OVER (PARTITION BY c_custkey) = 1""")
 def variant_join(spark, sf_dir):
-    nation = Tables(spark, sf_dir).nation
-    left = nation.select("n_nationkey", F.explode(keys.name_variants(named("n_nationkey", "n_name"))).alias("variant"))
-    right = nation.select(F.col("n_nationkey").alias("other"), keys.name_key(F.concat("n_name", F.lit(" Limited"))).alias("variant"))
-    hits = left.join(right, "variant").select("n_nationkey", "other").distinct()
-    return hits.groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("other")).where("n = 1").drop("n")
+    customer = Tables(spark, sf_dir).customer
+    left = customer.select("c_custkey", F.explode(keys.name_variants(named("c_custkey", "c_name"))).alias("variant"))
+    right = customer.select(F.col("c_custkey").alias("other"), keys.name_key(F.concat("c_name", F.lit(" Limited"))).alias("variant"))
+    hits = left.join(right, "variant").select("c_custkey", "other").distinct()
+    return hits.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("other")).where("n = 1").drop("n")
 
 
-@query("""WITH k AS (SELECT DISTINCT lower(p_type || ' ' || p_name || ' ' || p_brand) AS full_name FROM part), q AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN lower(p_type || ' ' || p_name || ' ' || p_brand) ELSE lower(p_type || ' ' || p_name) END AS asked FROM part),
-e AS (SELECT p_partkey, count(full_name) AS n FROM q LEFT JOIN k ON full_name = asked GROUP BY 1), f AS (SELECT p_partkey, count(full_name) AS n FROM q LEFT JOIN k ON starts_with(full_name, asked || ' ') GROUP BY 1)
-SELECT p_partkey, CASE WHEN e.n = 1 THEN 'exact' WHEN f.n = 1 THEN 'prefix' WHEN f.n > 1 THEN 'ambiguous_prefix' ELSE 'none' END AS class FROM e JOIN f USING (p_partkey)""")
+_ASKED = "CASE p_partkey % 5 WHEN 0 THEN full_name WHEN 1 THEN left(full_name, length(full_name) - 3) WHEN 2 THEN left(full_name, length(full_name) - 8) WHEN 3 THEN left(full_name, 11) ELSE full_name || ' xyz' END"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, lower(p_name || ' ' || p_type || ' limited') AS full_name FROM part), k AS (SELECT full_name, count(*) AS n FROM p WHERE p_partkey % 3 > 0 GROUP BY 1), q AS (SELECT p_partkey, trim({_ASKED}) AS asked FROM p),
+d AS (SELECT DISTINCT asked FROM q), e AS (SELECT asked, coalesce(n, 0) AS exact FROM d LEFT JOIN k ON full_name = asked),
+f AS (SELECT asked, coalesce(sum(n), 0) AS prefix FROM d LEFT JOIN k ON full_name <> asked AND least(length(asked), length(full_name)) >= 12 AND (starts_with(full_name, asked) OR starts_with(asked, full_name))
+  AND (length(trim(CASE WHEN length(asked) > length(full_name) THEN substr(asked, length(full_name) + 1) ELSE substr(full_name, length(asked) + 1) END)) <= 3
+    OR trim(CASE WHEN length(asked) > length(full_name) THEN substr(asked, length(full_name) + 1) ELSE substr(full_name, length(asked) + 1) END) IN ('limited', 'limite', 'limit', 'limi')) GROUP BY 1)
+SELECT p_partkey, CASE WHEN exact = 1 THEN 'exact' WHEN exact > 1 THEN 'ambiguous_exact' WHEN prefix = 1 THEN 'prefix' WHEN prefix > 1 THEN 'ambiguous_prefix' ELSE 'none' END AS class FROM q JOIN e USING (asked) JOIN f USING (asked)""")
 def exact_then_prefix(spark, sf_dir):
-    """The prefix stage is an equi-join on the first eight characters with the prefix as residual, over distinct names on both sides."""
-    part = Tables(spark, sf_dir).part
-    full = F.lower(F.concat_ws(" ", "p_type", "p_name", "p_brand"))
-    known = part.select(full.alias("full_name")).distinct().withColumn("stem", F.left("full_name", F.lit(8)))
-    rows = part.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, full).otherwise(F.lower(F.concat_ws(" ", "p_type", "p_name"))).alias("asked"))
-    asked = rows.select("asked").distinct().withColumn("stem", F.left("asked", F.lit(8)))
-    near = asked.join(known, "stem").where((F.col("full_name") == F.col("asked")) | F.startswith("full_name", F.concat("asked", F.lit(" "))))
-    counts = near.groupBy("asked").agg(F.count_if(F.col("full_name") == F.col("asked")).alias("exact"), F.count_if(F.col("full_name") != F.col("asked")).alias("prefix"))
-    group = F.when(F.col("exact") == 1, "exact").when(F.col("prefix") == 1, "prefix").when(F.col("prefix") > 1, "ambiguous_prefix").otherwise("none")
-    return rows.join(counts, "asked", "left").select("p_partkey", group.alias("class"))
+    part = Tables(spark, sf_dir).part.select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_type", F.lit("limited"))).alias("full_name"))
+    name, k, size = F.col("full_name"), F.col("p_partkey") % 5, F.length("full_name")
+    asked = F.when(k == 0, name).when(k == 1, F.left(name, size - 3)).when(k == 2, F.left(name, size - 8)).when(k == 3, F.left(name, F.lit(11))).otherwise(F.concat(name, F.lit(" xyz")))
+    return fields.exact_then_prefix(part.select("p_partkey", F.trim(asked).alias("asked")), part.where("p_partkey % 3 > 0"), "asked", "full_name").select("p_partkey", "class")
 
 
 @query("""SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-06-01' AND o_custkey IS NOT NULL)""")
@@ -97,21 +97,22 @@ def keyed_residual(spark, sf_dir):
     return joined.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""WITH p AS (SELECT item_id, list_distinct(list_slice(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' '), 1, 4)) AS ts FROM benchmark), w AS (SELECT DISTINCT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ')) AS tok FROM documents),
+@query(r"""WITH p AS (SELECT item_id, list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ')) AS ts FROM benchmark), w AS (SELECT DISTINCT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ')) AS tok FROM documents),
 t AS (SELECT item_id, len(ts) AS need, unnest(ts) AS tok FROM p) SELECT item_id, count(*) AS docs FROM (SELECT item_id, doc_id FROM t JOIN w USING (tok) GROUP BY item_id, doc_id, need HAVING count(*) = need) GROUP BY 1""")
 def token_containment(spark, sf_dir):
-    """Documents with every token of a phrase: the phrases' few tokens meet the documents' distinct tokens by equi-join; hits are counted.
+    """Documents with every token of a passage: only those with its rarest token are looked at, by an equi-join, and then for the others.
 
-    Only tokens that a phrase has go through the shuffle, and the join is on the token; a document contributes at
-    most one row a phrase token.
+    A common token multiplies nothing: a passage meets as many documents as have its rarest token.
     """
     t = Tables(spark, sf_dir)
-    toks = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z]+", " ")), " ")
-    phrases = t.benchmark.select("item_id", F.array_distinct(F.slice(toks("text"), 1, 4)).alias("ts"))
-    asked = phrases.select("item_id", F.size("ts").alias("need"), F.explode("ts").alias("tok"))
-    words = t.documents.select("doc_id", F.explode(F.array_distinct(toks("text"))).alias("tok")).join(asked.select("tok").distinct(), "tok", "left_semi")
-    hits = words.join(asked, "tok").groupBy("item_id", "doc_id", "need").agg(F.count(F.lit(1)).alias("n")).where("n = need")
-    return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
+    toks = lambda c: F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z]+", " ")), " "))
+    passages, docs = t.benchmark.select("item_id", toks("text").alias("ts")), t.documents.select("doc_id", toks("text").alias("has"))
+    asked, words = passages.select("item_id", F.explode("ts").alias("tok")), docs.select("doc_id", F.explode("has").alias("tok"))
+    seen = words.join(asked.select("tok").distinct(), "tok", "left_semi").groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
+    # a token that no document has is the rarest, and finds none
+    rarest = asked.join(seen, "tok", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "tok")).alias("r")).select("item_id", "r.tok")
+    near = words.join(rarest, "tok").select("doc_id", "item_id").join(docs, "doc_id").join(passages, "item_id")
+    return near.where(F.size(F.array_except("ts", "has")) == 0).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query("""WITH reg AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE round(o_totalprice) END AS total FROM orders WHERE o_orderkey % 3 <> 0), inc AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN round(o_totalprice) + 1 ELSE round(o_totalprice) END AS total FROM orders WHERE o_orderkey % 2 = 0)

@@ -34,13 +34,13 @@ def notice_grammar(spark, sf_dir):
     return per.where("issuer = last").drop("last")
 
 
-@query("""WITH r AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderkey % 40 = 1 GROUP BY 1), p AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderkey % 40 = 2 GROUP BY 1)
+@query("""WITH r AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), p AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
 SELECT CASE WHEN r.n IS NULL AND p.n IS NULL THEN 'neither' WHEN r.n IS NULL THEN 'published_only' WHEN p.n IS NULL THEN 'retained_only' WHEN r.n = p.n THEN 'agreed' ELSE 'conflict' END AS class, count(*) AS n FROM customer LEFT JOIN r ON r.k = c_custkey LEFT JOIN p ON p.k = c_custkey GROUP BY 1""")
 def two_sided_reconcile(spark, sf_dir):
     """Both sides come from one pass over the orders: their counts are two conditional aggregates of one shuffle."""
     t = Tables(spark, sf_dir)
-    k = F.col("o_orderkey") % 40
-    sides = t.orders.where(k.isin(1, 2)).groupBy("o_custkey").agg(F.count_if(k == 1).alias("r"), F.count_if(k == 2).alias("p"))
+    status = F.col("o_orderstatus")
+    sides = t.orders.groupBy("o_custkey").agg(F.count_if(status == "F").alias("r"), F.count_if(status == "O").alias("p"))
     r, p = F.coalesce("r", F.lit(0)), F.coalesce("p", F.lit(0))
     group = F.when((r == 0) & (p == 0), "neither").when(r == 0, "published_only").when(p == 0, "retained_only").when(r == p, "agreed").otherwise("conflict")
     return t.customer.join(sides, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy(group.alias("class")).agg(F.count(F.lit(1)).alias("n"))
@@ -100,11 +100,11 @@ def clamped_page(spark, sf_dir):
     return history.page(names, [F.col("p_name")], 10, number).select("p_name", F.lit(number).cast("long").alias("page"))
 
 
-@query("""WITH a AS (SELECT DISTINCT lower(c_mktsegment) AS k FROM customer WHERE c_custkey < 40), b AS (SELECT trim(regexp_replace(lower(p_type || CASE WHEN p_partkey % 5 = 0 THEN ' Ltd' ELSE '' END), '[^a-z0-9]+', ' ', 'g')) AS k, p_partkey FROM part) SELECT k, min(p_partkey) AS first_part FROM b WHERE k NOT IN (SELECT k FROM a) GROUP BY k""")
+@query("""WITH a AS (SELECT DISTINCT lower(c_mktsegment) AS k FROM customer), b AS (SELECT trim(regexp_replace(lower(p_type || CASE WHEN p_partkey % 5 = 0 THEN ' Ltd' ELSE '' END), '[^a-z0-9]+', ' ', 'g')) AS k, p_partkey FROM part) SELECT k, min(p_partkey) AS first_part FROM b WHERE k NOT IN (SELECT k FROM a) GROUP BY k""")
 def growing_anti_join(spark, sf_dir):
     """New names only: an anti-join against what is known, then the first of each name on the new side."""
     t = Tables(spark, sf_dir)
-    known = t.customer.where("c_custkey < 40").select(F.lower("c_mktsegment").alias("k"))
+    known = t.customer.select(F.lower("c_mktsegment").alias("k"))
     fresh = t.part.select(keys.name_key(F.concat("p_type", F.when(F.col("p_partkey") % 5 == 0, " Ltd").otherwise(""))).alias("k"), "p_partkey")
     return fresh.join(known, "k", "left_anti").groupBy("k").agg(F.min("p_partkey").alias("first_part"))
 
