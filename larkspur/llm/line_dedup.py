@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm import linking
+from larkspur.llm import edits, linking
 from larkspur.llm.base import arrow_rows, join_side, materialize, normalized
 from larkspur.llm.textvec import mix, row_chunks, shingle_hashes, utf8, word_hashes
 
@@ -27,6 +27,8 @@ SHORT = 14
 NODES, PAIRS = 500, 1 << 20
 #: Lines of at least so many words whose SimHashes differ in more than so many of the 192 bits are not compared further.
 SCREENED_WORDS, FAR_BITS = 8, 76
+#: Lines of more characters are compared pair by pair, in long integers; shorter ones many pairs at once.
+LONG_LINE = 4096
 
 
 def simhash(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -161,6 +163,20 @@ def similar(a: str, b: str, threshold: float) -> bool:
     return min(len(a), len(b)) >= threshold * max(len(a), len(b)) and edit_distance(a, b, most) <= most
 
 
+def all_similar(a: list[str], b: list[str], threshold: float) -> np.ndarray:
+    """``similar`` of each pair."""
+    longer = np.array([max(len(x), len(y)) for x, y in zip(a, b)], np.int64)
+    most = (1 - threshold) * longer + 1e-9
+    may = np.array([min(len(x), len(y)) for x, y in zip(a, b)], np.int64) >= threshold * longer
+    good = np.zeros(len(a), bool)
+    for i in np.flatnonzero(may & (longer > LONG_LINE)):
+        good[i] = similar(a[i], b[i], threshold)
+    rows = np.flatnonzero(may & (longer <= LONG_LINE))
+    rows = rows[edits.letters_apart([a[i] for i in rows], [b[i] for i in rows]) <= most[rows]]
+    good[rows] = edits.within([a[i] for i in rows], [b[i] for i in rows], most[rows])
+    return good
+
+
 def split_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line_no, norm) of every line with a letter or digit, of documents with an id."""
     lines = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -188,11 +204,6 @@ def blocks_of(lines: DataFrame) -> DataFrame:
     return lines.select(F.col("k1").alias("node"), F.explode("keys").alias("key")).repartition("key")
 
 
-def letters(line: str) -> np.ndarray:
-    """Counts of the line's characters in 32 bins; half their sum of differences is no more than the edit distance."""
-    return np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32) & 31, minlength=32).astype(np.int32)
-
-
 def prints(texts: DataFrame) -> DataFrame:
     """(node, size, words, s0, s1, s2) of texts (node, norm): characters, words and SimHash of each."""
 
@@ -269,11 +280,9 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     def check(batches):
         for batch in batches:
-            good = []
-            for x, y in zip(batch["ta"].to_pylist(), batch["tb"].to_pylist()):
-                far = np.abs(letters(x) - letters(y)).sum() > 2 * ((1 - threshold) * max(len(x), len(y)) + 1e-9)
-                good.append(not far and similar(x, y, threshold))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for start, stop in row_chunks(batch["ta"]):
+                part = batch.slice(start, stop - start)
+                yield part.select(["a", "b"]).filter(pa.array(all_similar(part["ta"].to_pylist(), part["tb"].to_pylist(), threshold)))
 
     return pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 

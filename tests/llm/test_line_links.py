@@ -1,12 +1,13 @@
 """Which similar lines share a block, against all pairs of lines, and how the nodes of a full key are compared."""
 
 import itertools
+import random
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from larkspur.llm import line_dedup, textvec
+from larkspur.llm import edits, line_dedup, textvec
 from tests.conftest import DATA
 from tests.llm.test_against_brute_force import normal
 
@@ -14,7 +15,7 @@ from tests.llm.test_against_brute_force import normal
 def test_blocks_find_similar_lines(spark):
     texts = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
     kinds = sorted({x for text in texts if text for line in text.split("\n") if 0 < len(x := normal(line)) < 500}, key=len)
-    counts, size = np.stack([line_dedup.letters(x) for x in kinds]), np.array([len(x) for x in kinds])
+    counts, size = np.stack([np.bincount(edits.code_points([x])[0] & 31, minlength=32) for x in kinds]), np.array([len(x) for x in kinds])
     links = []
     for i in range(len(kinds)):
         far = np.maximum(np.abs(counts[i + 1 :] - counts[i]).sum(1) / 2, size[i + 1 :] - size[i])
@@ -58,3 +59,38 @@ def test_far_lines_are_screened_alike(spark):
     rest = nodes.select(F.lit(1).cast("long").alias("key"), "node", F.col("node").alias("comp"))
     one = {(r.a, r.b) for r in line_dedup.screened(pairs, signed, 0.8).collect()}
     assert one == {(r.a, r.b) for r in line_dedup.close_pairs(rest, signed, 0.8).collect()} == {(0, 1), (3, 4)}
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_distances_of_many_pairs_at_once():
+    rand, pairs = random.Random(1), [("", ""), ("", "abc"), ("abc", "")]
+    for size in [1, 2, 10, 63, 64, 65, 127, 128, 129, 200] * 12:
+        letters = rand.choice(["ab", "abcdefgh ", "a\u00e9\u6f22\U0001f600bc"])
+        x = [rand.choice(letters) for _ in range(size)]
+        y = list(x)
+        for _ in range(rand.randint(0, size // 3 + 1)):
+            at = rand.randrange(len(y) + 1)
+            y[at : at + rand.randrange(2)] = rand.choice(["", rand.choice(letters)])
+        pairs.append(("".join(x), "".join(y)))
+    a, b = map(list, zip(*pairs))
+    true = np.array([plain_distance(x, y) for x, y in pairs])
+    assert true.tolist() == [line_dedup.edit_distance(x, y) for x, y in pairs]
+    for most in (np.full(len(a), 0.0), np.full(len(a), 7.0), 0.2 * np.maximum([len(x) for x in a], [len(y) for y in b]) + 1e-9, true, true - 1):
+        assert (edits.within(a, b, most) == (true <= most)).all()
+    assert (edits.letters_apart(a, b) <= true).all() and not len(edits.within([], [], np.zeros(0)))
+
+
+def test_long_lines_are_compared_like_short_ones(monkeypatch):
+    a, b = ["x" * 300, "ab" * 40, "", "abc", "y" * 90], ["x" * 299, "ab" * 39, "", "", "z" * 90]
+    want = [line_dedup.similar(x, y, 0.8) for x, y in zip(a, b)]
+    assert want == [True, True, True, False, False] == line_dedup.all_similar(a, b, 0.8).tolist()
+    monkeypatch.setattr(line_dedup, "LONG_LINE", 85)
+    assert line_dedup.all_similar(a, b, 0.8).tolist() == want and not len(line_dedup.all_similar([], [], 0.8))
