@@ -83,16 +83,30 @@ def char_grams(data: np.ndarray, offsets: np.ndarray, n: int = GRAM) -> tuple[np
 
 
 def minhash_blocks(hashes: np.ndarray, firsts: np.ndarray, blocks: int) -> np.ndarray:
-    """32-bit hashes (rows x blocks) of REGISTERS MinHash registers each; every row needs a feature."""
+    """32-bit hashes (rows x blocks) of REGISTERS MinHash registers each; every row needs a feature.
+
+    A register is the least of the features' mixed hashes times an odd number of its own.
+    """
     out = np.zeros((len(firsts) - 1, blocks), np.uint64)
     if len(out):
+        odd = mix(np.arange(blocks * REGISTERS, dtype=np.uint64), 7) | np.uint64(1)
+        times = np.empty_like(hashes)
         with np.errstate(over="ignore"):
             for b in range(blocks):
                 for r in range(REGISTERS):
-                    out[:, b] = mix(out[:, b] * np.uint64(31) + np.minimum.reduceat(mix(hashes, b * REGISTERS + r + 1), firsts[:-1]))
+                    np.multiply(hashes, odd[b * REGISTERS + r], out=times)
+                    out[:, b] = mix(out[:, b] * np.uint64(31) + np.minimum.reduceat(times, firsts[:-1]))
     return out >> np.uint64(32)
 
 
+def rows_of(features: np.ndarray, firsts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of some rows, in order, and where each row's begin."""
+    counts = np.diff(firsts)
+    wanted = np.zeros(len(counts), bool)
+    wanted[rows] = True
+    return features[np.repeat(wanted, counts)], np.append(0, np.cumsum(counts[rows]))
+
+
 def deletions(line: str) -> set[str]:
     """The line without up to as many characters as it may differ in from a line of its length, or one more."""
     most = 2 if len(line) >= 8 else int(len(line) >= 4)
@@ -107,10 +121,10 @@ def block_keys(norm: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     parts = [(np.repeat(np.arange(n), 6), simhash(*words).view(np.uint32).reshape(-1).astype(np.uint64), np.tile(np.arange(6), n))]
     brief = np.flatnonzero(size <= CHAR_LINE)
     for rows, features, blocks, kind in (
-        (brief, lambda part: char_grams(*utf8(part)), CHAR_BLOCKS, 6),
-        (np.flatnonzero(size >= 0.8 * CHAR_LINE), lambda part: shingle_hashes(*word_hashes(*utf8(part)), 2), PAIR_BLOCKS, 6 + CHAR_BLOCKS),
+        (brief, lambda rows: char_grams(*utf8(norm.take(pa.array(rows)))), CHAR_BLOCKS, 6),
+        (np.flatnonzero(size >= 0.8 * CHAR_LINE), lambda rows: rows_of(*shingle_hashes(*words, 2), rows), PAIR_BLOCKS, 6 + CHAR_BLOCKS),
     ):
-        values = minhash_blocks(*features(norm.take(pa.array(rows))), blocks)
+        values = minhash_blocks(*features(rows), blocks)
         parts.append((np.repeat(rows, blocks), values.reshape(-1), np.tile(np.arange(kind, kind + blocks), len(rows))))
     left = [(i, d) for i, line in zip(brief.tolist(), norm.take(pa.array(brief)).to_pylist()) if len(line) <= SHORT for d in deletions(line)]
     if left:

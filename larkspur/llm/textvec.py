@@ -21,7 +21,7 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of _P and of its inverse modulo 2**64, at least n of each."""
-    size = 1 << max(16, int(n).bit_length())
+    size = max([1 << max(16, int(n).bit_length()), *_powers])
     if size not in _powers:
         _powers.clear()
         inverse = np.uint64(pow(int(_P), -1, 1 << 64))
