@@ -73,4 +73,67 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGIN
 SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
 """
 
-ORACLES = {"op3_quality_rules": _OP3, "op4_topk": _OP4, "op5_warc_audit": _OP5, "op10_mixing": _OP10}
+#: CRC-32 byte by byte over each distinct feature; an entry of the table is a byte after eight shifts.
+_SHIFTED = "xor(t >> 1, CASE WHEN t & 1 = 1 THEN 3988292384 ELSE 0 END)"
+
+_OP11 = rf"""
+WITH crc AS (SELECT list(t ORDER BY i) AS crcs FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda t, x: {_SHIFTED}) AS t FROM range(256) r(i))),
+texts AS (SELECT true AS own, row_number() OVER () AS row, doc_id, text FROM documents UNION ALL SELECT false, row_number() OVER (), NULL, text FROM benchmark),
+words AS MATERIALIZED (SELECT own, row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM texts),
+grams AS MATERIALIZED (SELECT own, row, array_to_string(ws[i:i + n - 1], ' ') AS gram FROM (SELECT own, row, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM words, (VALUES (1), (2), (3)) AS k(n))),
+hashed AS (SELECT gram, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, 2 * strlen(gram), 2), lambda i: 16 * instr('123456789ABCDEF', h[i]) + instr('123456789ABCDEF', h[i + 1]))),
+  lambda a, b: xor(a >> 8, crcs[xor(a & 255, b) + 1])), 4294967295) % 10000 AS bucket FROM (SELECT gram, hex(encode(gram)) AS h FROM (SELECT DISTINCT gram FROM grams)), crc),
+features AS MATERIALIZED (SELECT own, row, bucket FROM grams JOIN hashed USING (gram)),
+counts AS (SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM features GROUP BY bucket),
+totals AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM counts),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain FROM counts, totals),
+summed AS (SELECT row, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM features JOIN gains USING (bucket) WHERE own GROUP BY row),
+scored AS (SELECT doc_id, len(ws) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM words LEFT JOIN summed USING (row) WHERE own),
+placed AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS FIRST, weight DESC) AS place, count(*) FILTER (able) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * n // 100 THEN place END AS rank FROM placed
+"""
+
+#: (kind, pattern, group whose length counts, its least length)
+_KINDS = [
+    ("assign", r"(?i:password|passwd|secret|token|api_?key)[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)", 1, 8),
+    ("access", r"AKIA[A-Z0-9]+", 0, 16),
+    ("hex", r"[0-9a-f]+", 0, 32),
+    ("prefixed", r"(?:gh[pousr]_|xox[abprs]-|sk_live_|AIza)([A-Za-z0-9_-]+)", 1, 16),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.([A-Za-z0-9_-]+)", 1, 8),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+]
+_HITS = " UNION ALL ".join(f"SELECT row, {i} AS nr, regexp_extract_all(t, '{p}') AS found, regexp_extract_all(t, '{p}', {g}) AS part, string_split_regex(t, '{p}') AS gaps, {n} AS least FROM d" for i, (_, p, g, n) in enumerate(_KINDS))
+
+#: A match's place is the length of what stands before it: the pieces between matches and the matches themselves.
+_OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+kinds AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k[0]}')" for i, k in enumerate(_KINDS))}) AS k(nr, kind)),
+hits AS ({_HITS}),
+placed AS (SELECT row, nr, least, part[i] AS part, len(found[i]) AS size, list_sum(list_transform(gaps[:i], lambda x: len(x))) + coalesce(list_sum(list_transform(found[:i - 1], lambda x: len(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM hits)),
+spans AS (SELECT row, nr, start, kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT AS span FROM placed JOIN kinds USING (nr) WHERE len(part) >= least)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (nr = 0) AS n_assign, count(*) FILTER (nr = 1) AS n_access, count(*) FILTER (nr = 2) AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY start, nr) FILTER (nr < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, nr), '') AS spans
+FROM d LEFT JOIN spans USING (row) GROUP BY row
+"""
+
+_ROUNDS = 10
+_GAP = "list_sum(list_transform(list_zip(v, c), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+_ASSIGNED = f"SELECT row, vec_id, v, min_by(cluster, (distance, cluster)) AS cluster, min(distance) AS distance FROM (SELECT row, vec_id, v, cluster, {_GAP} AS distance FROM kept, {{}}) GROUP BY ALL"
+_ROUND = f"""a{{i}} AS MATERIALIZED ({_ASSIGNED.format('c{before}')}),
+m{{i}} AS (SELECT cluster, list(m ORDER BY dim) AS c FROM (SELECT cluster, dim, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS dim FROM a{{i}}) GROUP BY ALL) GROUP BY cluster),
+c{{i}} AS MATERIALIZED (SELECT cluster, coalesce(m{{i}}.c, c{{before}}.c) AS c FROM c{{before}} LEFT JOIN m{{i}} USING (cluster)),
+"""
+
+_OP13 = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v AS c FROM (SELECT v, sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h FROM kept ORDER BY h, v LIMIT 8)),
+{"".join(_ROUND.format(i=i, before=i - 1) for i in range(1, _ROUNDS + 1))}
+last AS ({_ASSIGNED.format(f'c{_ROUNDS}')})
+SELECT vec_id, cluster::INTEGER AS cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM last JOIN c{_ROUNDS} USING (cluster)
+"""
+
+ORACLES = {"op3_quality_rules": _OP3, "op4_topk": _OP4, "op5_warc_audit": _OP5, "op10_mixing": _OP10, "op11_resampling": _OP11, "op12_secret_scan": _OP12, "op13_clustering": _OP13}

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, topk, toxicity, warc
+from larkspur.llm import clustering, language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, resampling, secret_scan, topk, toxicity, warc
 from larkspur.llm.base import bucket_of, materialize, table, tidy
 
 
@@ -80,4 +80,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: tidy(f) for f in (op1_language_id, op2_toxicity, op3_quality_rules, op4_topk, op5_warc_audit, op6_packing, op7_line_dedup, op8_near_dedup, op9_quality_classifier, op10_mixing)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: tidy(f) for f in (op1_language_id, op2_toxicity, op3_quality_rules, op4_topk, op5_warc_audit, op6_packing, op7_line_dedup, op8_near_dedup, op9_quality_classifier, op10_mixing, op11_resampling, op12_secret_scan, op13_clustering)}

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from larkspur.llm import language_id, line_dedup, near_dedup, packing, queries, textvec
+from larkspur.llm import edits, language_id, line_dedup, near_dedup, packing, queries, textvec
 from tests.conftest import DATA
 
 
@@ -69,10 +69,10 @@ def test_lines(spark, docs):
     lines = [(i, n, normal(line)) for i, text in docs for n, line in enumerate(text.split("\n"))]
     lines = [x for x in lines if x[2]]
     kinds = sorted({x[2] for x in lines}, key=len)
-    counts, size = np.stack([line_dedup.letters(x) for x in kinds]), np.array([len(x) for x in kinds])
+    size = np.array([len(x) for x in kinds])
     links = []
     for i in range(len(kinds)):
-        far = np.maximum(np.abs(counts[i + 1 :] - counts[i]).sum(1) / 2, size[i + 1 :] - size[i])
+        far = np.maximum(edits.letters_apart([kinds[i]] * len(kinds[i + 1 :]), kinds[i + 1 :]), size[i + 1 :] - size[i])
         links += [(i, int(j)) for j in np.flatnonzero(far <= 0.2 * size[i + 1 :] + 1e-9) + i + 1 if line_dedup.similar(kinds[i], kinds[j], 0.8)]
     roots = dict(zip(kinds, union(len(kinds), links)))
     got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line) for r in queries.op7_line_dedup(spark, DATA).collect()}
