@@ -1,4 +1,4 @@
-"""JSON documents as rows of paths, and their merge; mentions in pages of text; fields filled from mentions."""
+"""Mentions in pages of text; fields filled from mentions."""
 
 from __future__ import annotations
 
@@ -6,50 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def leaves(docs: DataFrame, depth: int, atomic: tuple[str, ...] = ()) -> DataFrame:
-    """(id, path, value) of JSON documents (id, document): one row for each leaf, with its JSON text as value.
-
-    Objects are opened down to ``depth`` levels; arrays, the fields named in ``atomic`` (at any level), and what lies deeper
-    are leaves. A document that is no object is one leaf of the path ''. A null document has no row. The number of levels
-    is fixed in the plan: each is one map of keys to JSON texts, exploded.
-    """
-    opened = lambda text: F.from_json(text, "map<string,variant>")
-    is_object = lambda text: text.rlike(r"^\s*\{")
-    rows = docs.where("document is not null").select("id", F.lit("").alias("path"), F.col("document").alias("value"), is_object(F.col("document")).alias("open"))
-    for _ in range(depth):
-        done = rows.where("not open")
-        inner = rows.where("open").select("id", "path", F.explode_outer(opened(F.col("value"))).alias("key", "item"))
-        path = F.when(F.col("key").isNull(), F.col("path")).when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key"))
-        text = F.when(F.col("key").isNull(), "{}").otherwise(F.coalesce(F.to_json("item"), F.lit("null")))
-        opens = F.coalesce(is_object(text) & F.col("key").isNotNull() & (F.lit(not atomic) | ~F.col("key").isin(*atomic or ("",))), F.lit(False))
-        rows = done.unionByName(inner.select("id", path.alias("path"), text.alias("value"), opens.alias("open")))
-    return rows.select("id", "path", "value")
-
-
-def merge_documents(current: DataFrame, before: DataFrame, after: DataFrame, depth: int, atomic: tuple[str, ...] = (), appended: tuple[str, ...] = ()) -> DataFrame:
-    """(id, path, value, outcome) of a three-way merge of JSON documents (id, document): the change before -> after on current.
-
-    Leaves merge by path: a change applies where current still equals before, is known where current has it, else is a
-    ``conflict`` that keeps current. Arrays under the fields named in ``appended`` only grow: items that after has and before
-    has not are appended to current's, each once, and nothing is removed. Paths absent from the result have no row.
-    """
-    from larkspur.operators.published import three_way_paths
-
-    sides = [leaves(x, depth, atomic) for x in (current, before, after)]
-    grows = F.element_at(F.split("path", r"\."), -1).isin(*appended or ("",)) & F.lit(bool(appended)) & F.startswith("value", F.lit("["))
-    plain = three_way_paths(*(s.where(~grows) for s in sides))
-    c, b, a = (s.where(grows).select("id", "path", F.transform(F.from_json("value", "array<variant>"), lambda x: F.to_json(x)).alias(n)) for s, n in zip(sides, "cba"))
-    joined = c.join(b, ["id", "path"], "full").join(a, ["id", "path"], "full")
-    none = F.expr("cast(array() as array<string>)")
-    old, had, new = (F.coalesce(n, none) for n in "cba")
-    extra = F.array_except(F.array_except(new, had), old)
-    merged = F.concat(old, extra)
-    outcome = F.when(F.size(F.array_except(new, had)) == 0, "unchanged").when(F.size(extra) == 0, "already").otherwise("applied")
-    text = F.concat(F.lit("["), F.array_join(merged, ","), F.lit("]"))
-    grown = joined.where("c is not null or a is not null").select("id", "path", text.alias("value"), outcome.alias("outcome"))
-    return plain.unionByName(grown)
-
-
 def pages(docs: DataFrame, text: str = "text", mark: str = "\f") -> DataFrame:
     """(id, page, text) of documents (id, text) whose pages end with ``mark``; pages count from 1, a blank last page is none."""
     parts = F.split(text, mark)

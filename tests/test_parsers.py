@@ -106,13 +106,6 @@ def test_reconciled(spark):
     assert got == {"a": ("2023", "x", "applied"), "b": ("2022", "y", "refused"), "c": ("2023", "z", "already"), "d": ("2023", "w", "untouched"), "e": (None, None, "unknown")}
 
 
-def test_documents_merge(spark):
-    make = lambda text: spark.createDataFrame([(1, text)], "id long, document string")
-    current, before, after = make('{"a": {"x": 1, "y": 2}, "docs": [1, 4], "s": {"k": 1}}'), make('{"a": {"x": 1, "y": 3}, "docs": [1, 2], "s": {"k": 1}}'), make('{"a": {"x": 5, "y": 4}, "docs": [1, 3], "s": {"k": 2}, "n": null}')
-    got = {r.path: (r.value, r.outcome) for r in documents.merge_documents(current, before, after, 3, atomic=("s",), appended=("docs",)).collect()}
-    assert got == {"a.x": ("5", "applied"), "a.y": ("2", "conflict"), "docs": ("[1,4,3]", "applied"), "s": ('{"k":2}', "applied"), "n": ("null", "applied")}
-
-
 def test_mentions_and_fill(spark):
     docs = spark.createDataFrame([(1, "The issue price is Rs 10.\fAgain issue price Rs 10 and cap price Rs 12\f "), (2, "no price"), (3, None)], "id long, text string")
     paged = documents.pages(docs)
