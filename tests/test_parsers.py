@@ -36,6 +36,8 @@ CASES = [
     (keys.search_token, "X Y", "x"),
     (notices.written_date, "Feb 30, 2024", None),
     (notices.written_date, "Monday 3, 2024", None),
+    (notices.written_date, "Mar 3, 2024", None),
+    (notices.written_date, "mARCH 3, 1899", None),
     (notices.written_date, "March 3 , 2024", DAY(2024, 3, 3)),
 ]
 
@@ -64,23 +66,52 @@ NOTICES = {
     "uneven": ("With reference to Notice No: 20240301-12, 20240301-13 and 20240301-14, Alpha Ltd (Exchange ticker - 543210) and Beta Ltd (Exchange ticker - 543211)" + LISTED, []),
     "prose": ("With reference to Notice No. 20240301-12, Alpha Ltd (Exchange ticker - 543210) and some other thing" + LISTED, []),
     "compact": ("With reference to Notice No. 20240301-12,13 and 15 below stocks" + LISTED + "INDEX ADD Exchange Ticker Stock Name EFFECTIVE DATE S&P BSE SME IPO 543210 Alpha Ltd March 6, 2024 543211 Beta Ltd 543212 Gamma Ltd For more information call", [("20240301-12", "Alpha Ltd", "543210"), ("20240301-13", "Beta Ltd", "543211"), ("20240301-15", "Gamma Ltd", "543212")]),
+    "names": ("With reference to Notice No. 20240301-12 , A.B. & Sons, Stores and Co (India) Ltd (Exchange ticker — 543210), and Notice No 20240301 - 9 Beta 123456 Ltd (exchange ticker-543211)" + LISTED, [("20240301-12", "A.B. & Sons, Stores and Co (India) Ltd", "543210"), ("20240301-9", "Beta 123456 Ltd", "543211")]),
+    "twice": ("With reference to Notice No: 20240301-12, 20240301-12, Alpha Ltd (Exchange ticker - 543210), Beta Ltd (Exchange ticker - 543211)" + LISTED, []),
+    "table date": ("With reference to Notice No. 20240301-12,13 below stocks" + LISTED + "INDEX ADD Exchange Ticker Stock Name EFFECTIVE DATE S&P BSE SME IPO 543210 Alpha Ltd March 7, 2024 543211 Beta Ltd", []),
+    "null": (None, None),
     "undated": ("With reference to Notice No. 20240301-12, Alpha Ltd (Exchange ticker - 543210) is listed on BSE effective March 40, 2024.", []),
 }
 
 
 def test_listing_facts(spark):
     rows = spark.createDataFrame([(k, text) for k, (text, _) in NOTICES.items()], "k string, t string")
-    got = {r.k: [(f.notice, f.issuer, f.code) for f in r.facts] for r in rows.select("k", notices.listing_facts(F.col("t")).alias("facts")).collect()}
+    got = {r.k: r.facts if r.facts is None else [(f.notice, f.issuer, f.code) for f in r.facts] for r in rows.select("k", notices.listing_facts(F.col("t")).alias("facts")).collect()}
     assert got == {k: want for k, (_, want) in NOTICES.items()}
 
 
-def test_candidate_reasons(spark):
-    good = "Notice No. 20240301-12 Notice Date 01 Mar 2024 Category Company related Segment SME the Equity Shares of Alpha Foods Ltd shall be listed effective from Monday, March 4, 2024 Scrip Code 543210"
-    cases = [(good, []), (good.replace("SME", "Equity"), ["sme_segment_not_confirmed"]), (good + " Scrip Code 999999", ["scrip_code_mismatch_or_missing"]), ("nothing", None)]
+GOOD = "Notice No. 20240301-12 Notice Date 01 Mar 2024 Category Company related Segment SME the Equity Shares of Alpha Foods Ltd shall be listed effective from Monday, March 4, 2024 Scrip Code 543210 Market Lot 1,200 Issue Price for the current Public issue Rs. 99.50 end"
+CHECKS = [
+    (GOOD, "verified", [], 1200.0, 99.5),
+    (GOOD.replace("effective", "e ective").replace("Alpha Foods Ltd", "Alpha Foods Ltd (Formerly Known as Beta)"), "verified", [], 1200.0, 99.5),
+    (GOOD.replace("SME", "Equity"), "rejected", ["sme_segment_not_confirmed"], None, None),
+    (GOOD + " Scrip Code 999999", "rejected", ["scrip_code_mismatch_or_missing"], None, None),
+    (GOOD + " Market Lot 1,000", "rejected", ["market_lot_conflict_or_invalid"], None, None),
+    (GOOD.replace("1,200", "1,200.5"), "rejected", ["market_lot_conflict_or_invalid"], None, None),
+    (GOOD.replace("99.50", "95 to 99"), "rejected", ["issue_price_conflict_or_invalid"], None, None),
+    (GOOD.replace("March 4, 2024", "Mar 4, 2024"), "rejected", ["listing_date_mismatch_or_missing"], None, None),
+    (GOOD.replace("shall be listed", "shall be sold"), "rejected", ["issuer_mismatch_or_missing", "equity_listing_statement_missing"], None, None),
+    ("nothing", "unavailable", ["notice_content_missing"], None, None),
+    (None, "unavailable", ["notice_content_missing"], None, None),
+]
+
+
+def test_checked_notice(spark):
     candidate = {"issuer": F.lit("Alpha Foods Limited"), "notice": F.lit("20240301-12"), "code": F.lit("543210"), "listing_date": F.lit(DAY(2024, 3, 4))}
-    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
-    got = {r.i: r.x for r in rows.select("i", notices.candidate_reasons(F.col("t"), keys.issuer_key, candidate, F.lit(DAY(2024, 5, 1))).alias("x")).collect()}
-    assert [got[i] for i in range(3)] == [x for _, x in cases[:3]] and len(got[3]) == 6
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CHECKS)], "i int, t string")
+    got = {r.i: r.x for r in rows.select("i", notices.checked_notice(F.col("t"), candidate, F.lit(DAY(2024, 5, 1))).alias("x")).collect()}
+    assert [(got[i].status, got[i].reasons, got[i].market_lot, got[i].issue_price) for i in range(len(CHECKS))] == [c[1:] for c in CHECKS]
+    late = rows.where("i = 0").select(notices.checked_notice(F.col("t"), candidate, F.lit(DAY(2024, 3, 1))).alias("x")).first().x
+    assert late.reasons == ["listing_date_in_future"]
+    pages = spark.createDataFrame([(["a", "Scrip  Code 5", "Scrip Code 5"],)], "p array<string>")
+    assert pages.select(notices.page_of(F.col("p"), F.lit("Scrip Code 5")), notices.page_of(F.col("p"), F.lit("x"))).first()[:] == (2, None)
+
+
+def test_contradictions_are_dropped(spark):
+    one = "With reference to Notice No. 20240301-12, {} (Exchange ticker - 543210)" + LISTED
+    bodies = [(1, one.format("Alpha Ltd") + one.format("Alpha Ltd")), (2, one.format("Alpha Ltd") + one.format("Beta Ltd")), (3, one.format("Alpha Ltd") + one.format("Alpha Ltd").replace("Monday, March 4", "March 5")), (4, None)]
+    got = {r.id: (r.issuer, r.stated) for r in notices.agreed_listings(spark.createDataFrame(bodies, "id int, body string")).collect()}
+    assert got == {1: ("Alpha Ltd", 2)}
 
 
 def test_reviewed_import(spark):
