@@ -144,3 +144,11 @@ def blob_sha1(content: Column) -> Column:
     """The hash that version control gives a file of this text."""
     body = content.cast("binary")
     return F.sha1(F.concat(F.concat(F.lit("blob "), F.octet_length(body).cast("string")).cast("binary"), F.unhex(F.lit("00")), body))
+
+
+def rfc3339(text: Column) -> Column:
+    """Whether a text is a timestamp with seconds and an offset, of a day that the calendar has and a time that a clock shows; null is none."""
+    form = r"^(\d{4}-\d{2}-\d{2})[Tt](\d{2}):(\d{2}):(\d{2})(?:\.\d+)?(?:[Zz]|[+-](\d{2}):(\d{2}))$"
+    part = lambda i: F.coalesce(F.regexp_extract(text, form, i).try_cast("int"), F.lit(0))
+    times = (part(2) < 24) & (part(3) < 60) & (part(4) < 60) & (part(5) < 24) & (part(6) < 60)
+    return text.rlike(form) & strict_date(F.left(text, F.lit(10))).isNotNull() & times

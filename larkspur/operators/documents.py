@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.arrays import occurrences
+
 
 def pages(docs: DataFrame, text: str = "text", mark: str = "\f") -> DataFrame:
     """(id, page, text) of documents (id, text) whose pages end with ``mark``; pages count from 1, a blank last page is none."""
@@ -18,31 +20,15 @@ def mentions(pages: DataFrame, patterns: dict[str, str], before: int = 90, after
 
     ``patterns`` maps a label to a regular expression without groups. ``start`` counts from 0. A page gives at most ``most``
     mentions of a label: the report's size, in the order of the text. With ``needs`` only contexts that match it count.
-    Places come from the lengths of what stands between the matches, so no text is searched twice.
+    Contexts are cut within the page's row, so no mention carries the page along.
     """
-    text = F.col("text")
 
     def of(label: str, pattern: str) -> Column:
-        found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-        between = F.split(text, pattern)
-        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("places"))
-        places = F.aggregate(
-            F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit")),
-            start,
-            lambda s, x: F.struct((s["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"), F.array_append(s["places"], s["at"] + F.length(x["gap"])).alias("places")),
-            lambda s: s["places"],
-        )
-        return F.transform(F.arrays_zip(places.alias("start"), found.alias("found")), lambda m: F.struct(F.lit(label).alias("label"), m["start"].alias("start"), m["found"].alias("found")))
+        seen = F.transform(occurrences(F.col("text"), pattern, before, after), lambda o: F.struct(F.lit(label).alias("label"), o["start"].alias("start"), o["found"].alias("found"), F.concat(o["lead"], o["found"], o["tail"]).alias("context")))
+        fit = F.filter(seen, lambda m: m["context"].rlike(needs)) if needs else seen
+        return F.transform(F.slice(fit, 1, most), lambda m, i: F.struct(m["label"].alias("label"), (i + 1).alias("nth"), m["start"].alias("start"), m["found"].alias("found"), m["context"].alias("context")))
 
-    rows = pages.select("id", "page", "text", F.explode(F.concat(*(of(k, p) for k, p in patterns.items()))).alias("m"))
-    first = F.greatest(F.lit(0), F.col("m.start") - before)
-    context = F.substr("text", first + 1, F.col("m.start") - first + F.length("m.found") + after)
-    found = rows.select("id", "page", "m.label", "m.start", "m.found", context.alias("context"))
-    if needs:
-        found = found.where(F.col("context").rlike(needs))
-    # a page's mentions are counted within its own few rows
-    kept = found.groupBy("id", "page", "label").agg(F.slice(F.sort_array(F.collect_list(F.struct("start", "found", "context"))), 1, most).alias("ms"))
-    return kept.select("id", "page", "label", F.posexplode("ms").alias("place", "m")).select("id", "page", "label", (F.col("place") + 1).alias("nth"), "m.start", "m.found", "m.context")
+    return pages.select("id", "page", F.explode(F.concat(*(of(k, p) for k, p in patterns.items()))).alias("m")).select("id", "page", "m.*")
 
 
 def fill_field(records: DataFrame, observed: DataFrame, field: str) -> tuple[DataFrame, DataFrame]:

@@ -18,18 +18,23 @@ def approved(batch: DataFrame, approvals: DataFrame, columns: list[str]) -> Data
     return batch.withColumn("hash", content_hash(batch, columns)).join(approvals.select("hash").distinct(), "hash", "left_semi").drop("hash")
 
 
+def _exploded(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(id, partition, key): a row's non-null keys, each with its kind in front."""
+    texts = F.array_compact(F.array(*(F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in keys)))
+    return rows.select("id", "partition", F.explode(texts).alias("key"))
+
+
 def identity_hits(registry: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """(batch_id, registry_id, partition): registry records that share any non-null key with a batch row.
+    """(batch_id, several, hits): the registry records (id, partition) that share any non-null key with a batch row; ``several`` if a key alone has more than one.
 
-    One equi-join per key and their union; no join with OR. Both sides have id and ``keys``; the registry also has partition.
+    A key's records are one row before they meet the batch, the first and the last of them, so a key that many records and
+    many batch rows share costs a row each, not a pair each.
     """
-    found = [
-        batch.where(F.col(k).isNotNull()).select(F.col("id").alias("batch_id"), F.col(k).alias("_key")).join(
-            registry.where(F.col(k).isNotNull()).select(F.col("id").alias("registry_id"), "partition", F.col(k).alias("_key")), "_key"
-        ).select("batch_id", "registry_id", "partition")
-        for k in keys
-    ]
-    return reduce(DataFrame.unionByName, found).distinct()
+    record = F.struct("id", "partition")
+    known = _exploded(registry, keys).groupBy("key").agg(F.min(record).alias("first"), F.max(record).alias("last"))
+    met = _exploded(batch, keys).withColumnRenamed("id", "batch_id").drop("partition").join(known, "key")
+    # a row has a few keys
+    return met.groupBy("batch_id").agg(F.bool_or(F.col("first") != F.col("last")).alias("several"), F.collect_set("first").alias("hits"))
 
 
 def reviewed_import(registry: DataFrame, batch: DataFrame, keys: list[str], facts: list[str]) -> DataFrame:
@@ -38,20 +43,22 @@ def reviewed_import(registry: DataFrame, batch: DataFrame, keys: list[str], fact
     A row without a hit on any key is ``added``. With one hit in the same partition it is ``present`` if all facts are equal,
     ``enriched`` if they are equal or the registry's are null, else ``conflict``. One hit in another partition is ``held``, as are
     several hits. Batch rows that share an id, or a key with another row of the batch, are ``repeated``: a later row would
-    see what an earlier one inserts, so none of them decides. Null keys match nothing.
+    see what an earlier one inserts, so none of them decides (``folds.batch_fold`` decides in order). Null keys match nothing.
     """
     hits = identity_hits(registry, batch, keys)
-    counted = hits.groupBy("batch_id").agg(F.count(F.lit(1)).alias("hits"), F.min("registry_id").alias("hit"), F.min("partition").alias("hit_partition"))
-    shared = [batch.where(F.col(k).isNotNull()).groupBy(F.col(k).cast("string").alias("_key")).agg(F.count(F.lit(1)).alias("n"), F.collect_set("id").alias("ids")).where("n > 1").select(F.explode("ids").alias("again")) for k in ["id", *keys]]
-    again = reduce(DataFrame.unionByName, shared).distinct()
+    asked = _exploded(batch, list(dict.fromkeys(["id", *keys])))
+    common = asked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = asked.join(common, "key", "left_semi").select(F.col("id").alias("again")).distinct()
+    one = F.get("hits", F.lit(0))
     old = registry.select(F.col("id").alias("hit"), F.struct(*facts).alias("old"))
+    counted = hits.select("batch_id", (F.col("several") | (F.size("hits") > 1)).alias("several"), one["id"].alias("hit"), one["partition"].alias("hit_partition"))
     joined = batch.join(again, F.col("id") == F.col("again"), "left").join(counted, F.col("id") == F.col("batch_id"), "left").join(old, "hit", "left")
     same = reduce(lambda a, b: a & b, (F.col(f).eqNullSafe(F.col(f"old.{f}")) for f in facts))
     fills = reduce(lambda a, b: a & b, (F.col(f"old.{f}").isNull() | F.col(f).eqNullSafe(F.col(f"old.{f}")) for f in facts))
     outcome = (
         F.when(F.col("again").isNotNull(), "repeated")
-        .when(F.col("hits").isNull(), "added")
-        .when((F.col("hits") > 1) | (F.col("hit_partition") != F.col("partition")), "held")
+        .when(F.col("batch_id").isNull(), "added")
+        .when(F.col("several") | (F.col("hit_partition") != F.col("partition")), "held")
         .when(same, "present")
         .when(fills, "enriched")
         .otherwise("conflict")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.functions import keys, values
+from larkspur.functions import keys, notices, values
 from larkspur.plans.common import Tables
 from larkspur.sources import reports
 
@@ -113,3 +113,68 @@ def growing_anti_join(spark, sf_dir):
 def conversation_roles(spark, sf_dir):
     rows = Tables(spark, sf_dir).conversations.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("user_turns"), F.count_if(F.col("role") == "assistant").alias("assistant_turns"), F.max("turn").alias("last_turn"))
     return rows
+
+
+_LISTED = " are listed on the SME platform of BSE effective Monday, March 4, 2024. Effective at the open of March 6, 2024, these stocks will be added to the below index. "
+_HEAD = "INDEX ADD Exchange Ticker Stock Name EFFECTIVE DATE S&P BSE SME IPO"
+#: Notices by form, with @1 and @2 for names and @c for the last digits of codes, and what each says beyond doubt: (notice, name, code).
+NOTICE_FORMS = [
+    ("Preamble. With reference to Notice No. 20240301-12, @1 ( Exchange ticker - 54@c ) is listed on BSE SME platform effective March 4, 2024.", [("20240301-12", "@1", "54@c")]),
+    ("With reference to Notice No. 20240301-12, @1 (Exchange ticker \u2013 54@c) and Notice No. 20240301 - 13, @2 (Exchange ticker \u2014 55@c)" + _LISTED, [("20240301-12", "@1", "54@c"), ("20240301-13", "@2", "55@c")]),
+    ("WITH REFERENCE TO NOTICE NO: 20240301-12 and 20240301-13, @1 (Exchange ticker - 54@c) & @2 (Exchange ticker - 55@c) respectively," + _LISTED, [("20240301-12", "@1", "54@c"), ("20240301-13", "@2", "55@c")]),
+    ("With reference to Notice No: 20240301-12, 20240301-13 and 20240301-14, @1 (Exchange ticker - 54@c) and @2 (Exchange ticker - 55@c)" + _LISTED, []),
+    ("With reference to Notice No. 20240301-12, @1 (Exchange ticker - 54@c) and some other thing" + _LISTED, []),
+    ("With reference to Notice No. 20240301-12,13 below stocks" + _LISTED + _HEAD + " 54@c @1 March 6, 2024 55@c @2 For more information call 123456", [("20240301-12", "@1", "54@c"), ("20240301-13", "@2", "55@c")]),
+    ("With reference to Notice No. 20240301-12,13 and 15 below stocks" + _LISTED + _HEAD + " 54@c @1 March 6, 2024 55@c @2", []),
+    ("With reference to Notice No. 20240301-12,13 below stocks" + _LISTED + _HEAD + " 54@c @1 March 7, 2024 55@c @2", []),
+    ("With reference to Notice No. 20240301-12, @1 (Exchange ticker - 54@c) is listed on BSE effective Mar 4, 2024.", []),
+    ("With reference to Notice No. 20240301-12, @1 (Exchange ticker - 54@c)" + _LISTED + "With reference to Notice No. 20240301-12, @2 (Exchange ticker - 54@c)" + _LISTED, []),
+    ("With reference to Notice No. 20240301-12, @1 (Exchange ticker - 54@c)" + _LISTED + "With reference to Notice No. 20240301-13, @2 (Exchange ticker - 55@c)" + _LISTED + "With reference to Notice No. 20240301-12, @1 (Exchange ticker - 54@c)" + _LISTED, [("20240301-12", "@1", "54@c"), ("20240301-13", "@2", "55@c")]),
+    ("No notice of that kind: @1 (Exchange ticker - 54@c)" + _LISTED, []),
+]
+_FORM_ROWS = ", ".join(f"({i}, '{n}', '{name}', '{code}')" for i, (_, facts) in enumerate(NOTICE_FORMS) for n, name, code in facts)
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS id, c_name AS one, c_mktsegment || ' & Sons, Stores (India) Ltd' AS two, lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS digits FROM customer)
+SELECT id, notice, replace(code, '@c', digits) AS code, CASE issuer WHEN '@1' THEN one ELSE two END AS issuer, DATE '2024-03-04' AS listing_date, CASE WHEN id % {len(NOTICE_FORMS)} = 10 AND issuer = '@1' THEN 2 ELSE 1 END AS stated
+FROM c JOIN (VALUES {_FORM_ROWS}) AS f(form, notice, issuer, code) ON id % {len(NOTICE_FORMS)} = form""")
+def notice_facts(spark, sf_dir):
+    """What notices of many forms say beyond doubt: own entries, lists in order, tables; contradictions and loose ends give nothing."""
+    k = F.col("c_custkey")
+    body = F.get(F.array(*(F.lit(form) for form, _ in NOTICE_FORMS)), (k % len(NOTICE_FORMS)).cast("int"))
+    for mark, value in (("@1", F.col("c_name")), ("@2", F.concat("c_mktsegment", F.lit(" & Sons, Stores (India) Ltd"))), ("@c", F.lpad((k % 10000).cast("string"), 4, "0"))):
+        body = F.replace(body, F.lit(mark), value)
+    return notices.agreed_listings(Tables(spark, sf_dir).customer.select(k.alias("id"), body.alias("body")))
+
+
+_STATED = "Notice No. 20240301-@n Notice Date 01 Mar 2024 Category Company related Segment SME the Equity Shares of @1 shall be listed effective from Monday, March 4, 2024 Scrip Code 54@c Market Lot 1,200 Issue Price for the current Public issue Rs. 99.50 end"
+#: An issuer's notice by form: what is replaced in it, by what, and the reasons that then stand against it.
+NOTICE_CHECKS = [
+    ("end", "end", []),
+    ("effective from", "e ective  from", []),
+    ("Segment SME", "Segment Equity", ["sme_segment_not_confirmed"]),
+    ("end", "Scrip Code 999999", ["scrip_code_mismatch_or_missing"]),
+    ("end", "Market Lot 1,000 end", ["market_lot_conflict_or_invalid"]),
+    ("99.50", "95 to 99", ["issue_price_conflict_or_invalid"]),
+    ("March 4, 2024", "March 5, 2024", ["listing_date_mismatch_or_missing"]),
+    ("March 4, 2024", "Mar 4, 2024", ["listing_date_mismatch_or_missing"]),
+    ("shall be listed", "shall be sold", ["issuer_mismatch_or_missing", "equity_listing_statement_missing"]),
+    ("20240301-@n", "20240301-0", ["notice_number_mismatch_or_missing"]),
+    ("@1 shall", "@1 (formerly known as Old Co) shall", []),
+]
+
+
+@query(f"""WITH f AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{'+'.join(reasons)}')" for i, (_, _, reasons) in enumerate(NOTICE_CHECKS))}) AS f(form, reasons)),
+c AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 12 = 11 THEN 'notice_content_missing' ELSE reasons END AS reasons, CASE WHEN s_suppkey % 12 = 11 THEN 'unavailable' WHEN reasons = '' THEN 'verified' ELSE 'rejected' END AS status FROM supplier LEFT JOIN f ON s_suppkey % 12 = form)
+SELECT id, status, reasons, CASE WHEN status = 'verified' THEN DATE '2024-03-04' END AS listing_date, CASE WHEN status = 'verified' THEN 1200::DOUBLE END AS market_lot, CASE WHEN status = 'verified' THEN 99.5::DOUBLE END AS issue_price FROM c""")
+def notice_checks(spark, sf_dir):
+    """Whether a notice confirms its candidate, with the reasons against it and the lot and price that it states."""
+    k = F.col("s_suppkey")
+    body = F.when(k % 12 == 11, "moved away")
+    for i, (old, new, _) in enumerate(NOTICE_CHECKS):
+        body = body.when(k % 12 == i, _STATED.replace(old, new))
+    for mark, value in (("@1", F.col("s_name")), ("@n", (k + 1).cast("string")), ("@c", F.lpad((k % 10000).cast("string"), 4, "0"))):
+        body = F.replace(body, F.lit(mark), value)
+    candidate = {"issuer": F.col("s_name"), "notice": F.concat(F.lit("20240301-"), (k + 1).cast("string")), "code": F.concat(F.lit("54"), F.lpad((k % 10000).cast("string"), 4, "0")), "listing_date": F.lit("2024-03-04").cast("date")}
+    checked = Tables(spark, sf_dir).supplier.select(k.alias("id"), notices.checked_notice(body, candidate, F.lit("2024-12-31").cast("date")).alias("c"))
+    return checked.select("id", "c.status", F.array_join("c.reasons", "+").alias("reasons"), "c.listing_date", "c.market_lot", "c.issue_price")

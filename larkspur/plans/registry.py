@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.plans import directory, evidence, grammar, nested, notices, records, text
+from larkspur.plans import directory, evidence, forms, grammar, nested, notices, records, text
 
-QUERIES = text.QUERIES | directory.QUERIES | evidence.QUERIES | records.QUERIES | grammar.QUERIES | notices.QUERIES | nested.QUERIES
-ORACLES = text.ORACLES | directory.ORACLES | evidence.ORACLES | records.ORACLES | grammar.ORACLES | notices.ORACLES | nested.ORACLES
+QUERIES = text.QUERIES | directory.QUERIES | evidence.QUERIES | records.QUERIES | grammar.QUERIES | notices.QUERIES | nested.QUERIES | forms.QUERIES
+ORACLES = text.ORACLES | directory.ORACLES | evidence.ORACLES | records.ORACLES | grammar.ORACLES | notices.ORACLES | nested.ORACLES | forms.ORACLES

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from larkspur.sources.scratch import materialize
+
 
 def write(records: DataFrame, path: str, year: str = "year") -> None:
     """One folder of JSON lines a year; only the years in ``records`` are replaced."""
@@ -24,3 +26,43 @@ def read_documents(spark: SparkSession, paths: str | list[str], schema: StructTy
     """Rows of whole-file JSON documents, each an object whose array ``rows`` is exploded; ``file`` is where it came from."""
     documents = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("recursiveFileLookup", True).json(paths)
     return documents.select(F.col("_metadata.file_path").alias("file"), F.posexplode(rows).alias("row_index", "record")).select("file", "row_index", "record.*")
+
+
+def digests(records: DataFrame, year: str = "year") -> DataFrame:
+    """(partition, rows, digest): a hash of each partition's rows that does not depend on their order; repeats count."""
+    row = F.xxhash64(F.to_json(F.struct(*sorted(c for c in records.columns if c != year)), {"ignoreNullFields": "false"}))
+    per = records.groupBy(F.col(year).cast("string").alias("partition"))
+    return per.agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", F.sum(row.cast("decimal(38,0)")).cast("string"), F.bit_xor(row).cast("string")).alias("digest"))
+
+
+def changes(records: DataFrame, path: str, year: str = "year") -> DataFrame:
+    """(partition, change, rows_before, rows_after): added, changed, removed or same, of what is in ``path`` against ``records``. Writes nothing."""
+    spark = records.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    before = digests(read(spark, path, records.schema) if there else records.limit(0), year).toDF("partition", "rows_before", "digest_before")
+    joined = before.join(digests(records, year), "partition", "full")
+    change = F.when(F.col("digest_before").isNull(), "added").when(F.col("digest").isNull(), "removed").when(F.struct("rows_before", "digest_before") == F.struct("rows", "digest"), "same").otherwise("changed")
+    return joined.select("partition", change.alias("change"), "rows_before", F.col("rows").alias("rows_after"))
+
+
+def write_changed(records: DataFrame, path: str, year: str = "year") -> DataFrame:
+    """Writes only the partitions of ``records`` that differ from what is in ``path``, deletes those that it lacks, and returns ``changes``.
+
+    Files of partitions that are the same keep their names. ``records`` must hold the whole table and not be read from ``path``; a null
+    partition is refused. A partition is replaced as a whole when its job commits, so a lost executor leaves the old one.
+    """
+    spark = records.sparkSession
+    found = materialize(changes(records, path, year), "manifest-changes")
+    # one row a partition
+    rows = found.where("change <> 'same'").collect()
+    if any(r["partition"] is None for r in rows):
+        raise ValueError(f"a record has no {year}")
+    fresh = [r["partition"] for r in rows if r["change"] in ("added", "changed")]
+    if fresh:
+        write(records.where(F.col(year).cast("string").isin(fresh)), path, year)
+    for r in rows:
+        if r["change"] == "removed":
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{year}={r['partition']}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return found
