@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -12,19 +13,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.base import arrow_rows, materialize
+from larkspur.llm.textvec import row_chunks
 
 LENGTH = 1024
 #: Lengths are counted in bins of so many tokens; a pattern's bins, rounded up, fit a sequence.
 BIN = 4
 #: Pieces of a bin that are ranked in one place, about, and parts of a bin at most.
 RANKED, MOST_SALTS = 1000, 4096
+#: Characters of white space in a run, from which on a text is left to ``tokenizers``; bytes of texts cut into pieces at once.
+LONGEST_SPACE, CHUNK = 50000, 4 << 20
+_SPACES = re.compile(rf"\s{{{LONGEST_SPACE}}}")
 
 
 class Encoder:
     """Ids of byte-level BPE from a ``tokenizers`` file.
 
     Plain texts go through tiktoken with the ranks of that same file, three times as fast with the same ids
-    (the tests compare them); a text that contains a special token's string goes through ``tokenizers``.
+    (the tests compare them). A text that contains a special token's string goes through ``tokenizers``, and so does
+    one with a run of white space of LONGEST_SPACE characters or more, which tiktoken's expressions are too deep for.
     """
 
     def __init__(self, path: str):
@@ -44,7 +50,7 @@ class Encoder:
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or (len(text) >= LONGEST_SPACE and _SPACES.search(text)):
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -64,7 +70,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
 
     def cut(batches):
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in (whole.slice(at, stop - at) for whole in batches for at, stop in row_chunks(whole["text"], CHUNK)):
             rows: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 ids = np.array([*encode(text or ""), end_id], "<u4")

@@ -72,6 +72,16 @@ def test_packing(tables, kind):
     assert kind == "empty" or [(r.length, r.doc_tokens) for r in empties] == [(1, 1), (1, 1)]
 
 
+@pytest.mark.parametrize("text", ["\n" * 2_000_000, "a" + " " * 2_000_000 + "b \t\n" * 9, "\u3000" * 1_200_000 + "x", "e" * 2_000_000, ". " * 600_000, "word" * 500_000])
+def test_packing_of_one_long_run(spark, text):
+    from tokenizers import Tokenizer
+
+    ids = [*Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids, 0]
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    rows = sorted((r for r in packing.pack(docs, tokenizer_path(), with_ids=True).where("doc_id = 1").collect()), key=lambda r: r.start)
+    assert [i for r in rows for i in r.ids] == ids and {r.doc_tokens for r in rows} == {len(ids)}
+
+
 @pytest.mark.parametrize("kind", KINDS)
 def test_line_dedup(tables, kind):
     docs = tables[kind]
