@@ -27,6 +27,8 @@ SHORT = 14
 NODES, PAIRS = 500, 1 << 20
 #: Lines of at least so many words whose SimHashes differ in more than so many of the 192 bits are not compared further.
 SCREENED_WORDS, FAR_BITS = 8, 76
+#: Lines that a task remembers to have signed, about.
+SEEN = 1 << 19
 #: Lines of more characters are compared pair by pair, in long integers; shorter ones many pairs at once.
 LONG_LINE = 4096
 
@@ -201,15 +203,26 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 
 def signed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line_no, k1, keys) of every line of ``split_lines``: the normalised line's hash and block keys."""
+    """(doc_id, text_hash, line_no, k1, keys) of every line of ``split_lines``: the normalised line's hash, and its block keys where a task meets it first.
+
+    Where a task meets a line again the keys are empty, so a line that is everywhere is one row a task to each of its keys.
+    """
     place = ["doc_id", "text_hash", "line_no", "k1"]
 
     def sign(batches):
+        seen: set[int] = set()
         for batch in batches:
             for start, stop in row_chunks(batch["norm"]):
                 part = batch.slice(start, stop - start)
-                keys, firsts = block_keys(part["norm"])
-                lists = pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), pa.array(keys))
+                kinds, at = np.unique(part["k1"].to_numpy(), return_index=True)
+                new = np.sort(at[[k not in seen for k in kinds.tolist()]])
+                if len(seen) > SEEN:
+                    seen.clear()  # lines met again are signed again
+                seen.update(kinds.tolist())
+                keys, firsts = block_keys(part["norm"].take(pa.array(new, pa.int64())))
+                sizes = np.zeros(len(part), np.int64)
+                sizes[new] = np.diff(firsts)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(keys))
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in place), lists], [*place, "keys"])
 
     rows = split_lines(docs).select("doc_id", "text_hash", "line_no", F.xxhash64("norm").alias("k1"), "norm")
