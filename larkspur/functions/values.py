@@ -129,15 +129,33 @@ def share_quantity(text: Column) -> Column:
 
 
 def without_parentheses(text: Column) -> Column:
-    """Text outside balanced parentheses, however deep; one pass over the characters with the depth as state."""
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+    """Text outside of parentheses, however deep. A closing one too many is left out; what follows one that is never closed is inside.
 
-    def step(state: Column, c: Column) -> Column:
-        depth = F.when(c == "(", state["depth"] + 1).when((c == ")") & (state["depth"] > 0), state["depth"] - 1).otherwise(state["depth"])
-        outside = (state["depth"] == 0) & (c != "(")
-        return F.struct(depth.alias("depth"), F.when(outside, F.concat(state["out"], c)).otherwise(state["out"]).alias("out"))
-
-    return F.aggregate(F.split(text, ""), start, step, lambda s: s["out"])
+    The innermost pairs are taken out together, as often as pairs are nested in the text.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("most"))
+    at = lambda s, c: F.greatest(F.lit(0), s["at"] + F.when(c == "(", 1).otherwise(-1))
+    brackets = F.filter(F.split(F.regexp_replace(text, "[^()]", ""), ""), lambda c: c != "")
+    depth = F.aggregate(brackets, start, lambda s, c: F.struct(at(s, c).alias("at"), F.greatest(s["most"], at(s, c)).alias("most")), lambda s: s["most"])
+    # without pairs, the closing ones left stand before the opening ones left
+    left = F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), text, lambda t, _: F.regexp_replace(t, r"\([^()]*+\)", ""))
+    return F.replace(F.substring_index(left, "(", 1), F.lit(")"), F.lit(""))
+
+
+def flexible_date(text: Column) -> Column:
+    """The day of an ISO date, of a timestamp that begins with one, or of d-m-yyyy with dashes or slashes, if the calendar has it."""
+    plain = F.trim(text)
+    part = lambda i: F.regexp_extract(plain, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", i)
+    iso = strict_date(F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}(?:T|$)"), F.left(plain, F.lit(10))))
+    return F.coalesce(iso, strict_date(F.concat_ws("-", part(3), F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0"))))
+
+
+def recent_date(text: Column) -> Column:
+    """The day from 2020 to 2099 of an ISO date or 'Month d, yyyy' with the month in full, if the calendar has it."""
+    plain = F.trim(text)
+    part = lambda i: F.regexp_extract(plain, rf"(?i)^({'|'.join(MONTHS)})\s+(\d{{1,2}})\s*,\s*(\d{{4}})$", i)
+    found = F.coalesce(strict_date(plain), strict_date(F.concat_ws("-", part(3), F.lpad(month_number(part(1)).cast("string"), 2, "0"), F.lpad(part(2), 2, "0"))))
+    return F.when(F.year(found).between(2020, 2099), found)
 
 
 def blob_sha1(content: Column) -> Column:

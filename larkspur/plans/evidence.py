@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.functions import keys
-from larkspur.operators import fields
+from larkspur.operators import containment, fields
 from larkspur.plans.common import Tables, named, named_sql
 from larkspur.sources.scratch import new_path, tidy
 from larkspur.streaming import upserts
@@ -102,17 +102,12 @@ t AS (SELECT item_id, len(ts) AS need, unnest(ts) AS tok FROM p) SELECT item_id,
 def token_containment(spark, sf_dir):
     """Documents with every token of a passage: only those with its rarest token are looked at, by an equi-join, and then for the others.
 
-    A common token multiplies nothing: a passage meets as many documents as have its rarest token.
+    A common token multiplies nothing: a passage meets as many documents as have its rarest token. Runs jobs when called.
     """
     t = Tables(spark, sf_dir)
-    toks = lambda c: F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z]+", " ")), " "))
-    passages, docs = t.benchmark.select("item_id", toks("text").alias("ts")), t.documents.select("doc_id", toks("text").alias("has"))
-    asked, words = passages.select("item_id", F.explode("ts").alias("tok")), docs.select("doc_id", F.explode("has").alias("tok"))
-    seen = words.join(asked.select("tok").distinct(), "tok", "left_semi").groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
-    # a token that no document has is the rarest, and finds none
-    rarest = asked.join(seen, "tok", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "tok")).alias("r")).select("item_id", "r.tok")
-    near = words.join(rarest, "tok").select("doc_id", "item_id").join(docs, "doc_id").join(passages, "item_id")
-    return near.where(F.size(F.array_except("ts", "has")) == 0).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
+    passages = t.benchmark.select("item_id", containment.tokens_of(F.col("text")).alias("ts"))
+    docs = t.documents.select("doc_id", containment.tokens_of(F.col("text")).alias("has"))
+    return containment.contained(passages, docs).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query("""WITH reg AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE round(o_totalprice) END AS total FROM orders WHERE o_orderkey % 3 <> 0), inc AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN round(o_totalprice) + 1 ELSE round(o_totalprice) END AS total FROM orders WHERE o_orderkey % 2 = 0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.operators import fields, published
+from larkspur.functions.arrays import occurrences
 from larkspur.plans.common import Tables
 from larkspur.sources import manifests
 from larkspur.sources.scratch import new_path, tidy
@@ -25,15 +26,10 @@ def query(sql: str):
 o AS (SELECT page_id, html, i, n, sum(length(part) + 3) OVER (PARTITION BY page_id ORDER BY i)::BIGINT - 3 AS before FROM u)
 SELECT page_id, i::INTEGER AS link, list_extract(regexp_extract_all(substr(html, greatest(1, before - 1399), least(before, 1400)), '<h[1-6][^>]*>([^<]*)</h', 1), -1) AS heading FROM o WHERE i < n""")
 def nearest_before(spark, sf_dir):
-    """The last heading within 1,400 characters before each link; places of links come from a running sum of the parts between them."""
-    parts = F.split("html", "<a ")
-    rows = Tables(spark, sf_dir).pages.select("page_id", "html", parts.alias("parts"))
-    places = F.aggregate("parts", F.array(F.lit(0)), lambda ends, p: F.array_append(ends, F.element_at(ends, -1) + F.length(p) + 3))
-    links = rows.select("page_id", "html", F.posexplode(F.slice(places, 2, F.size("parts") - 1)).alias("pos", "place"))
-    before = F.col("place") - 3
-    window = F.substring("html", F.greatest(F.lit(1), before - 1399), F.least(before, F.lit(1400)))
-    headings = F.regexp_extract_all(window, F.lit("<h[1-6][^>]*>([^<]*)</h"), F.lit(1))
-    return links.select("page_id", (F.col("pos") + 1).alias("link"), F.try_element_at(headings, F.lit(-1)).alias("heading"))
+    """The last heading within 1,400 characters before each link."""
+    heading = lambda o: F.try_element_at(F.regexp_extract_all(o["lead"], F.lit("<h[1-6][^>]*>([^<]*)</h"), F.lit(1)), F.lit(-1))
+    links = Tables(spark, sf_dir).pages.select("page_id", F.posexplode(F.transform(occurrences(F.col("html"), "<a ", before=1400), heading)).alias("pos", "heading"))
+    return links.select("page_id", (F.col("pos") + 1).alias("link"), "heading")
 
 
 @query("""SELECT doc_id, unnest(range(1, len(ls) + 1))::INTEGER AS line, trim(substr(unnest(ls), 11, 10)) AS cell FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)""")

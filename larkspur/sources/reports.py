@@ -22,6 +22,9 @@ def markdown_by(df: DataFrame, group: str, order: str, row: Column, most: int =
 
     A larger group is an error, not a cut: a report of that size is no summary.
     """
-    made = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct(F.col(order), row.alias("line")))).alias("rows"))
-    checked = F.when(F.col("n") <= most, F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).otherwise(F.raise_error(F.lit("a group is too large for a report")))
-    return made.select(group, checked.alias("report"))
+    # counted before anything is gathered, so that a large group fails instead of filling a task
+    counts = df.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
+    line = F.when(F.col("_n") <= most, row).otherwise(F.raise_error(F.lit("a group is too large for a report")).cast("string"))
+    lines = df.join(counts, F.col(group).eqNullSafe(F.col("_group"))).select(group, F.col(order).alias("_order"), line.alias("line"))
+    made = lines.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("_order", "line"))).alias("rows"))
+    return made.select(group, F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("report"))
