@@ -101,3 +101,12 @@ def offer_dates(pages: DataFrame, listed: DataFrame | None = None) -> DataFrame:
     kept = lambda c: F.when(F.col("reason").isNull(), c)
     judged = rows.withColumn("reason", reason)
     return judged.select("id", kept(first).alias("open_date"), kept(last).alias("close_date"), kept(F.col("open_page")).alias("open_page"), kept(F.col("close_page")).alias("close_page"), "reason")
+
+
+def still_extracts(source: Column, kind: str, day: Column, listed: Column | None = None) -> Column:
+    """Whether a stored extraction stands under the present rules: its source text is one mention of its kind and gives its day, not after the listing for a closing day."""
+    found = date_mentions(source, LABELS[kind])
+    stands = (F.size(found) == 1) & (F.get(found, F.lit(0))["day"] == day)
+    if kind == "close" and listed is not None:
+        stands = stands & (listed.isNull() | (day <= listed))
+    return F.coalesce(stands, F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larkspur.functions.keys import collapse
-from larkspur.functions.values import amount, amounts, strict_date, without_parentheses
+from larkspur.functions.values import amount, amounts, short_date_text, strict_date, without_parentheses
 from larkspur.operators.nested import let
 
 #: How prices are written, and the titles under which terms stand.
@@ -140,3 +140,41 @@ def listing_day(text: Column) -> Column:
     plain = unquoted(F.coalesce(text, F.lit("")))
     day = strict_date(plain)
     return F.struct(day.alias("value"), F.when(plain == "", "term_absent").when(day.isNull(), "unparseable_listing_date").alias("reason"))
+
+
+#: Titles of offer periods and bands, and of their revisions.
+PERIOD, REVISED_PERIOD, REVISED_BAND = "issue period", "revised/extended issue period", "revised price range"
+
+
+def revised_band(items: Column) -> Column:
+    """``price_band``, or that of a revised range if there is one; beside an ordinary one it is ``competing_price_bands``, twice ``duplicate``."""
+    revised = titled(items, (REVISED_BAND,))
+    band = agreed(revised, rupee_band)
+    reason = lambda text: F.struct(F.lit(None).cast("struct<min:double,max:double>").alias("value"), F.lit(text).alias("reason"), F.lit(None).cast("string").alias("source_value"), F.lit(None).cast("string").alias("source_title"))
+    return F.when(F.size(revised) == 0, price_band(items)).when(F.size(revised) > 1, reason("duplicate")).when(F.size(titled(items, BAND_TITLES)) > 0, reason("competing_price_bands")).otherwise(band)
+
+
+def stated_period(items: Column) -> Column:
+    """struct(open, close, reason) of an offer's period, stated once, as ordinary or as revised.
+
+    It is 'd-MMM-yyyy to d-MMM-yyyy'; an ordinary one may say in brackets to which day it is extended, which must be its last, and a
+    revised one says from and to which days (dd/mm/yyyy), which must be its own. Reasons: ``missing_or_competing``, ``unrecognized``, ``inconsistent``.
+    """
+    day = lambda t: strict_date(short_date_text(t))
+    slashed = lambda t: strict_date(F.concat_ws("-", F.split_part(t, F.lit("/"), F.lit(3)), F.split_part(t, F.lit("/"), F.lit(2)), F.split_part(t, F.lit("/"), F.lit(1))))
+
+    def of(i: Column) -> Column:
+        text = unquoted(i["value"])
+        head, note = F.substring_index(text, " (", 1), F.when(F.instr(text, F.lit(" (")) > 0, F.substr(text, F.instr(text, F.lit(" (")) + 2))
+        ends = F.split(head, r"(?i)\s+to\s+")
+        first, last = day(F.get(ends, F.lit(0))), day(F.get(ends, F.lit(1)))
+        revised = normal_title(i["title"]) == REVISED_PERIOD
+        extended = F.regexp_extract(note, r"(?i)^The Issue is further extended to (\S+)\)$", 1)
+        days = F.regexp_extract_all(F.regexp_extract(note, r"(?i)^The Issue is further extended from start date \S+ to end date \S+\)$", 0), F.lit(r"(\d{2}/\d{2}/\d{4})"), F.lit(1))
+        known = (F.size(ends) == 2) & first.isNotNull() & last.isNotNull() & F.when(revised, F.size(days) == 2).otherwise(note.isNull() | (extended != ""))
+        agrees = F.when(revised, (slashed(F.get(days, F.lit(0))) == first) & (slashed(F.get(days, F.lit(1))) == last)).otherwise(note.isNull() | (day(extended) == last))
+        reason = F.when(~F.coalesce(known, F.lit(False)), "unrecognized").when(~F.coalesce(agrees, F.lit(False)), "inconsistent")
+        return F.struct(F.when(reason.isNull(), first).alias("open"), F.when(reason.isNull(), last).alias("close"), reason.alias("reason"))
+
+    none = F.struct(F.lit(None).cast("date").alias("open"), F.lit(None).cast("date").alias("close"), F.lit("missing_or_competing").alias("reason"))
+    return let(titled(items, (PERIOD, REVISED_PERIOD)), lambda found: F.when(F.size(found) == 1, of(F.get(found, F.lit(0)))).otherwise(none))
