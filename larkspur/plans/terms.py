@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions import formats, pieces, terms, values
+from larkspur.functions import formats, links, pieces, terms, values
 from larkspur.functions.labels import explicit_date
 from larkspur.plans.common import Tables
 
@@ -214,3 +214,40 @@ def name_order(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("folded", "name", "id"))
     alike = rows.groupBy("folded").agg(F.count(F.lit(1)).alias("alike"))
     return rows.withColumn("place", place).join(alike, "folded").select("id", "place", "alike")
+
+
+_ADMITTED = {"id": r"\d{8}-\d+", "attachedId": "[a-f0-9-]{4}"}
+crossed(
+    "admitted_links",
+    {"admitted": lambda t: links.admitted(t, "x.example.com", "/get.aspx", _ADMITTED)},
+    [("https://x.example.com/get.aspx?id=20240301-@&attachedId=ab-1", "true"), ("https://x.example.com/get.aspx?attachedId=ab-1&id=20240301%2D@", "true"), ("https://x.example.com/get.aspx?id=20240301-@&attachedId=ab-1&x=1", "false"), ("https://x.example.com/get.aspx?id=20240301-@&id=20240301-@", "false"), ("https://x.example.com/get.aspx?id=20240301-@&attachedId=ab-1&id=20240301-1", "false"), ("http://x.example.com/get.aspx?id=20240301-@&attachedId=ab-1", "false"), ("https://u:p@x.example.com/get.aspx?id=20240301-1&attachedId=ab-1", "false"), ("https://x.example.com.evil.org/get.aspx?id=20240301-@&attachedId=ab-1", "false"), ("https://x.example.com/get.aspx", "false"), ("not a url @", "false"), ("https://x.example.com/get.aspx?id=20240301-@&attachedId=AB-1", "false")],
+    "Links admitted by host, path and exactly two parameters in any order.",
+)
+crossed(
+    "linked_documents",
+    {"document": links.inner_document, "code": links.last_code},
+    [
+        ("https://d.example.com/f/@.PDF", "'https://d.example.com/f/' || k || '.PDF'", "NULL"),
+        ("https://x.example.com/v?ref=a&file=https%3A%2F%2Fd.example.com%2F@.pdf", "'https://d.example.com/' || k || '.pdf'", "NULL"),
+        ("https://x.example.com/v?file=https%253A%252F%252Fd.example.com%252F@.pdf", "'https://d.example.com/' || k || '.pdf'", "NULL"),
+        ("https://x.example.com/v?u=https%3A%2F%2Fy.example.com%2Fw%3Ffile%3Dhttps%253A%252F%252Fd.example.com%252F@.pdf", "'https://d.example.com/' || k || '.pdf'", "NULL"),
+        ("https://x.example.com/v?file=http%3A%2F%2Fd.example.com%2F@.pdf", "NULL", "NULL"),
+        ("https://x.example.com/v?file=@.pdf", "NULL", "NULL"),
+        ("https://x.example.com/543210/a/123456/?q=654321", "NULL", "'123456'"),
+        ("https://x.example.com/5432101/12345/@x", "NULL", "NULL"),
+        ("", "NULL", "NULL"),
+    ],
+    "Documents behind viewers, however encoded, and the last code in a path.",
+)
+crossed(
+    "appended_links",
+    {"url": lambda t: links.appended(t, "t", F.lit("a b&c")), "escaped": links.escaped},
+    [("https://x/@", "'https://x/' || k || '?t=a+b%26c'", "'https://x/' || k"), ("https://x/?q=@", "'https://x/?q=' || k || '&t=a+b%26c'", "'https://x/?q=' || k"), ("https://x/?", "'https://x/?t=a+b%26c'", "'https://x/?'"), ("https://x/?a=1&b='2'#<top>", "'https://x/?a=1&b=''2''&t=a+b%26c#<top>'", "'https://x/?a=1&amp;b=&#039;2&#039;#&lt;top&gt;'"), ("\"&amp;\"@", "'\"&amp;\"' || k || '?t=a+b%26c'", "'&quot;&amp;amp;&quot;' || k")],
+    "Links with one more parameter, and texts escaped for HTML.",
+)
+crossed(
+    "filing_years",
+    {"year": links.filing_year},
+    [("A Ltd - DRHP (2024)", "2024"), ("A Ltd UDRHP-II ( 2023 ) ", "2023"), ("Updated Draft Red Herring Prospectus 1 (2022)", "2022"), ("draft  red herring prospectus (2021)", "2021"), ("A Ltd (2024)", "NULL::INT"), ("DRHP (2024) final", "NULL::INT"), ("DRHP (1999)", "NULL::INT"), ("DRHP of @ (2024)", "NULL::INT"), ("XDRHP (2024)", "NULL::INT")],
+    "Years behind the name of a filing.",
+)
