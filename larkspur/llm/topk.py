@@ -75,8 +75,8 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
 def blocks_of(vectors: DataFrame, count: int, width: int) -> DataFrame:
     """A written table of blocks of like vectors: (block, ids, values, least, most).
 
-    Cells are formed around a sample of at most PIVOTS vectors by coarse statistics, and cut by a hash of vec_id into
-    blocks of about CANDIDATES vectors, so equal vectors are spread. ``values`` are the vectors end to end, short ones
+    Cells are formed around a sample of at most PIVOTS vectors by coarse statistics, and cut by a hash of the row's number into
+    blocks of about CANDIDATES vectors, so equal vectors and repeated rows are spread. ``values`` are the vectors end to end, short ones
     padded with zeros, ``least`` and ``most`` the smallest and largest of each statistic of all resolutions.
     """
     spark = vectors.sparkSession
@@ -95,11 +95,11 @@ def blocks_of(vectors: DataFrame, count: int, width: int) -> DataFrame:
                 cell = ((pivots**2).sum(1) - 2 * np.einsum("ij,kj->ik", here, pivots)).argmin(1)
             yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], pa.array(cell)], ["vec_id", "v", "cell"])
 
-    placed = materialize(vectors.select("vec_id", "v").mapInArrow(place, "vec_id long, v array<long>, cell long"), "placed-vectors")
+    placed = materialize(vectors.select("vec_id", "v").mapInArrow(place, "vec_id long, v array<long>, cell long").withColumn("row", F.monotonically_increasing_id()), "placed-vectors")
     # one row a cell, at most PIVOTS
     cells = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CANDIDATES).alias("parts"))
     padded = F.when(F.size("v") < width, F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v")))).otherwise(F.col("v"))
-    dealt = placed.join(F.broadcast(cells), "cell").select((F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("vec_id", "v"), F.col("parts"))).alias("block"), F.struct("vec_id", padded.alias("v")).alias("x"))
+    dealt = placed.join(F.broadcast(cells), "cell").select((F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("row"), F.col("parts"))).alias("block"), F.struct("vec_id", padded.alias("v")).alias("x"))
     gathered = dealt.groupBy("block").agg(F.collect_list("x").alias("xs")).select("block", F.col("xs.vec_id").alias("ids"), F.flatten("xs.v").alias("values"))
 
     def summarise(batches):

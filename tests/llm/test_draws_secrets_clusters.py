@@ -12,7 +12,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from larkspur.llm import clustering, resampling, secret_scan
+from larkspur.llm import clustering, resampling, secret_scan, topk
+from pyspark.sql import functions as F
 from tests.llm.fixtures import variants
 
 KINDS = ("base", "empty", "clash")
@@ -174,3 +175,22 @@ def test_clusters_of_few_and_of_large_vectors(spark):
     huge = [(1, [1e300] * 64), (2, [-1e300] * 64), (3, [0.0] * 64)]
     assert clustering.cluster(frame(huge), k=1).count() == 3
     assert clustering.cluster(frame([])).count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 60])
+def test_top_k_over_many_blocks(spark, monkeypatch, block):
+    """Groups of equal vectors, ties, repeated rows and clashing columns, over more blocks than one: searched with floors, equal to brute force."""
+    monkeypatch.setattr(topk, "CANDIDATES", block)
+    monkeypatch.setattr(topk, "QUERIES", 16)
+    rnd = random.Random(8)
+    kinds = [[rnd.gauss(0, 0.5) for _ in range(32)] for _ in range(20)]
+    rows = [(i, kinds[i % 20] if i % 3 else [rnd.gauss(0, 0.3) for _ in range(32)]) for i in range(500)] + [(77, kinds[3])] * 150
+    frame = spark.createDataFrame([(i, v, "x", "x", "x", 1) for i, v in rows], "vec_id long, embedding array<double>, v string, cell string, block string, rank int")
+    found = {}
+    for r in topk.top_k(frame, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    ids = [i for i, _ in rows]
+    for q in range(0, 500, 20):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in ids if i != q)[:20]
+        assert sorted(found[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
