@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from larkspur.functions import labels, layout, notices, tables
 from larkspur.operators import documents, reviewed, schemas
 from larkspur.plans.common import Tables
-from larkspur.sources import adapters, manifests
-from larkspur.sources.scratch import new_path, tidy
+from larkspur.sources import adapters, manifests, reports
+from larkspur.sources.scratch import materialize, new_path, tidy
 from larkspur.streaming import attempts
 
 QUERIES, ORACLES = {}, {}
@@ -355,3 +355,34 @@ def fact_pages(spark, sf_dir):
     k = F.col("c_custkey")
     pages = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.when((i == k % 4) & (k % 4 != 3) | (i == 4) & (k % 4 != 3), text("Scrip  Code\n", k, " Market Lot")).otherwise(text("page ", i)))
     return Tables(spark, sf_dir).customer.select(k.alias("id"), notices.page_of(pages, text("Scrip Code ", k, " Market")).alias("page"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, c_custkey // 100 AS n FROM customer) SELECT n || '-batch' || (1 + n % 2) AS batch, (row_number() OVER (PARTITION BY n ORDER BY id) - 1)::INTEGER AS row_index, id, CASE WHEN n % 5 = 1 THEN 'missing' WHEN n % 3 = 1 THEN 'changed' ELSE 'bound' END AS binding FROM c""")
+@tidy
+def reviewed_folders(spark, sf_dir):
+    """Reviewed batches found by name among drafts, and bound by hash to the queues they were made for; a hundred customers are a batch, a folder each. Runs jobs when called."""
+    path = new_path(spark, "reviewed")
+    c = F.col("c_custkey")
+    n = F.floor(c / 100)
+    t = Tables(spark, sf_dir).customer
+    batches = t.groupBy(n.alias("n")).agg(F.array_sort(F.collect_list(F.struct(c.alias("id"), F.col("c_name").alias("name")))).alias("entries"))
+    n = F.col("n")
+    made_for = F.sha2(text("queue ", n, F.when(n % 3 == 1, " before").otherwise("")).cast("binary"), 256)
+    batches = batches.select(text(n, "-batch", 1 + n % 2).alias("batch"), text("queue-", n).alias("queue"), made_for.alias("queue_sha256"), "entries", F.lit("reviewed").alias("kind"))
+    drafts = batches.withColumns({"kind": F.lit("drafts"), "queue": F.lit("none")})
+    batches.unionByName(drafts).write.partitionBy("kind", "batch").json(path)
+    queues = t.select(F.floor(c / 100).alias("n")).distinct().where(n % 5 != 1).select(text("queue-", n).alias("file"), F.sha2(text("queue ", n).cast("binary"), 256).alias("sha256"))
+    found = manifests.named_documents(spark, path, "queue string, queue_sha256 string, entries array<struct<id: bigint, name: string>>", r"^kind=reviewed/batch=\d+-batch\d+/")
+    return manifests.bound_batches(found, queues).select(F.regexp_extract("file", "batch=([^/]+)/", 1).alias("batch"), "row_index", "id", "binding")
+
+
+@query("""SELECT p_brand AS brand, count(*) AS parts, sum(p_size)::BIGINT AS sizes, count(*) AS full_parts FROM part GROUP BY 1""")
+@tidy
+def audit_reports(spark, sf_dir):
+    """A report by brand written in full and compact form, and both read back. Runs jobs when called."""
+    path = new_path(spark, "audit")
+    report = Tables(spark, sf_dir).part.groupBy(F.col("p_brand").alias("brand")).agg(F.count(F.lit(1)).alias("parts"), F.sum("p_size").alias("sizes"), F.sort_array(F.collect_set("p_type")).alias("types"))
+    reports.write_both(materialize(report, "report"), path, [F.col("brand"), F.col("parts"), F.col("sizes")])
+    compact = spark.read.schema("brand string, parts bigint, sizes bigint").json(f"{path}/compact")
+    full = spark.read.schema("brand string, parts bigint, types array<string>").json(f"{path}/full")
+    return compact.join(full.select("brand", F.col("parts").alias("full_parts")), "brand")

@@ -66,3 +66,22 @@ def write_changed(records: DataFrame, path: str, year: str = "year") -> DataFram
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{year}={r['partition']}")
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     return found
+
+
+def named_documents(spark: SparkSession, path: str, schema: StructType | str, name: str, rows: str = "entries") -> DataFrame:
+    """``read_documents`` of the files below ``path`` whose path from there on matches ``name``; the files of other names are not read."""
+    documents = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("recursiveFileLookup", True).json(path)
+    below = F.substring_index(F.col("_metadata.file_path"), path.rstrip("/") + "/", -1)
+    inside = [c for c in documents.columns if c != rows]
+    return documents.select(below.alias("file"), "*").where(F.col("file").rlike(name)).select("file", *inside, F.posexplode_outer(rows).alias("row_index", "entry")).select("file", *inside, "row_index", "entry.*")
+
+
+def bound_batches(batches: DataFrame, queues: DataFrame) -> DataFrame:
+    """Reviewed batches (file, queue, queue_sha256, ...) with ``binding``: ``bound`` to the queue (file, sha256) that they name and whose content they were made for, else ``changed`` or ``missing``.
+
+    Of several queues of one name any with the hash will do. A null queue is missing.
+    """
+    named = queues.where("file is not null").groupBy(F.col("file").alias("_queue")).agg(F.collect_set("sha256").alias("_hashes"))
+    joined = batches.join(named, F.col("queue") == F.col("_queue"), "left")
+    binding = F.when(F.col("_queue").isNull(), "missing").when(F.coalesce(F.array_contains("_hashes", F.col("queue_sha256")), F.lit(False)), "bound").otherwise("changed")
+    return joined.withColumn("binding", binding).drop("_queue", "_hashes")

@@ -28,3 +28,9 @@ def markdown_by(df: DataFrame, group: str, order: str, row: Column, most: int =
     lines = df.join(counts, F.col(group).eqNullSafe(F.col("_group"))).select(group, F.col(order).alias("_order"), line.alias("line"))
     made = lines.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("_order", "line"))).alias("rows"))
     return made.select(group, F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("report"))
+
+
+def write_both(report: DataFrame, path: str, compact: list[Column]) -> None:
+    """Writes a report in full and compact form, ``full`` and ``compact`` below ``path``, once each; the report should be a written table, as it is read twice."""
+    write_new(report, f"{path}/full")
+    write_new(report.select(*compact), f"{path}/compact")
