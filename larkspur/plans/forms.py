@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import labels, layout, notices, tables
-from larkspur.operators import documents, reviewed, schemas
+from larkspur.operators import documents, retained, reviewed, schemas
 from larkspur.plans.common import Tables
 from larkspur.sources import adapters, manifests, reports
 from larkspur.sources.scratch import materialize, new_path, tidy
@@ -386,3 +386,27 @@ def audit_reports(spark, sf_dir):
     compact = spark.read.schema("brand string, parts bigint, sizes bigint").json(f"{path}/compact")
     full = spark.read.schema("brand string, parts bigint, types array<string>").json(f"{path}/full")
     return compact.join(full.select("brand", F.col("parts").alias("full_parts")), "brand")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderstatus AS s, o_orderkey % 8 AS f, o_orderkey % 3 = 0 AS clash FROM orders),
+r AS (SELECT *, CASE f WHEN 0 THEN 'filled' WHEN 1 THEN 'unchanged' WHEN 2 THEN 'corroborated' WHEN 3 THEN 'unchanged' WHEN 4 THEN 'amended' WHEN 5 THEN 'unchanged' WHEN 6 THEN 'filled' ELSE 'amended' END AS outcome FROM o)
+SELECT id, outcome, CASE WHEN f = 3 THEN 'other' WHEN f = 5 THEN 'old' ELSE s END AS value, CASE WHEN f = 5 THEN 'provisional' WHEN f IN (1, 2, 3) THEN 'verified' WHEN clash THEN 'conflict' ELSE 'verified' END AS status,
+CASE f WHEN 0 THEN clash::INT WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 0 WHEN 4 THEN 1 + clash::INT WHEN 5 THEN 0 WHEN 6 THEN clash::INT ELSE 1 + clash::INT END AS more_sources,
+CASE f WHEN 4 THEN 'amendment:old' || CASE WHEN clash THEN '+disagreement:' ELSE '' END WHEN 7 THEN 'amendment:older+amendment:old' || CASE WHEN clash THEN '+disagreement:' ELSE '' END WHEN 0 THEN CASE WHEN clash THEN 'disagreement:' ELSE '' END WHEN 6 THEN CASE WHEN clash THEN 'disagreement:' ELSE '' END ELSE '' END AS history FROM r""")
+def retained_terms(spark, sf_dir):
+    """Retained terms after a source's newer word: filled, corroborated, amended with history, in conflict, or left alone."""
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    word = lambda x: F.lit(x).cast("string")
+    live = lambda url, at, kind="feed": retained.source(word(url), word(kind), word("id"), word(at))
+    none = F.lit(None)
+    field = lambda value, status, origin, history=(): F.struct(value.cast("string").alias("value"), word(status).alias("status"), origin.alias("source"), F.array().cast(f"array<{retained.SOURCE}>").alias("additional"), F.array(*history).cast(f"array<{retained.CORRECTION}>").alias("corrections"))
+    older = retained.correction("amendment", word("2022"), word("older"), word("verified"), word("old"))
+    forms = [none, field(s, "verified", live("u2", "2024")), field(s, "verified", live("u1", "2023")), field(word("other"), "verified", live("u1", "2023", "paper")), field(word("old"), "verified", live("u1", "2023")), field(word("old"), "provisional", live("u1", "2023")), field(none, "missing", live("u1", "2023")), field(word("old"), "verified", live("u1", "2023"), [older])]
+    old = F.when(k % 8 == 1, forms[1])
+    for i in range(2, 8):
+        old = old.when(k % 8 == i, forms[i])
+    others = F.array(F.struct(F.when(k % 3 == 0, word("else")).otherwise(s).alias("value"), live("u3", "2024").alias("source")), F.struct(none.cast("string").alias("value"), live("u4", "2024").alias("source")))
+    seen = retained.observed(F.when(k % 8 != 5, s), live("u2", "2024"), others)
+    rows = Tables(spark, sf_dir).orders.select(k.alias("id"), retained.updated(old, seen).alias("u")).select("id", "u.outcome", "u.field.*")
+    history = F.array_join(F.transform("corrections", lambda c: F.concat(c["kind"], F.lit(":"), F.coalesce(c["previous_value"], F.lit("")))), "+")
+    return rows.select("id", "outcome", "value", "status", F.size("additional").alias("more_sources"), history.alias("history"))
