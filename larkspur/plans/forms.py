@@ -71,30 +71,30 @@ def schema_turns(spark, sf_dir):
 
 
 def order_pages(t: Tables) -> DataFrame:
-    """(id, html): a page for each customer with a table of orders in two layouts, and one with spans; tags in any case, some left open."""
-    k = F.col("o_orderkey")
+    """(id, html): a page for each twenty consecutive orders, in two layouts, and one with spans for each customer (below zero); tags in any case, some left open."""
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
     row = (
         F.when(k % 7 == 0, text("<tr><td>total<td>", k))
         .when(k % 2 == 0, text("<tr><td>", k + 600000, "</td><td><b>Order&nbsp;", k, "</b> &amp; Co</td><td>INE", F.lpad(k.cast("string"), 9, "0"), "</td><td>", F.col("o_orderstatus"), " <a class=x href=\"/d?id=", k, "&amp;t=1\">view</a><a href='/e'>e</a></td></tr>"))
         .otherwise(text("<!-- <tr><td>no</td></tr> --><TR class='r'><TD>Order ", k, " Ltd</TD><td align=right> ", k + 600000, " </td><Td>", F.col("o_orderpriority"), "</tD></TR>"))
     )
-    # a customer's orders are few
-    rows = t.orders.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
-    spans = text("<TABLE><tr><th>Name</th><th colspan=\"2\">Where</th></tr><tr><td rowspan=2>", F.col("c_name"), "</td><td>", F.col("c_mktsegment"), "</td><td>a</td></tr><tr><td>", F.col("c_nationkey"), "</td></tr></TABLE>")
-    html = text("<html><script>var t='<table><tr><td>';</script><p>Orders</p><table border=1><tbody>", F.coalesce("rows", F.lit("")), "</tbody></table>", spans, "</html>")
-    return t.customer.join(rows, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("id"), html.alias("html"))
+    # twenty keys are a page
+    rows = t.orders.groupBy(F.floor(k / 20).alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
+    listed = rows.select("id", text("<html><script>var t='<table><tr><td>';</script><p>Orders</p><table border=1><tbody>", F.col("rows"), "</tbody></table></html>").alias("html"))
+    spans = text("<p><TABLE><tr><th>Name</th><th colspan=\"2\">Where</th></tr><tr><td rowspan=2>", F.col("c_name"), "</td><td>", F.col("c_mktsegment"), "</td><td>a</td></tr><tr><td>", F.col("c_nationkey"), "</td></tr></TABLE>")
+    return listed.unionByName(t.customer.select((-1 - c).alias("id"), spans.alias("html")))
 
 
-_PAGE_ROWS = """o AS (SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS row_no, o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders),
-cells AS (SELECT id, 0 AS table_no, row_no, unnest([{'col': 0, 'text': CASE WHEN k % 7 = 0 THEN 'total' WHEN k % 2 = 0 THEN (k + 600000)::VARCHAR ELSE 'Order ' || k || ' Ltd' END, 'link': NULL},
+_PAGE_ROWS = """o AS (SELECT o_orderkey // 20 AS id, row_number() OVER (PARTITION BY o_orderkey // 20 ORDER BY o_orderkey) - 1 AS row_no, o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders),
+cells AS (SELECT id, row_no, unnest([{'col': 0, 'text': CASE WHEN k % 7 = 0 THEN 'total' WHEN k % 2 = 0 THEN (k + 600000)::VARCHAR ELSE 'Order ' || k || ' Ltd' END, 'link': NULL},
   {'col': 1, 'text': CASE WHEN k % 7 = 0 THEN k::VARCHAR WHEN k % 2 = 0 THEN 'Order ' || k || ' & Co' ELSE (k + 600000)::VARCHAR END, 'link': NULL},
   {'col': 2, 'text': CASE WHEN k % 7 = 0 THEN NULL WHEN k % 2 = 0 THEN 'INE' || lpad(k::VARCHAR, 9, '0') ELSE p END, 'link': NULL}, {'col': 3, 'text': CASE WHEN k % 7 <> 0 AND k % 2 = 0 THEN s || ' view e' END, 'link': '/d?id=' || k || '&t=1'}]) AS c FROM o
-  UNION ALL SELECT c_custkey, 1, r, unnest([{'col': 0, 'text': CASE r WHEN 0 THEN 'Name' ELSE c_name END, 'link': NULL}, {'col': 1, 'text': ['Where', c_mktsegment, c_nationkey::VARCHAR][r + 1], 'link': NULL}, {'col': 2, 'text': ['Where', 'a', NULL][r + 1], 'link': NULL}]) FROM customer, range(3) AS x(r))"""
+  UNION ALL SELECT -1 - c_custkey, r, unnest([{'col': 0, 'text': CASE r WHEN 0 THEN 'Name' ELSE c_name END, 'link': NULL}, {'col': 1, 'text': ['Where', c_mktsegment, c_nationkey::VARCHAR][r + 1], 'link': NULL}, {'col': 2, 'text': ['Where', 'a', NULL][r + 1], 'link': NULL}]) FROM customer, range(3) AS x(r))"""
 
 
-@query(f"WITH {_PAGE_ROWS} SELECT id, table_no::INTEGER AS table_no, row_no::INTEGER AS row_no, c.col::INTEGER AS col, c.text AS text, c.link AS link FROM cells WHERE c.text IS NOT NULL")
+@query(f"WITH {_PAGE_ROWS} SELECT id, 0 AS table_no, row_no::INTEGER AS row_no, c.col::INTEGER AS col, c.text AS text, c.link AS link FROM cells WHERE c.text IS NOT NULL")
 def page_tables(spark, sf_dir):
-    """Every cell of every table of the customers' pages in its row and column, with its first link."""
+    """Every cell of every table of the pages in its row and column, with its first link."""
     rows = tables.table_rows(order_pages(Tables(spark, sf_dir)))
     return rows.select("id", "table_no", "row_no", F.posexplode("cells").alias("col", "cell")).select("id", "table_no", "row_no", "col", "cell.text", F.get("cell.links", F.lit(0)).alias("link"))
 
@@ -102,14 +102,14 @@ def page_tables(spark, sf_dir):
 LAYOUTS = [("index_watch", {0: r"^\d{6}$", 2: "^INE[A-Z0-9]{9}$"}, {"code": 0, "company": 1, "isin": 2}), ("services", {0: ".", 1: r"^\d{6}$"}, {"company": 0, "code": 1, "sector": 2})]
 
 
-@query("""SELECT o_custkey AS id, (o_orderkey + 600000)::VARCHAR AS code, CASE WHEN o_orderkey % 2 = 0 THEN 'index_watch' ELSE 'services' END AS layout, 'Order ' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN ' & Co' ELSE ' Ltd' END AS company,
+@query("""SELECT o_orderkey // 20 AS id, (o_orderkey + 600000)::VARCHAR AS code, CASE WHEN o_orderkey % 2 = 0 THEN 'index_watch' ELSE 'services' END AS layout, 'Order ' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN ' & Co' ELSE ' Ltd' END AS company,
 CASE WHEN o_orderkey % 2 = 0 THEN 'INE' || lpad(o_orderkey::VARCHAR, 9, '0') END AS isin, CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS sector FROM orders WHERE o_orderkey % 7 <> 0""")
 def table_layouts(spark, sf_dir):
     """Rows of two layouts read into one form; rows that fit none are left out."""
     return tables.by_layout(tables.table_rows(order_pages(Tables(spark, sf_dir))), LAYOUTS, "code").drop("table_no", "row_no")
 
 
-@query("""SELECT c_custkey AS id, r::INTEGER AS row_no, unnest(['Name', 'Where', 'Where'][:CASE r WHEN 2 THEN 2 ELSE 3 END]) AS name, unnest([c_name, [c_mktsegment, c_nationkey::VARCHAR][r], 'a'][:CASE r WHEN 2 THEN 2 ELSE 3 END]) AS text FROM customer, range(1, 3) AS x(r)""")
+@query("""SELECT -1 - c_custkey AS id, r::INTEGER AS row_no, unnest(['Name', 'Where', 'Where'][:CASE r WHEN 2 THEN 2 ELSE 3 END]) AS name, unnest([c_name, [c_mktsegment, c_nationkey::VARCHAR][r], 'a'][:CASE r WHEN 2 THEN 2 ELSE 3 END]) AS text FROM customer, range(1, 3) AS x(r)""")
 def table_records(spark, sf_dir):
     """Cells under the names of their columns, in tables whose first row names them."""
     return tables.records(order_pages(Tables(spark, sf_dir))).select("id", "row_no", "name", "text")
