@@ -65,13 +65,15 @@ def nodes(docs: DataFrame, depth: int | None = None) -> DataFrame:
     for level in range(depth):
         rows = rows.withColumn(f"level{level + 1}", F.flatten(F.transform(f"level{level}", inner)))
     found = rows.select("id", F.explode(F.concat(*(f"level{level}" for level in range(depth + 1)))).alias("node")).select("id", "node.path", "node.v")
-    shape = F.schema_of_variant("v")
-    json = F.to_json("v")
-    first = F.left(json, F.lit(1))
-    kind = F.when(F.is_variant_null("v"), "null").when(first == "{", "object").when(first == "[", "array").when(shape == "BOOLEAN", "boolean").when(first == '"', "string").otherwise("number")
+    # what holds others is not written as JSON again at each of its levels
+    opened = found.withColumns({"members": F.map_keys(F.try_variant_get("v", "$", "map<string,variant>")), "items": F.try_variant_get("v", "$", "array<variant>")})
+    typed = opened.withColumn("json", F.when(F.col("members").isNull() & F.col("items").isNull(), F.to_json("v")))
+    json = F.col("json")
+    scalar = F.when(json == "null", "null").when(json.isin("true", "false"), "boolean").when(F.startswith(json, F.lit('"')), "string").otherwise("number")
+    kind = F.when(F.col("members").isNotNull(), "object").when(F.col("items").isNotNull(), "array").otherwise(scalar)
     text = F.when(kind == "string", F.try_variant_get("v", "$", "string")).when(kind.isin("number", "boolean"), json)
-    size = F.when(kind == "object", F.size(F.map_keys(F.try_variant_get("v", "$", "map<string,variant>")))).when(kind == "array", F.size(F.try_variant_get("v", "$", "array<variant>")))
-    return found.select("id", "path", F.try_element_at("path", F.lit(-1))["key"].alias("key"), kind.alias("kind"), text.alias("text"), size.alias("size"))
+    size = F.when(kind == "object", F.size("members")).when(kind == "array", F.size("items"))
+    return typed.select("id", "path", F.try_element_at("path", F.lit(-1))["key"].alias("key"), kind.alias("kind"), text.alias("text"), size.alias("size"))
 
 
 def path_text(path: Column, root: str = "$") -> Column:
