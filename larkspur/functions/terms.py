@@ -34,15 +34,14 @@ def titled(items: Column, titles: tuple[str, ...]) -> Column:
 
 
 def _positive(digits: Column) -> Column:
-    number = F.replace(digits, F.lit(","), F.lit("")).try_cast("double")
-    return F.when(number > 0, number)
+    return let(F.replace(digits, F.lit(","), F.lit("")).try_cast("double"), lambda number: F.when(number > 0, number))
 
 
 def scalar_price(text: Column) -> Column:
     """A text that is a price and nothing more: with a currency mark, '/-' and 'per (Equity) Share' or without. Ranges and placeholders are none."""
     bare = F.regexp_replace(unquoted(text), f"(?i)^{CURRENCY}\\s*", "")
     bare = F.regexp_replace(F.regexp_replace(bare, r"(?i)\s*per\s+(?:equity\s+)?share$", ""), r"\s*/-$", "")
-    return F.when(bare.rlike(f"^{PRICE}$"), _positive(bare))
+    return let(bare, lambda b: F.when(b.rlike(f"^{PRICE}$"), _positive(b)))
 
 
 def rupee_band(text: Column) -> Column:
@@ -57,10 +56,13 @@ def rupee_band(text: Column) -> Column:
     def of(t: Column) -> Column:
         # '/-' behind an amount says nothing
         halves = lambda separator: F.split(F.regexp_replace(t, r"(?<=\d)\s*/-", ""), separator, 2)
+        return let(F.struct(halves(r"(?i)\s*(?:\bto\b|[-–—])\s*").alias("plain"), halves(r"(?i)\s+to\s+").alias("worded")), judged)
+
+    def judged(h: Column) -> Column:
         low = lambda h: F.get(h, F.lit(0))
         high = lambda h: F.get(h, F.lit(1))
         rest = lambda side: F.regexp_replace(side, mark, "")
-        plain, worded = halves(r"(?i)\s*(?:\bto\b|[-–—])\s*"), halves(r"(?i)\s+to\s+")
+        plain, worded = h["plain"], h["worded"]
         once = (F.regexp_extract(low(plain), mark, 1) != "") & (F.trim(rest(low(plain))) == "") & rest(high(plain)).rlike(rf"(?i)^\s*per\s+{share}\b")
         twice = (F.regexp_extract(low(worded), mark, 1) != "") & rest(low(worded)).rlike(rf"(?i)^\s*per\s+{share}$") & (F.regexp_extract(high(worded), mark, 1) != "") & rest(high(worded)).rlike(rf"(?i)^\s*(?:per\s+)?{share}$")
         ends = lambda h: F.struct(_positive(F.regexp_extract(low(h), mark, 2)).alias("min"), _positive(F.regexp_extract(high(h), mark, 2)).alias("max"))
@@ -77,9 +79,12 @@ def equity_quantity(text: Column) -> Column:
 
 def minimum_quantity(text: Column) -> Column:
     """``equity_quantity``, also of 'Minimum N Equity Shares' if nothing but 'and in multiples thereof' follows."""
-    plain = unquoted(text)
-    qualified = plain.rlike(r"(?i)^minimum\s+\d[\d,]*\s+equity\s+shares(?:\s+and\s+in\s+multiples\s+thereof)?$")
-    return equity_quantity(F.when(qualified, F.regexp_replace(plain, r"(?i)^minimum\s+", "")).otherwise(plain))
+
+    def of(plain: Column) -> Column:
+        qualified = plain.rlike(r"(?i)^minimum\s+\d[\d,]*\s+equity\s+shares(?:\s+and\s+in\s+multiples\s+thereof)?$")
+        return equity_quantity(F.when(qualified, F.regexp_replace(plain, r"(?i)^minimum\s+", "")).otherwise(plain))
+
+    return let(unquoted(text), of)
 
 
 def whole_amount(text: Column) -> Column:
@@ -87,8 +92,8 @@ def whole_amount(text: Column) -> Column:
 
     def of(outer: Column) -> Column:
         fresh, sale = outer.rlike(r"(?i)\bfresh\s+(?:issue|offer)\b"), outer.rlike(r"(?i)\boffer\s+for\s+sale\b|\bofs\b")
-        every = amounts(text)
-        return F.when(fresh & sale, F.lit(None).cast("long")).when(fresh | sale, amount(outer)).when(F.size(every) == 1, F.get(every, F.lit(0)))
+        only = let(amounts(text), lambda every: F.when(F.size(every) == 1, F.get(every, F.lit(0))))
+        return F.when(fresh & sale, F.lit(None).cast("long")).when(fresh | sale, amount(outer)).otherwise(only)
 
     return let(without_parentheses(text), of)
 
@@ -100,14 +105,20 @@ def agreed(items: Column, parse: Callable[[Column], Column], none: str = "placeh
     first item that gives the value, of those that ``first`` holds for if there are any.
     """
 
-    def of(parsed: Column) -> Column:
+    def of(s: Column) -> Column:
+        parsed = s["parsed"]
         kinds = F.array_distinct(F.transform(parsed, lambda p: p["v"]))
         chosen = F.coalesce(F.get(F.filter(parsed, lambda p: first(p["i"])), F.lit(0)), F.get(parsed, F.lit(0))) if first else F.get(parsed, F.lit(0))
-        reason = F.when(F.size(F.coalesce(items, F.slice(F.array(chosen["i"]), 1, 0))) == 0, "term_absent").when(F.size(parsed) == 0, none).when(F.size(kinds) > 1, "official_term_conflict")
-        source = lambda name: F.when(reason.isNull(), unquoted(chosen["i"][name]))
-        return F.struct(F.when(reason.isNull(), chosen["v"]).alias("value"), reason.alias("reason"), source("value").alias("source_value"), source("title").alias("source_title"))
+        reason = F.when(F.coalesce(s["n"], F.lit(0)) == 0, "term_absent").when(F.size(parsed) == 0, none).when(F.size(kinds) > 1, "official_term_conflict")
+        return let(F.struct(chosen.alias("chosen"), reason.alias("reason")), shown)
 
-    return let(F.filter(F.transform(items, lambda i: F.struct(parse(i["value"]).alias("v"), i.alias("i"))), lambda p: p["v"].isNotNull()), of)
+    def shown(s: Column) -> Column:
+        source = lambda name: F.when(s["reason"].isNull(), unquoted(s["chosen"]["i"][name]))
+        return F.struct(F.when(s["reason"].isNull(), s["chosen"]["v"]).alias("value"), s["reason"].alias("reason"), source("value").alias("source_value"), source("title").alias("source_title"))
+
+    parsed = lambda its: F.filter(F.transform(its, lambda i: F.struct(parse(i["value"]).alias("v"), i.alias("i"))), lambda p: p["v"].isNotNull())
+    # items are named twice, so they are computed first
+    return let(let(items, lambda its: F.struct(F.when(its.isNotNull(), F.size(its)).alias("n"), parsed(its).alias("parsed"))), of)
 
 
 def price_band(items: Column) -> Column:
@@ -148,10 +159,14 @@ PERIOD, REVISED_PERIOD, REVISED_BAND = "issue period", "revised/extended issue p
 
 def revised_band(items: Column) -> Column:
     """``price_band``, or that of a revised range if there is one; beside an ordinary one it is ``competing_price_bands``, twice ``duplicate``."""
-    revised = titled(items, (REVISED_BAND,))
-    band = agreed(revised, rupee_band)
     reason = lambda text: F.struct(F.lit(None).cast("struct<min:double,max:double>").alias("value"), F.lit(text).alias("reason"), F.lit(None).cast("string").alias("source_value"), F.lit(None).cast("string").alias("source_title"))
-    return F.when(F.size(revised) == 0, price_band(items)).when(F.size(revised) > 1, reason("duplicate")).when(F.size(titled(items, BAND_TITLES)) > 0, reason("competing_price_bands")).otherwise(band)
+
+    def of(s: Column) -> Column:
+        n = F.size(s["revised"])
+        chosen = F.when(n == 0, s["plain"]).otherwise(s["revised"])
+        return F.when(n > 1, reason("duplicate")).when((n > 0) & (F.size(s["plain"]) > 0), reason("competing_price_bands")).otherwise(agreed(chosen, rupee_band))
+
+    return let(F.struct(titled(items, (REVISED_BAND,)).alias("revised"), titled(items, BAND_TITLES).alias("plain")), of)
 
 
 def stated_period(items: Column) -> Column:
@@ -160,21 +175,31 @@ def stated_period(items: Column) -> Column:
     It is 'd-MMM-yyyy to d-MMM-yyyy'; an ordinary one may say in brackets to which day it is extended, which must be its last, and a
     revised one says from and to which days (dd/mm/yyyy), which must be its own. Reasons: ``missing_or_competing``, ``unrecognized``, ``inconsistent``.
     """
-    day = lambda t: strict_date(short_date_text(t))
-    slashed = lambda t: strict_date(F.concat_ws("-", F.split_part(t, F.lit("/"), F.lit(3)), F.split_part(t, F.lit("/"), F.lit(2)), F.split_part(t, F.lit("/"), F.lit(1))))
+    day = lambda t: let(short_date_text(t), strict_date)
+    slashed = lambda t: let(F.concat_ws("-", F.split_part(t, F.lit("/"), F.lit(3)), F.split_part(t, F.lit("/"), F.lit(2)), F.split_part(t, F.lit("/"), F.lit(1))), strict_date)
 
+    # what a step names more than once is computed by the step before it
     def of(i: Column) -> Column:
-        text = unquoted(i["value"])
-        head, note = F.substring_index(text, " (", 1), F.when(F.instr(text, F.lit(" (")) > 0, F.substr(text, F.instr(text, F.lit(" (")) + 2))
-        ends = F.split(head, r"(?i)\s+to\s+")
-        first, last = day(F.get(ends, F.lit(0))), day(F.get(ends, F.lit(1)))
         revised = normal_title(i["title"]) == REVISED_PERIOD
-        extended = F.regexp_extract(note, r"(?i)^The Issue is further extended to (\S+)\)$", 1)
-        days = F.regexp_extract_all(F.regexp_extract(note, r"(?i)^The Issue is further extended from start date \S+ to end date \S+\)$", 0), F.lit(r"(\d{2}/\d{2}/\d{4})"), F.lit(1))
-        known = (F.size(ends) == 2) & first.isNotNull() & last.isNotNull() & F.when(revised, F.size(days) == 2).otherwise(note.isNull() | (extended != ""))
-        agrees = F.when(revised, (slashed(F.get(days, F.lit(0))) == first) & (slashed(F.get(days, F.lit(1))) == last)).otherwise(note.isNull() | (day(extended) == last))
+        return let(F.struct(unquoted(i["value"]).alias("text"), revised.alias("revised")), parts)
+
+    def parts(s: Column) -> Column:
+        text = s["text"]
+        note = F.when(F.instr(text, F.lit(" (")) > 0, F.substr(text, F.instr(text, F.lit(" (")) + 2))
+        return let(F.struct(F.split(F.substring_index(text, " (", 1), r"(?i)\s+to\s+").alias("ends"), note.alias("note"), s["revised"].alias("revised")), days)
+
+    def days(s: Column) -> Column:
+        extended = F.regexp_extract(s["note"], r"(?i)^The Issue is further extended to (\S+)\)$", 1)
+        said = F.regexp_extract_all(F.regexp_extract(s["note"], r"(?i)^The Issue is further extended from start date \S+ to end date \S+\)$", 0), F.lit(r"(\d{2}/\d{2}/\d{4})"), F.lit(1))
+        first, last = day(F.get(s["ends"], F.lit(0))), day(F.get(s["ends"], F.lit(1)))
+        return let(F.struct(F.size(s["ends"]).alias("n"), first.alias("first"), last.alias("last"), s["note"].alias("note"), s["revised"].alias("revised"), extended.alias("extended"), said.alias("said")), judged)
+
+    def judged(s: Column) -> Column:
+        first, last, revised, note, said = (s[n] for n in ("first", "last", "revised", "note", "said"))
+        known = (s["n"] == 2) & first.isNotNull() & last.isNotNull() & F.when(revised, F.size(said) == 2).otherwise(note.isNull() | (s["extended"] != ""))
+        agrees = F.when(revised, (slashed(F.get(said, F.lit(0))) == first) & (slashed(F.get(said, F.lit(1))) == last)).otherwise(note.isNull() | (day(s["extended"]) == last))
         reason = F.when(~F.coalesce(known, F.lit(False)), "unrecognized").when(~F.coalesce(agrees, F.lit(False)), "inconsistent")
-        return F.struct(F.when(reason.isNull(), first).alias("open"), F.when(reason.isNull(), last).alias("close"), reason.alias("reason"))
+        return let(reason, lambda r: F.struct(F.when(r.isNull(), first).alias("open"), F.when(r.isNull(), last).alias("close"), r.alias("reason")))
 
     none = F.struct(F.lit(None).cast("date").alias("open"), F.lit(None).cast("date").alias("close"), F.lit("missing_or_competing").alias("reason"))
     return let(titled(items, (PERIOD, REVISED_PERIOD)), lambda found: F.when(F.size(found) == 1, of(F.get(found, F.lit(0)))).otherwise(none))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import labels, terms
 from larkspur.operators import release
-from larkspur.plans.common import Tables
+from larkspur.plans.common import Tables, spread
 from larkspur.plans.forms import text
 
 QUERIES, ORACLES = {}, {}
@@ -117,7 +117,7 @@ def stated_periods(spark, sf_dir):
     items = F.when(k % len(forms) == 0, F.array(*forms[0]))
     for i, form in enumerate(forms[1:], 1):
         items = items.when(k % len(forms) == i, F.array(*form))
-    made = Tables(spark, sf_dir).customer.select(k.alias("id"), items.alias("i")).select("id", terms.stated_period(F.col("i")).alias("p"), terms.revised_band(F.col("i")).alias("b"))
+    made = spread(Tables(spark, sf_dir).customer.select("c_custkey")).select(k.alias("id"), items.alias("i")).select("id", terms.stated_period(F.col("i")).alias("p"), terms.revised_band(F.col("i")).alias("b"))
     return made.select("id", "p.open", "p.close", F.col("p.reason").alias("period_reason"), F.col("b.value.min").alias("band_min"), F.col("b.reason").alias("band_reason"))
 
 
