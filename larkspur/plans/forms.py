@@ -102,8 +102,10 @@ def page_tables(spark, sf_dir):
 LAYOUTS = [("index_watch", {0: r"^\d{6}$", 2: "^INE[A-Z0-9]{9}$"}, {"code": 0, "company": 1, "isin": 2}), ("services", {0: ".", 1: r"^\d{6}$"}, {"company": 0, "code": 1, "sector": 2})]
 
 
-@query("""SELECT o_orderkey // 20 AS id, (o_orderkey + 600000)::VARCHAR AS code, CASE WHEN o_orderkey % 2 = 0 THEN 'index_watch' ELSE 'services' END AS layout, 'Order ' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN ' & Co' ELSE ' Ltd' END AS company,
-CASE WHEN o_orderkey % 2 = 0 THEN 'INE' || lpad(o_orderkey::VARCHAR, 9, '0') END AS isin, CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS sector FROM orders WHERE o_orderkey % 7 <> 0""")
+@query(f"""WITH {_PAGE_ROWS}, w AS (SELECT id, row_no, max(c.text) FILTER (c.col = 0) AS a, max(c.text) FILTER (c.col = 1) AS b, max(c.text) FILTER (c.col = 2) AS d FROM cells GROUP BY ALL),
+l AS (SELECT id, row_no, a, b, d, CASE WHEN regexp_matches(a, '^[0-9]{{6}}$') AND regexp_matches(d, '^INE[A-Z0-9]{{9}}$') THEN 'index_watch' WHEN regexp_matches(a, '.') AND regexp_matches(b, '^[0-9]{{6}}$') THEN 'services' END AS layout FROM w)
+SELECT id, CASE layout WHEN 'index_watch' THEN a ELSE b END AS code, layout, nullif(CASE layout WHEN 'index_watch' THEN b ELSE a END, '') AS company, CASE layout WHEN 'index_watch' THEN d END AS isin, CASE layout WHEN 'services' THEN nullif(d, '') END AS sector FROM l WHERE layout IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY id, code ORDER BY row_no DESC) = 1""")
 def table_layouts(spark, sf_dir):
     """Rows of two layouts read into one form; rows that fit none are left out."""
     return tables.by_layout(tables.table_rows(order_pages(Tables(spark, sf_dir))), LAYOUTS, "code").drop("table_no", "row_no")

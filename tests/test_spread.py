@@ -1,6 +1,8 @@
 """Work that takes long for its size: on all cores, and each text looked at once instead of once for each mention of it."""
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.plans import registry
 from tests.conftest import DATA
@@ -17,3 +19,18 @@ def test_looked_at_once(spark, name):
     # below the dealing out nothing is computed that takes long
     assert not any("lambda" in line for line in lines[at:])
     assert sum(plan.count(f) for f in ("regexp", "RLIKE", "split(")) <= MOST[name]
+
+
+def test_layouts_at_any_key(spark, tmp_path):
+    """Orders whose key has six digits or whose code has more, as larger tables have them: the query and its SQL read the same rows."""
+    keys = [7, 8, 9, 100002, 100003, 100009, 399998, 399999, 400001, 400002, 999999, 1000006]
+    spark.read.parquet(f"{DATA}/orders.parquet").limit(1).crossJoin(spark.createDataFrame([(k,) for k in keys], "k long")).withColumn("o_orderkey", F.col("k")).drop("k").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.read.parquet(f"{DATA}/customer.parquet").limit(3).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    for name in ("orders", "customer"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    columns = ["id", "code", "layout", "company", "isin", "sector"]
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({registry.ORACLES['table_layouts']})").fetchall()
+    got = registry.QUERIES["table_layouts"](spark, str(tmp_path)).select(columns).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert ("services", "total") in {(r.layout, r.company) for r in got} and len(got) < len(keys)
