@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.functions import keys, notices, values
-from larkspur.plans.common import Tables
+from larkspur.plans.common import Tables, spread
 from larkspur.sources import reports
 
 QUERIES, ORACLES = {}, {}
@@ -144,7 +144,7 @@ def notice_facts(spark, sf_dir):
     body = F.get(F.array(*(F.lit(form) for form, _ in NOTICE_FORMS)), (k % len(NOTICE_FORMS)).cast("int"))
     for mark, value in (("@1", F.col("c_name")), ("@2", F.concat("c_mktsegment", F.lit(" & Sons, Stores (India) Ltd"))), ("@c", F.lpad((k % 10000).cast("string"), 4, "0"))):
         body = F.replace(body, F.lit(mark), value)
-    return notices.agreed_listings(Tables(spark, sf_dir).customer.select(k.alias("id"), body.alias("body")))
+    return notices.agreed_listings(spread(Tables(spark, sf_dir).customer.select("c_custkey", "c_name", "c_mktsegment")).select(k.alias("id"), body.alias("body")))
 
 
 _STATED = "Notice No. 20240301-@n Notice Date 01 Mar 2024 Category Company related Segment SME the Equity Shares of @1 shall be listed effective from Monday, March 4, 2024 Scrip Code 54@c Market Lot 1,200 Issue Price for the current Public issue Rs. 99.50 end"
@@ -176,5 +176,5 @@ def notice_checks(spark, sf_dir):
     for mark, value in (("@1", F.col("s_name")), ("@n", (k + 1).cast("string")), ("@c", F.lpad((k % 10000).cast("string"), 4, "0"))):
         body = F.replace(body, F.lit(mark), value)
     candidate = {"issuer": F.col("s_name"), "notice": F.concat(F.lit("20240301-"), (k + 1).cast("string")), "code": F.concat(F.lit("54"), F.lpad((k % 10000).cast("string"), 4, "0")), "listing_date": F.lit("2024-03-04").cast("date")}
-    checked = Tables(spark, sf_dir).supplier.select(k.alias("id"), notices.checked_notice(body, candidate, F.lit("2024-12-31").cast("date")).alias("c"))
+    checked = spread(Tables(spark, sf_dir).supplier.select("s_suppkey", "s_name")).select(k.alias("id"), notices.checked_notice(body, candidate, F.lit("2024-12-31").cast("date")).alias("c"))
     return checked.select("id", "c.status", F.array_join("c.reasons", "+").alias("reasons"), "c.listing_date", "c.market_lot", "c.issue_price")
