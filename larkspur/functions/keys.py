@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from larkspur.operators.nested import let
+
 #: White space of any kind, words that a search skips, HTML entities in the order in which they are decoded.
 BLANK = r"[\s\x{A0}\x{FEFF}]+"
 SEARCH_SKIPS = (
@@ -87,17 +89,21 @@ def strip_tags(html: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Named entities in any case, then decimal references of one UTF-16 unit; what names no character stays as it is."""
-    for entity, mark in ENTITIES.items():
-        text = F.regexp_replace(text, f"(?i){entity}", mark)
-    parts = F.split(text, "&#(?=[0-9]+;)")
-
     def decoded(part: Column) -> Column:
         code = F.regexp_extract(part, "^([0-9]+);", 1).try_cast("int")
         mark = F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
         known = code.between(1, 0xFFFF) & ~code.between(0xD800, 0xDFFF)
         return F.when(known, F.concat(mark, F.regexp_replace(part, "^[0-9]+;", ""))).otherwise(F.concat(F.lit("&#"), part))
 
-    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), decoded), ""))
+    def of(t: Column) -> Column:
+        named = t
+        for entity, mark in ENTITIES.items():
+            named = F.regexp_replace(named, f"(?i){entity}", mark)
+        joined = lambda parts: F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), decoded), ""))
+        # most texts have no entity
+        return F.when(F.contains(t, F.lit("&")), let(F.split(named, "&#(?=[0-9]+;)"), joined)).otherwise(t)
+
+    return let(text, of)
 
 
 def initials(name: Column) -> Column:

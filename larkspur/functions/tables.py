@@ -21,12 +21,17 @@ def cell_text(html: Column) -> Column:
 
 def _cell(html: Column) -> Column:
     """struct(text, links, header, columns, rows) of a cell from its opening tag on."""
-    tag = F.regexp_extract(html, r"(?i)^<t[dh]\b[^>]*>?", 0)
-    body = F.get(F.split(F.substr(html, F.length(tag) + 1), r"(?i)</t[dh]\s*>", 2), F.lit(0))
-    span = lambda name, most: F.least(F.greatest(F.coalesce(F.regexp_extract(tag, rf"""(?i)\b{name}\s*=\s*["']?\s*(\d+)""", 1).try_cast("int"), F.lit(1)), F.lit(1)), F.lit(most))
-    anchors = F.regexp_extract_all(body, F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*')"""), F.lit(1))
-    links = F.transform(anchors, lambda a: decode_entities(F.substr(a, F.lit(2), F.length(a) - 2)))
-    return F.struct(cell_text(body).alias("text"), links.alias("links"), tag.rlike("(?i)^<th").alias("header"), span("colspan", MOST_COLUMNS).alias("columns"), span("rowspan", MOST_ROWS).alias("rows"))
+    span = lambda tag, name, most: F.least(F.greatest(F.coalesce(F.regexp_extract(tag, rf"""(?i)\b{name}\s*=\s*["']?\s*(\d+)""", 1).try_cast("int"), F.lit(1)), F.lit(1)), F.lit(most))
+
+    def of(s: Column) -> Column:
+        tag, body = s["tag"], s["body"]
+        anchors = F.regexp_extract_all(body, F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*')"""), F.lit(1))
+        links = F.transform(anchors, lambda a: decode_entities(F.substr(a, F.lit(2), F.length(a) - 2)))
+        return F.struct(cell_text(body).alias("text"), links.alias("links"), tag.rlike("(?i)^<th").alias("header"), span(tag, "colspan", MOST_COLUMNS).alias("columns"), span(tag, "rowspan", MOST_ROWS).alias("rows"))
+
+    # tag and body are named more than once, so they are cut out first
+    body = lambda tag: F.get(F.split(F.substr(html, F.length(tag) + 1), r"(?i)</t[dh]\s*>", 2), F.lit(0))
+    return let(let(F.regexp_extract(html, r"(?i)^<t[dh]\b[^>]*>?", 0), lambda tag: F.struct(tag.alias("tag"), body(tag).alias("body"))), of)
 
 
 def _laid(rows: Column) -> Column:
@@ -69,9 +74,14 @@ def grids(html: Column) -> Column:
     return F.transform(pieces(plain, "table"), rows)
 
 
+def page_grids(pages: DataFrame) -> DataFrame:
+    """(id, table_no, table) of pages (id, html). A plain explode would compute the grids three times: the optimizer infers a filter from it."""
+    return pages.select("id", F.posexplode_outer(grids(F.col("html"))).alias("table_no", "table")).where("table is not null")
+
+
 def table_rows(pages: DataFrame) -> DataFrame:
     """(id, table_no, row_no, cells) of pages (id, html): every row of every table; numbers count from 0."""
-    tables = pages.select("id", F.posexplode(grids(F.col("html"))).alias("table_no", "table"))
+    tables = page_grids(pages)
     return tables.select("id", "table_no", F.posexplode("table").alias("row_no", "cells"))
 
 
@@ -81,7 +91,7 @@ def records(pages: DataFrame) -> DataFrame:
     The first row of a table names its columns if all its cells are header cells; tables without such a row have no records. Of the links of a
     cell the first counts. Cells beyond the last header have a null name.
     """
-    tables = pages.select("id", F.posexplode(grids(F.col("html"))).alias("table_no", "table")).withColumn("head", F.get("table", F.lit(0)))
+    tables = page_grids(pages).withColumn("head", F.get("table", F.lit(0)))
     named = tables.where((F.size("head") > 0) & F.forall("head", lambda c: c["header"]))
     rows = named.select("id", "table_no", "head", F.posexplode(F.slice("table", 2, 1 << 30)).alias("row_no", "cells"))
     cells = rows.select("id", "table_no", (F.col("row_no") + 1).alias("row_no"), "head", F.posexplode("cells").alias("col", "cell"))

@@ -16,14 +16,14 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """The rows dealt out evenly over all cores, before work that takes long for its size.
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt out over all cores, evenly or by keys, before work that takes long for its size.
 
     A table may be one file with one row group, which one task reads. Explode what is made of the rows by ``explode_outer``: for
     a plain one the optimizer infers a filter, which computes the same again, and before the rows are dealt out.
     """
     spark = rows.sparkSession
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
 
 
 def named(key: str, name: str) -> Column:

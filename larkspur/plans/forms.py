@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import labels, layout, notices, tables
 from larkspur.operators import documents, retained, reviewed, schemas
-from larkspur.plans.common import Tables
+from larkspur.plans.common import Tables, spread
 from larkspur.sources import adapters, manifests, reports
 from larkspur.sources.scratch import materialize, new_path, tidy
 from larkspur.streaming import attempts
@@ -79,10 +79,10 @@ def order_pages(t: Tables) -> DataFrame:
         .otherwise(text("<!-- <tr><td>no</td></tr> --><TR class='r'><TD>Order ", k, " Ltd</TD><td align=right> ", k + 600000, " </td><Td>", F.col("o_orderpriority"), "</tD></TR>"))
     )
     # twenty keys are a page
-    rows = t.orders.groupBy(F.floor(k / 20).alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
+    rows = spread(t.orders.select(k, "o_orderstatus", "o_orderpriority", F.floor(k / 20).alias("id")), "id").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
     listed = rows.select("id", text("<html><script>var t='<table><tr><td>';</script><p>Orders</p><table border=1><tbody>", F.col("rows"), "</tbody></table></html>").alias("html"))
     spans = text("<p><TABLE><tr><th>Name</th><th colspan=\"2\">Where</th></tr><tr><td rowspan=2>", F.col("c_name"), "</td><td>", F.col("c_mktsegment"), "</td><td>a</td></tr><tr><td>", F.col("c_nationkey"), "</td></tr></TABLE>")
-    return listed.unionByName(t.customer.select((-1 - c).alias("id"), spans.alias("html")))
+    return listed.unionByName(spread(t.customer.select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")).select((-1 - c).alias("id"), spans.alias("html")))
 
 
 _PAGE_ROWS = """o AS (SELECT o_orderkey // 20 AS id, row_number() OVER (PARTITION BY o_orderkey // 20 ORDER BY o_orderkey) - 1 AS row_no, o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders),
