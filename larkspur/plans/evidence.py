@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import keys
 from larkspur.operators import containment, fields
-from larkspur.plans.common import Tables, named, named_sql
+from larkspur.plans.common import Tables, named, named_sql, spread
 from larkspur.sources.scratch import new_path, tidy
 from larkspur.streaming import upserts
 
@@ -34,22 +34,25 @@ _PAIR = """WITH l AS (SELECT s_suppkey, s_suppkey % 90 AS code, s_nationkey * 10
 h AS (SELECT s_suppkey, c_custkey, CASE WHEN l.code = r.code AND l.bucket = r.bucket THEN 'bucket+code' WHEN l.code = r.code THEN 'code' ELSE 'bucket' END AS reasons FROM l JOIN r ON l.code = r.code OR l.bucket = r.bucket)"""
 
 
-def _pairs(t):
+_KEYS = [("l_code", "r_code", "code"), ("l_bucket", "r_bucket", "bucket")]
+
+
+def _pair_sides(t):
     bucket = lambda nation, balance: F.col(nation) * 100_000 + F.floor(F.col(balance) / 50)
     left = t.supplier.select("s_suppkey", (F.col("s_suppkey") % 90).alias("l_code"), bucket("s_nationkey", "s_acctbal").alias("l_bucket"))
     right = t.customer.select("c_custkey", (F.col("c_custkey") + 20).alias("r_code"), bucket("c_nationkey", "c_acctbal").alias("r_bucket"))
-    return left, fields.any_key_matches(left, right, "s_suppkey", "c_custkey", [("l_code", "r_code", "code"), ("l_bucket", "r_bucket", "bucket")])
+    return left, right
 
 
 @query(_PAIR + " SELECT * FROM h")
 def identity_or_join(spark, sf_dir):
-    return _pairs(Tables(spark, sf_dir))[1]
+    return fields.any_key_matches(*_pair_sides(Tables(spark, sf_dir)), "s_suppkey", "c_custkey", _KEYS)
 
 
 @query(_PAIR + " SELECT s_suppkey, count(c_custkey) AS matches, CASE count(c_custkey) WHEN 0 THEN 'new' WHEN 1 THEN 'matched' ELSE 'held' END AS class FROM supplier LEFT JOIN h USING (s_suppkey) GROUP BY 1")
 def match_class(spark, sf_dir):
-    left, hits = _pairs(Tables(spark, sf_dir))
-    return fields.match_class(left, hits, "s_suppkey")
+    """How many customers each supplier matches on any key, counted without the pairs."""
+    return fields.match_counts(*_pair_sides(Tables(spark, sf_dir)), "s_suppkey", "c_custkey", _KEYS)
 
 
 _N = named_sql("c_custkey", "c_name")
@@ -106,7 +109,7 @@ def token_containment(spark, sf_dir):
     """
     t = Tables(spark, sf_dir)
     passages = t.benchmark.select("item_id", containment.tokens_of(F.col("text")).alias("ts"))
-    docs = t.documents.select("doc_id", containment.tokens_of(F.col("text")).alias("has"))
+    docs = spread(t.documents.select("doc_id", "text")).select("doc_id", containment.tokens_of(F.col("text")).alias("has"))
     return containment.contained(passages, docs).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
 
 

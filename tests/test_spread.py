@@ -4,11 +4,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from larkspur.operators import fields
 from larkspur.plans import registry
 from tests.conftest import DATA
 
 #: Most regular expressions in the optimized plan of a query.
-MOST = {"stated_periods": 120, "notice_facts": 150, "notice_checks": 150, "page_tables": 60, "table_records": 60}
+MOST = {"stated_periods": 120, "notice_facts": 150, "notice_checks": 150, "page_tables": 60, "table_records": 60, "field_policies": 130, "mention_places": 200}
 
 
 @pytest.mark.parametrize("name", MOST)
@@ -34,3 +35,15 @@ def test_layouts_at_any_key(spark, tmp_path):
     got = registry.QUERIES["table_layouts"](spark, str(tmp_path)).select(columns).collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert ("services", "total") in {(r.layout, r.company) for r in got} and len(got) < len(keys)
+
+
+def test_matches_counted_without_pairs(spark):
+    """Counts by key are those of the pairs, with null keys, hubs and rows that agree on both keys; no join makes a row for each pair."""
+    left = spark.createDataFrame([(1, 1, 1), (2, 1, None), (3, None, 2), (4, None, None), (5, 9, 9), (6, 2, 2)], "l int, a int, b int")
+    right = spark.createDataFrame([(i, i % 4 if i % 5 else None, i % 3 if i % 7 else None) for i in range(1, 60)] + [(100, 9, 9), (100, 9, 9)], "r int, c int, d int")
+    keys = [("a", "c", "one"), ("b", "d", "two")]
+    counted = fields.match_counts(left, right, "l", "r", keys)
+    want = fields.match_class(left, fields.any_key_matches(left, right, "l", "r", keys), "l")
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, want.collect()))
+    plan = registry.QUERIES["match_class"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and plan.count("Join LeftOuter") == 3
