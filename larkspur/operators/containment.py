@@ -18,7 +18,8 @@ def _among(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, bool]:
     """(row of ``docs``, tok) for the tokens of each document that are in ``wanted`` (tok), and whether the row's array stays beside them."""
     some = [r["tok"] for r in wanted.limit(LITERAL_TOKENS + 1).collect()]
     if len(some) <= LITERAL_TOKENS:
-        return docs.withColumn("tok", F.explode(F.array_intersect("has", F.lit(some).cast("array<string>")))), True
+        # a plain explode would look for them three times: the optimizer infers a filter from it
+        return docs.withColumn("tok", F.explode_outer(F.array_intersect("has", F.lit(some).cast("array<string>")))).where("tok is not null"), True
     return docs.select("doc_id", F.explode("has").alias("tok")).join(wanted, "tok", "left_semi"), False
 
 
