@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import formats, links, pieces, terms, values
 from larkspur.functions.labels import explicit_date
-from larkspur.plans.common import Tables
+from larkspur.plans.common import Tables, spread
 
 QUERIES, ORACLES = {}, {}
 
@@ -175,7 +175,7 @@ def field_policies(spark, sf_dir):
     items = F.when(F.lit(False), none)
     for i, form in enumerate(forms):
         items = items.when(k % len(forms) == i, form)
-    rows = Tables(spark, sf_dir).customer.select(k.alias("id"), items.alias("items"))
+    rows = spread(Tables(spark, sf_dir).customer.select("c_custkey")).select(k.alias("id"), items.alias("items"))
     i = F.col("items")
     made = rows.select("id", terms.price_band(i).alias("b"), terms.issue_price(i, ("issue price",), "list").alias("p"), terms.minimum_bid(i).alias("m"), terms.issue_size(i, ("issue size",)).alias("s"), terms.only_item(i, "price band").alias("o"))
     # 'Price Range' stands beside the only band of the first form
