@@ -28,7 +28,9 @@ def mentions(pages: DataFrame, patterns: dict[str, str], before: int = 90, after
         fit = F.filter(seen, lambda m: m["context"].rlike(needs)) if needs else seen
         return F.transform(F.slice(fit, 1, most), lambda m, i: F.struct(m["label"].alias("label"), (i + 1).alias("nth"), m["start"].alias("start"), m["found"].alias("found"), m["context"].alias("context")))
 
-    return pages.select("id", "page", F.explode(F.concat(*(of(k, p) for k, p in patterns.items()))).alias("m")).select("id", "page", "m.*")
+    # a plain explode would look for them three times: the optimizer infers a filter from it
+    found = pages.select("id", "page", F.explode_outer(F.concat(*(of(k, p) for k, p in patterns.items()))).alias("m"))
+    return found.where("m is not null").select("id", "page", "m.*")
 
 
 def fill_field(records: DataFrame, observed: DataFrame, field: str) -> tuple[DataFrame, DataFrame]:

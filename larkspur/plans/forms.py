@@ -143,7 +143,7 @@ def offer_texts(t: Tables) -> DataFrame:
     first = _dated(F.get(F.array(*(F.lit(o) for o in OPENINGS)), (k % 8).cast("int")), day)
     last = _dated(F.lit(" Bid closing date, {m}"), F.date_add(day, (k % 5 - 1).cast("int")))
     again = F.when(k % 9 == 0, _dated(F.lit(" The offer closed on {d}."), F.date_add(day, F.when(k % 2 == 0, 30).otherwise((k % 5 - 1).cast("int"))))).otherwise("")
-    rows = t.documents.where("doc_id is not null").select(k.alias("id"), F.when(k % 4 == 0, F.date_add(day, 1)).alias("listing_date"), F.explode(F.array(F.struct(F.lit(1).alias("page"), F.concat(first, F.coalesce("text", F.lit(""))).alias("text")), F.struct(F.lit(2).alias("page"), F.concat(last, again).alias("text")))).alias("p"))
+    rows = spread(t.documents.select("doc_id", "text").where("doc_id is not null")).select(k.alias("id"), F.when(k % 4 == 0, F.date_add(day, 1)).alias("listing_date"), F.explode(F.array(F.struct(F.lit(1).alias("page"), F.concat(first, F.coalesce("text", F.lit(""))).alias("text")), F.struct(F.lit(2).alias("page"), F.concat(last, again).alias("text")))).alias("p"))
     return rows.select("id", "p.page", "p.text", "listing_date")
 
 
@@ -283,7 +283,7 @@ r AS (SELECT *, (row_number() OVER (PARTITION BY id, page, label ORDER BY start)
 SELECT id, page, label, nth, start, found, context FROM r WHERE nth <= 6""")
 def mention_places(spark, sf_dir):
     """The first six mentions of each pattern in the documents' pages, with places and what stands around them; contexts need a word."""
-    docs = Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("id"), F.lit(1).alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(Tables(spark, sf_dir).documents.select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.lit(1).alias("page"), F.coalesce("text", F.lit("")).alias("text"))
     return documents.mentions(docs, _MENTION, before=10, after=15, needs="[a-z]{4}")
 
 
