@@ -7,12 +7,17 @@ document's row, so nothing is shuffled but for joining the sides of a merge.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 STEP = "struct<at:int,key:string>"
+#: Values that make a batch of rows, or fewer if they lie deep.
+NODES = 50_000
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -49,31 +54,59 @@ def nodes(docs: DataFrame, depth: int | None = None) -> DataFrame:
     ``path`` is an array of steps (at, key): a member's name and place in its object, or an item's place with a null key; paths compare
     in the order of the document. ``kind`` is object, array, string, number, boolean or null; ``text`` a string's own text or a
     number's or boolean's JSON, null for others; ``size`` how many members or items an object or array has. A null document
-    has no row. ``depth`` limits the levels that are opened; by default the deepest document is measured first.
+    has no row. ``depth`` limits the levels that are opened; by default all are.
     """
-    depth = depth_of(docs, "document") if depth is None else depth
-    step = lambda at, key: F.struct(at.cast("int").alias("at"), key.alias("key"))
-
-    def inner(node: Column) -> Column:
-        members = F.map_entries(F.try_variant_get(node["v"], "$", "map<string,variant>"))
-        items = F.try_variant_get(node["v"], "$", "array<variant>")
-        named = F.transform(members, lambda e, i: F.struct(F.array_append(node["path"], step(i, e["key"])).alias("path"), e["value"].alias("v")))
-        placed = F.transform(items, lambda x, i: F.struct(F.array_append(node["path"], step(i, F.lit(None).cast("string"))).alias("path"), x.alias("v")))
-        return F.coalesce(named, placed, F.slice(F.array(node), 1, 0))
-
-    rows = docs.where("document is not null").select("id", F.array(F.struct(F.expr(f"cast(array() as array<{STEP}>)").alias("path"), variant_of(F.col("document")).alias("v"))).alias("level0"))
-    for level in range(depth):
-        rows = rows.withColumn(f"level{level + 1}", F.flatten(F.transform(f"level{level}", inner)))
-    found = rows.select("id", F.explode(F.concat(*(f"level{level}" for level in range(depth + 1)))).alias("node")).select("id", "node.path", "node.v")
-    # what holds others is not written as JSON again at each of its levels
-    opened = found.withColumns({"members": F.map_keys(F.try_variant_get("v", "$", "map<string,variant>")), "items": F.try_variant_get("v", "$", "array<variant>")})
-    typed = opened.withColumn("json", F.when(F.col("members").isNull() & F.col("items").isNull(), F.to_json("v")))
-    json = F.col("json")
-    scalar = F.when(json == "null", "null").when(json.isin("true", "false"), "boolean").when(F.startswith(json, F.lit('"')), "string").otherwise("number")
-    kind = F.when(F.col("members").isNotNull(), "object").when(F.col("items").isNotNull(), "array").otherwise(scalar)
-    text = F.when(kind == "string", F.try_variant_get("v", "$", "string")).when(kind.isin("number", "boolean"), json)
-    size = F.when(kind == "object", F.size("members")).when(kind == "array", F.size("items"))
-    return typed.select("id", "path", F.try_element_at("path", F.lit(-1))["key"].alias("key"), kind.alias("kind"), text.alias("text"), size.alias("size"))
+    spark, types = docs.sparkSession, docs.schema
+    # the JSON is the variant's own: keys in order of name, numbers as a variant writes them; null documents are skipped
+    # below, as a filter here would compute the documents twice
+    texts = docs.select("id", canonical(F.col("document")).alias("json"))
+    schema = StructType([types["id"], *spark.createDataFrame([], f"path array<{STEP}>, key string, kind string, text string, size int").schema])
+    most = NODES
+
+    class Number(str):
+        """A number as its JSON has it."""
+
+    def opened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = json.JSONDecoder(parse_int=Number, parse_float=Number).decode
+        kinds = {Number: "number", bool: "boolean", type(None): "null"}
+        for batch in batches:
+            rows, ats, keys, ends, own, kind, text, size = found = [], [], [], [0], [], [], [], []
+
+            def cut() -> pa.RecordBatch:
+                steps = pa.StructArray.from_arrays([pa.array(ats, pa.int32()), pa.array(keys, pa.string())], ["at", "key"])
+                path = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), steps)
+                columns = [batch["id"].take(pa.array(rows, pa.int32())), path, pa.array(own, pa.string()), pa.array(kind, pa.string()), pa.array(text, pa.string()), pa.array(size, pa.int32())]
+                for column in found:
+                    column.clear()
+                ends.append(0)
+                return pa.RecordBatch.from_arrays(columns, schema.names)
+
+            for row, document in enumerate(batch["json"]):
+                left = [((), (), None, load(document.as_py()))] if document.is_valid else []
+                while left:
+                    at, names, name, v = left.pop()
+                    rows.append(row)
+                    ats += at
+                    keys += names
+                    ends.append(len(ats))
+                    own.append(name)
+                    t = type(v)
+                    if t is dict or t is list:
+                        kind.append("object" if t is dict else "array")
+                        text.append(None)
+                        size.append(len(v))
+                        if depth is None or len(at) < depth:
+                            left += [((*at, i), (*names, k), k, x) for i, (k, x) in enumerate(v.items() if t is dict else ((None, x) for x in v))]
+                    else:
+                        kind.append("string" if t is str else kinds[t])
+                        text.append(("true" if v else "false") if t is bool else v)
+                        size.append(None)
+                    if len(rows) >= most or len(ats) >= 8 * most:
+                        yield cut()
+            if rows:
+                yield cut()
+
+    return texts.mapInArrow(opened, schema)
 
 
 def path_text(path: Column, root: str = "$") -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators import folds, nested, proposals
-from larkspur.plans.common import Tables
+from larkspur.plans.common import Tables, spread
 from larkspur.sources.scratch import tidy
 
 QUERIES, ORACLES = {}, {}
@@ -28,13 +28,13 @@ def order_documents(t: Tables) -> DataFrame:
     """(id, document): an order with its lines as one JSON document; clocks in two spellings, a name with a dot, nulls."""
     ship = F.when(F.col("l_linenumber") % 2 == 0, F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'+05:30'")).when(F.col("l_linenumber") % 5 == 0, "unknown").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     field = F.struct(ship.alias("collected_at"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("value"))
-    # an order has a few lines; its document takes long to open for its size, so partitions are not merged by size
-    parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
-    lines = t.lineitem.repartition(parts, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), field.alias("ship")))).alias("lines"))
+    # an order has a few lines; its document takes long to open for its size, so partitions are not merged by size, and the
+    # orders are dealt out with their lines: a broadcast would leave them to the few tasks that read them
+    lines = spread(t.lineitem, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), field.alias("ship")))).alias("lines"))
     k = F.col("o_orderkey")
     note = F.when(k % 3 == 0, F.lit(None)).when(k % 3 == 1, "").otherwise(F.concat(F.lit('see "'), "o_orderpriority", F.lit('"')))
     document = json(k.alias("id"), "lines", note.alias("note"), F.struct(F.col("o_orderstatus").alias("order.status"), (k % 2 == 0).alias("open")).alias("state"))
-    return t.orders.join(lines, k == F.col("l_orderkey"), "left").select(k.alias("id"), document.alias("document"))
+    return t.orders.join(lines.hint("merge"), k == F.col("l_orderkey"), "left").select(k.alias("id"), document.alias("document"))
 
 
 _ORDER_DOCUMENTS = """lines AS (SELECT l_orderkey, list({'n': l_linenumber, 'part': l_partkey, 'ship': {'collected_at': CASE WHEN l_linenumber % 2 = 0 THEN strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S+05:30')

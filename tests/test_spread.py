@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import fields
+from larkspur.operators import fields, nested
 from larkspur.plans import registry
 from tests.conftest import DATA
 
@@ -47,3 +47,28 @@ def test_matches_counted_without_pairs(spark):
     assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, want.collect()))
     plan = registry.QUERIES["match_class"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" not in plan and plan.count("Join LeftOuter") == 3
+
+
+@pytest.mark.parametrize("name", ["json_first_string", "json_strings", "json_paths", "nested_clock", "json_matching_keys"])
+def test_documents_opened_once(spark, name):
+    """A document is made once and parsed once, whatever its depth, by as many tasks as rows are dealt out to."""
+    plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f) for f in ("MapInArrow", "parseJson", "Map(ignoreNullFields", "Repartition", "strategy=merge")] == [1, 1, 1, 1, 1]
+    assert "variantGet" not in plan
+
+
+def test_nodes_of_awkward_documents(spark):
+    """Numbers are spelled as a variant spells them, repeated keys are no JSON, rows of any number stay with their document, depth limits what is opened."""
+    docs = {1: '[1.50, 1e5, -0, 12345678901234567890123]', 2: '{"a":1,"a":2}', 3: '["\\ud800", "\\u0000"]', 4: "[" * 900 + "true" + "]" * 900, 5: "", 6: '{"b": [ ], "a": {"c": null}}', 7: str(list(range(60_000)))}
+    frame = spark.createDataFrame([*docs.items(), (None, "[1]"), (9, None)], "id long, document string")
+    found = nested.nodes(frame)
+    got = {}
+    for r in found.where("id <> 7 and id <> 4").collect():
+        got.setdefault(r.id, []).append((r.kind, r.text, r["size"]))
+    assert sorted(got[1], key=str) == sorted([("array", None, 4), ("number", "1.5", None), ("number", "100000.0", None), ("number", "0", None), ("number", "12345678901234567890123", None)], key=str)
+    assert (got[2], got[5], 9 in got) == ([("string", docs[2], None)], [("string", "", None)], False)
+    assert sorted(t for k, t, _ in got[3] if k == "string") == ["\x00", "?"]
+    assert sorted(got[6], key=str) == sorted([("object", None, 2), ("array", None, 0), ("object", None, 1), ("null", None, None)], key=str)
+    assert found.where("id = 4").agg(F.count("*"), F.max(F.size("path"))).first()[:] == (901, 900)
+    assert found.where("id = 7 and kind = 'number' and text = path[0].at").count() == 60_000
+    assert sorted(r.key for r in nested.nodes(frame.where("id = 6"), 1).where("key is not null").collect()) == ["a", "b"] and found.where("id is null").count() == 2
