@@ -95,10 +95,17 @@ def errors(value: Column, schema: dict, path: Column, defs: dict, seen: tuple[st
         return F.concat(*found, inner) if found else inner
 
     def parts(v: Column) -> Column:
-        json_text = F.to_json(v)
+        members, items = F.try_variant_get(v, "$", "map<string,variant>"), F.try_variant_get(v, "$", "array<variant>")
+        return let(F.struct(members.alias("members"), items.alias("items")), lambda held: let(json_of(v, held), lambda json_text: of_json(v, held, json_text)))
+
+    def json_of(v: Column, held: Column) -> Column:
+        """A scalar's JSON; what holds others is not written as JSON at each of its levels."""
+        return F.when(held["members"].isNotNull(), "{").when(held["items"].isNotNull(), "[").otherwise(F.to_json(v))
+
+    def of_json(v: Column, held: Column, json_text: Column) -> Column:
         first = F.left(json_text, F.lit(1))
-        kind = F.when(F.is_variant_null(v), "null").when(first == "{", "object").when(first == "[", "array").when(first == '"', "string").when(json_text.isin("true", "false"), "boolean").otherwise("number")
-        return F.struct(v.alias("v"), kind.alias("kind"), F.try_variant_get(v, "$", "map<string,variant>").alias("members"), F.try_variant_get(v, "$", "array<variant>").alias("items"), F.when(first == '"', F.try_variant_get(v, "$", "string")).alias("text"))
+        kind = F.when(json_text == "null", "null").when(first == "{", "object").when(first == "[", "array").when(first == '"', "string").when(json_text.isin("true", "false"), "boolean").otherwise("number")
+        return F.struct(v.alias("v"), kind.alias("kind"), held["members"].alias("members"), held["items"].alias("items"), F.when(first == '"', F.try_variant_get(v, "$", "string")).alias("text"))
 
     return let(value, lambda v: F.when(v.isNull(), _none()).otherwise(let(parts(v), of)))
 

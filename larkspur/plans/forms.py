@@ -55,7 +55,7 @@ def schema_violations(spark, sf_dir):
     at = F.when(k % 11 == 0, '"at":"2024-02-30"').when(k % 13 == 0, F.lit(None)).when(k % 7 == 0, '"at":null').otherwise(text('"at":"', F.date_format("ts", "yyyy-MM-dd"), '"'))
     tags = F.when(k % 6 == 0, '"tags":[]').when(k % 6 == 1, '"tags":["ok","x"]').when(k % 6 == 2, '"tags":[3,"éé"]')
     members = F.concat_ws(",", text('"id":', F.when(k % 17 == 0, text('"', k, '"')).otherwise(k.cast("string"))), text('"type":"', F.col("event_type"), '"'), text('"props":', F.col("props")), at, tags, F.when(k % 19 == 0, '"extra":{}'))
-    return schemas.violations(Tables(spark, sf_dir).events.select(k.alias("id"), text("{", members, "}").alias("document")), EVENT)
+    return schemas.violations(spread(Tables(spark, sf_dir).events).select(k.alias("id"), text("{", members, "}").alias("document")), EVENT)
 
 
 TURN = {"type": "object", "required": ["role", "text"], "properties": {"role": {"enum": ["user", "assistant"]}, "turn": {"maximum": 3}, "text": {"anyOf": [{"type": "string", "minLength": 60, "pattern": "^[A-Z]"}, {"const": "ok"}]}}}
@@ -67,7 +67,7 @@ UNION ALL SELECT conv_id * 1000 + turn, '$.role', 'must be one of ["user","assis
 def schema_turns(spark, sf_dir):
     """The turns of conversations against a schema of alternatives; lengths count code points."""
     document = F.to_json(F.struct("role", "turn", "text"), {"ignoreNullFields": "false"})
-    return schemas.violations(Tables(spark, sf_dir).conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), document.alias("document")), TURN)
+    return schemas.violations(spread(Tables(spark, sf_dir).conversations).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), document.alias("document")), TURN)
 
 
 def order_pages(t: Tables) -> DataFrame:

@@ -72,3 +72,10 @@ def test_nodes_of_awkward_documents(spark):
     assert found.where("id = 4").agg(F.count("*"), F.max(F.size("path"))).first()[:] == (901, 900)
     assert found.where("id = 7 and kind = 'number' and text = path[0].at").count() == 60_000
     assert sorted(r.key for r in nested.nodes(frame.where("id = 6"), 1).where("key is not null").collect()) == ["a", "b"] and found.where("id is null").count() == 2
+
+
+@pytest.mark.parametrize("name", ["schema_violations", "schema_turns"])
+def test_values_written_once(spark, name):
+    """A value under a schema is written as JSON once, not once for each thing that is asked of it, and by more tasks than one."""
+    plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and plan.count("StructsToJsonEvaluator") <= 10
