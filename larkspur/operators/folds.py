@@ -30,20 +30,21 @@ def batch_fold(registry: DataFrame, batches: DataFrame, keys: list[str], identit
     """
     keys = ["id", *(k for k in keys if k != "id")]
     held = [c for c in dict.fromkeys(["partition", *keys, *identity, *facts])]
-    order = F.struct("batch", "seq", "id", "row")
-    entries = batches.select("batch", "seq", *held).withColumn("row", F.monotonically_increasing_id())
-    entries = materialize(entries.withColumns({"order": order, "keys": _keys(keys)}), "fold-entries")
+    # rows are numbered in their order, so that a number is all that is carried of it
+    entries = batches.select("batch", "seq", *held).orderBy("batch", "seq", "id").withColumn("row", F.monotonically_increasing_id())
+    entries = materialize(entries, "fold-entries")
     known = registry.select(*held, F.explode(_keys(keys)).alias("key"))
     # a key's records as one row: how many, and the one if it is alone
     known = materialize(known.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*held)).alias("record")), "fold-registry")
 
-    asked = entries.select("row", "order", F.explode("keys").alias("key"))
-    out = asked.join(known, "key", "left_semi").select("row").distinct()
-    open_rows = materialize(asked.join(out, "row", "left_anti"), "fold-open")
-    added = [entries.where(F.size("keys") == 0).select("row")]
+    asked = lambda rows: rows.select("row", F.explode(_keys(keys)).alias("key"))
+    met = asked(entries).join(known, "key").groupBy("row").agg(F.max("n").alias("most"), F.collect_set("record").alias("records"))
+    met = materialize(met, "fold-met")
+    open_rows = materialize(asked(entries.join(met, "row", "left_anti")), "fold-open")
+    added = [entries.where(F.size(_keys(keys)) == 0).select("row")]
     while not open_rows.isEmpty():
-        firsts = open_rows.groupBy("key").agg(F.min("order").alias("first"))
-        lead = open_rows.join(firsts, "key").groupBy("row").agg(F.bool_and(F.col("order") == F.col("first")).alias("leads")).where("leads").select("row")
+        firsts = open_rows.groupBy("key").agg(F.min("row").alias("first"))
+        lead = open_rows.join(firsts, "key").groupBy("row").agg(F.bool_and(F.col("row") == F.col("first")).alias("leads")).where("leads").select("row")
         lead = materialize(lead, "fold-added")
         added.append(lead)
         taken = open_rows.join(lead, "row", "left_semi").select("key").distinct()
@@ -52,12 +53,12 @@ def batch_fold(registry: DataFrame, batches: DataFrame, keys: list[str], identit
 
     new = materialize(entries.join(reduce(DataFrame.unionByName, added), "row"), "fold-new")
     # added rows share no key, so a key has one of them at most
-    grown = new.select(F.explode("keys").alias("key"), F.col("order").alias("since"), F.struct(*held).alias("grown"))
-    rest = entries.join(new.select("row"), "row", "left_anti").withColumn("key", F.explode("keys"))
-    met = rest.join(known, "key", "left").join(grown, "key", "left").withColumn("grown", F.when(F.col("since") < F.col("order"), F.col("grown")))
+    grown = new.select(F.explode(_keys(keys)).alias("key"), F.col("row").alias("since"), F.struct(*held).alias("grown"))
+    rest = entries.join(new.select("row"), "row", "left_anti")
+    later = asked(rest).join(grown, "key").where("since < row").groupBy("row").agg(F.collect_set("grown").alias("grown"))
     # one or two records for each of a row's few keys
-    hits = met.groupBy("row").agg(F.max(F.coalesce("n", F.lit(0))).alias("most"), F.collect_set("record").alias("records"), F.collect_set("grown").alias("grown"))
-    found = entries.join(hits, "row").withColumn("records", F.array_distinct(F.concat("records", "grown")))
+    hits = [F.coalesce(c, F.slice(F.array(F.struct(*held)), 1, 0)) for c in ("records", "grown")]
+    found = rest.join(met, "row", "left").join(later, "row", "left").withColumns({"most": F.coalesce("most", F.lit(0)), "records": F.array_distinct(F.concat(*hits))})
     one = (F.col("most") <= 1) & (F.size("records") == 1)
     record = F.get("records", F.lit(0))
     agrees = record["partition"].eqNullSafe(F.col("partition"))

@@ -4,8 +4,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import fields, nested
+from larkspur.operators import fields, folds, nested
 from larkspur.plans import registry
+from larkspur.sources.scratch import materialize
 from tests.conftest import DATA
 
 #: Most regular expressions in the optimized plan of a query.
@@ -79,3 +80,15 @@ def test_values_written_once(spark, name):
     """A value under a schema is written as JSON once, not once for each thing that is asked of it, and by more tasks than one."""
     plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" in plan and plan.count("StructsToJsonEvaluator") <= 10
+
+
+def test_fold_carries_numbers(spark, monkeypatch):
+    """What a fold writes for each key of a row is the row's number and the key, not the row's order with its batch and id."""
+    written = {}
+    keep = lambda rows, name: (written.setdefault(name, rows.columns), materialize(rows, name))[1]
+    monkeypatch.setattr(folds, "materialize", keep)
+    registry = spark.createDataFrame([("a", 1, 1, 0)], "id string, partition int, code int, lot int")
+    batches = spark.createDataFrame([(1, 5, "b", 1, 2, 0), (1, 4, None, 1, 2, 0), (0, 9, "c", 1, 1, 0), (0, 9, None, 1, None, 3)], "batch int, seq int, id string, partition int, code int, lot int")
+    got = sorted((r.batch, r.seq, r.id or "", r.outcome, r.hit) for r in folds.batch_fold(registry, batches, ["code"], [], ["lot"]).collect())
+    assert got == [(0, 9, "", "added", None), (0, 9, "c", "present", "a"), (1, 4, "", "added", None), (1, 5, "b", "present", None)]
+    assert written["fold-open"] == ["row", "key"] and not any({"order", "keys"} & set(columns) for columns in written.values())
