@@ -25,6 +25,8 @@ CHAR_LINE, CHAR_BLOCKS, PAIR_BLOCKS, REGISTERS, GRAM = 96, 16, 12, 3, 5
 SHORT = 14
 #: Nodes of a block of a key, of which each pair is compared in one place; pairs that are compared at once there.
 NODES, PAIRS = 500, 1 << 20
+#: Pairs of which keys or texts are looked up at once.
+TOGETHER = 1 << 14
 #: Lines of at least so many words whose SimHashes differ in more than so many of the 192 bits are not compared further.
 SCREENED_WORDS, FAR_BITS = 8, 76
 #: Lines that a task remembers to have signed, about.
@@ -257,24 +259,63 @@ def screened(pairs: DataFrame, prints: DataFrame, threshold: float) -> DataFrame
     return pairs.join(a, "a").join(b, "b").where(near & ((F.least("pa.words", "pb.words") < SCREENED_WORDS) | (bits <= FAR_BITS))).select("a", "b")
 
 
-def close_pairs(rest: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
+def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``labels`` with the labels a[k] and b[k] made one, for all k in order, and the k at which they were still two."""
+    root, used = np.arange(int(labels.max()) + 1), []
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return int(i)
+
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())):
+        i, j = top(i), top(j)
+        if i != j:
+            root[max(i, j)] = min(i, j)
+            used.append(k)
+    while (root != root[root]).any():
+        root = root[root]
+    return root[labels], np.array(used, np.int64)
+
+
+def keys_by_kind(keys: pa.Array) -> np.ndarray:
+    """The keys of each row (lists) by kind of block, one column a kind; a kind that a row lacks has a number that no other row has."""
+    kinds = 6 + CHAR_BLOCKS + PAIR_BLOCKS
+    row, value = np.repeat(np.arange(len(keys)), pc.list_value_length(keys).to_numpy()), keys.flatten().to_numpy()
+    out = np.repeat(-1 - np.arange(len(keys))[:, None], kinds, axis=1)
+    single = value >> 32 < kinds  # a line has many of what is left without characters
+    out[row[single], value[single] >> 32] = value[single]
+    return out
+
+
+def close_pairs(rest: DataFrame, prints: DataFrame, threshold: float, texts: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of nodes of different components that share a key, of which lengths and SimHashes allow the threshold.
 
     The nodes of a key are cut into blocks by hash, and each pair of blocks is compared in one place. Of lines of
     SCREENED_WORDS words or more the SimHashes must agree in all but FAR_BITS bits: those of lines without common words
     differ in 96 of 192, give or take 7; README gives what similar lines were measured to differ in.
+
+    With ``texts`` (node, norm) the lines are compared in that place too, and the pairs are links that join the same
+    components as all links would: a pair that links found there have joined is left out, so are pairs with the key's
+    ``hub``, which were compared before, and pairs that meet under an earlier kind of block.
     """
     blocks = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / NODES).alias("blocks"))
     rows = rest.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "comp", "node").join(prints, "node")
+    within, more = texts is not None, ["hub", "keys", "norm"] if texts is not None else []
+    if within:
+        kinds = rest.groupBy("node").agg(F.collect_list("key").alias("keys"))
+        prints = kinds.join(prints, "node").join(texts, "node")
+    rows = rows.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).join(prints, "node")
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def met(table: pa.Table, starts: np.ndarray, n: int):
         """Pairs within the runs that begin at ``starts``; the last one ends before ``n``."""
-        c = {name: table[name].to_numpy() for name in table.column_names}
+        c = {name: table[name].to_numpy() for name in table.column_names if name not in ("keys", "norm")}
         bits = np.stack([c[f"s{k}"].view(np.uint64) for k in range(3)], 1)
         counts = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n))) - np.arange(n) - 1
+        labels = np.unique(c["comp"], return_inverse=True)[1]
         upto, first = np.cumsum(counts), 0
         while first < n:
             base = int(upto[first] - counts[first])
@@ -282,14 +323,41 @@ def close_pairs(rest: DataFrame, prints: DataFrame, threshold: float) -> DataFra
             x = np.repeat(np.arange(first, stop), counts[first:stop])
             y = x + 1 + np.arange(len(x)) - np.repeat(upto[first:stop] - counts[first:stop] - base, counts[first:stop])
             most = np.maximum(c["size"][x], c["size"][y])
-            near = (c["comp"][x] != c["comp"][y]) & (np.minimum(c["size"][x], c["size"][y]) >= threshold * most)
+            near = (labels[x] != labels[y]) & (np.minimum(c["size"][x], c["size"][y]) >= threshold * most)
             near &= (c["i"][x] == c["j"][x]) | (c["mine"][x] != c["mine"][y])
             x, y = x[near], y[near]
-            near = (np.minimum(c["words"][x], c["words"][y]) < SCREENED_WORDS) | (np.bitwise_count(bits[x] ^ bits[y]).sum(1) <= FAR_BITS)
-            a, b = c["node"][x[near]], c["node"][y[near]]
+            far = np.bitwise_count(bits[x] ^ bits[y]).sum(1)
+            near = (np.minimum(c["words"][x], c["words"][y]) < SCREENED_WORDS) | (far <= FAR_BITS)
+            if within:
+                near &= (c["node"][x] != c["hub"][x]) & (c["node"][y] != c["hub"][y])
+            x, y, far = x[near], y[near], far[near]
+            if within and len(x):
+                x, y, labels = linked(table, c["key"], labels, x, y, far)
+            a, b = c["node"][x], c["node"][y]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
             first = stop
 
+    def linked(table: pa.Table, key: np.ndarray, labels: np.ndarray, x: np.ndarray, y: np.ndarray, far: np.ndarray):
+        """Links among the pairs (x, y), and the labels that they leave; the likeliest pairs are compared first."""
+        rows = np.unique(np.append(x, y))
+        kinds, norm = keys_by_kind(table["keys"].take(pa.array(rows)).combine_chunks()), table["norm"].combine_chunks()
+        new = np.empty(len(x), bool)
+        for start in range(0, len(x), TOGETHER):
+            u, v = x[start : start + TOGETHER], y[start : start + TOGETHER]
+            same = kinds[np.searchsorted(rows, u)] == kinds[np.searchsorted(rows, v)]
+            new[start : start + TOGETHER] = ~(same & (np.arange(kinds.shape[1]) < (key[u] >> 32)[:, None])).any(1)
+        order = np.flatnonzero(new)[np.argsort(far[new], kind="stable")]
+        x, y, found, size = x[order], y[order], [], 256
+        while len(x):
+            good = alike(norm.take(pa.array(x[:size])), norm.take(pa.array(y[:size])), threshold)
+            u, v = x[:size][good], y[:size][good]
+            labels, used = joined(labels, labels[u], labels[v])
+            found.append((u[used], v[used]))
+            x, y = x[size:], y[size:]
+            apart = labels[x] != labels[y]
+            x, y, size = x[apart], y[apart], min(2 * size, TOGETHER)
+        return *(np.concatenate([pair[k] for pair in found] or [np.zeros(0, np.int64)]) for k in (0, 1)), labels
+
     def compare(batches):
         kept = None
         for batch in batches:
@@ -302,7 +370,13 @@ def close_pairs(rest: DataFrame, prints: DataFrame, threshold: float) -> DataFra
         if kept is not None and len(kept):
             yield from met(kept, np.zeros(1, np.int64), len(kept))
 
-    return dealt.select("key", "i", "j", "mine", "comp", "node", "size", "words", "s0", "s1", "s2").mapInArrow(compare, "a long, b long")
+    return dealt.select("key", "i", "j", "mine", "comp", "node", "size", "words", "s0", "s1", "s2", *more).mapInArrow(compare, "a long, b long")
+
+
+def alike(a: pa.Array, b: pa.Array, threshold: float) -> np.ndarray:
+    """``all_similar`` of two columns, a few MB at once."""
+    good = [all_similar(a[start:stop].to_pylist(), b[start:stop].to_pylist(), threshold) for start, stop in row_chunks(a)]
+    return np.concatenate(good or [np.zeros(0, bool)])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -310,9 +384,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     def check(batches):
         for batch in batches:
-            for start, stop in row_chunks(batch["ta"]):
-                part = batch.slice(start, stop - start)
-                yield part.select(["a", "b"]).filter(pa.array(all_similar(part["ta"].to_pylist(), part["tb"].to_pylist(), threshold)))
+            yield batch.select(["a", "b"]).filter(pa.array(alike(batch["ta"], batch["tb"], threshold)))
 
     return pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
@@ -351,10 +423,10 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         signed = materialize(prints(texts), "line-prints")
 
     def pair_up(rest: DataFrame) -> DataFrame:
-        with arrow_rows(spark, 5000):
-            return materialize(close_pairs(rest, signed, threshold), "line-pairs")
+        with arrow_rows(spark, 2000):
+            return materialize(close_pairs(rest, signed, threshold, texts), "rest-edges")
 
-    comp = linking.link(shared, verify, pair_up, lambda pairs: screened(pairs, signed, threshold))
+    comp = linking.link(shared, verify, pair_up, lambda pairs: screened(pairs, signed, threshold), linked=True)
     # only lines that have a copy or a link need to be looked up
     touched = materialize(kinds.join(comp.toDF("k1", "comp"), "k1", "left").where("n > 1 or comp is not null").select("k1", "at", F.coalesce("comp", "k1").alias("comp")), "touched-lines")
     firsts = touched.groupBy("comp").agg(F.min("at").alias("first"))

@@ -56,26 +56,28 @@ def shared_keys(members: DataFrame) -> DataFrame:
     return materialize(weighed.join(hubs, "key").select("key", "node", F.col("hub.node").alias("hub")), "hub-keys")
 
 
-def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], pair_up: Callable[[DataFrame], DataFrame], screen: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+def link(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], pair_up: Callable[[DataFrame], DataFrame], screen: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, linked: bool = False) -> DataFrame:
     """Components of the graph of all verified pairs of nodes that share a key, as (node, comp).
 
     First every node is verified against the hub of each of its keys, which joins large groups with few
     pairs. Then only pairs that share a key but lie in different components are left; all of them that were
     not tried are verified, so no link between components is lost. Pairs within a component change nothing.
-    ``pair_up`` makes those pairs (a, b), a < b, from rows (key, node, comp); it may leave out pairs that cannot pass.
+    ``pair_up`` makes those pairs (a, b), a < b, from rows (key, node, hub, comp); it may leave out pairs that cannot pass.
+    With ``linked`` it verifies them too, and may leave out pairs of nodes that its other links join.
     ``screen`` leaves out such pairs before the first verification.
     """
     tried = materialize(shared.where("node <> hub").select(*ordered("node", "hub")).distinct(), "hub-pairs")
     edges = materialize(verify(screen(tried)), "hub-edges")
     comp = components(edges)
-    placed = materialize(shared.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "placed")
+    placed = materialize(shared.join(comp, "node", "left").select("key", "node", "hub", F.coalesce("comp", "node").alias("comp")), "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     rest = materialize(placed.join(mixed, "key", "left_semi"), "mixed-keys")
     if rest.isEmpty():
         return comp
-    pairs = pair_up(rest).distinct()
-    pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "rest-pairs")
-    more = materialize(verify(pairs), "rest-edges")
+    more = pair_up(rest)
+    if not linked:
+        pairs = materialize(more.distinct().join(tried, ["a", "b"], "left_anti"), "rest-pairs")
+        more = materialize(verify(pairs), "rest-edges")
     if more.isEmpty():
         return comp
     return components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import edits, line_dedup, textvec
 from tests.conftest import DATA
-from tests.llm.test_against_brute_force import normal
+from tests.llm.test_against_brute_force import normal, union
 
 
 def test_blocks_find_similar_lines(spark):
@@ -61,6 +61,25 @@ def test_far_lines_are_screened_alike(spark):
     assert one == {(r.a, r.b) for r in line_dedup.close_pairs(rest, signed, 0.8).collect()} == {(0, 1), (3, 4)}
 
 
+def test_large_group_gives_links_not_pairs(spark, monkeypatch):
+    """Variants of two lines under shared keys: the links grow with the lines, not with their pairs, and join what all links join."""
+    rand, words = random.Random(3), [f"w{i}{'xyz'[i % 3] * (i % 4 + 2)}" for i in range(40)]
+    lines = [[rand.choice(words) for _ in range(20)] for _ in range(2)]
+    texts = [" ".join(rand.choice(words) if rand.random() < 0.16 else w for w in lines[i % 2]) for i in range(240)]
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, norm string")
+    member = nodes.select(F.explode(F.array(F.lit(1).cast("long"), F.lit((7 << 32) + 5))).alias("key"), "node", F.lit(0).cast("long").alias("hub"), F.col("node").alias("comp"))
+    signed = line_dedup.prints(nodes)
+    near = [(r.a, r.b) for r in line_dedup.close_pairs(member, signed, 0.8).distinct().collect()]
+    links = {(a, b) for a, b in near if a and line_dedup.similar(texts[a], texts[b], 0.8)}
+    for nodes_at_once in (500, 80):
+        monkeypatch.setattr(line_dedup, "NODES", nodes_at_once)
+        got = [(r.a, r.b) for r in line_dedup.close_pairs(member, signed, 0.8, nodes).collect()]
+        assert set(got) <= links and len(got) == len(set(got))
+        assert len(set(zip(union(len(texts), got), union(len(texts), links)))) == len(set(union(len(texts), got))) == len(set(union(len(texts), links)))
+        if nodes_at_once == 500:
+            assert len(links) > 5000 and len(got) < len(texts)
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
